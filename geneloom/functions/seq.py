@@ -63,33 +63,27 @@ def one_hot_numpy(seq: str, channels_first: bool = False) -> np.ndarray:
 
 
 def chunks(c, size: int) -> Column:
-    """Fixed-size pieces, the last one short; empty text gives no piece."""
-    c = _col(c)
-    n = F.length(c)
-    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(size)))
-    return F.transform(starts, lambda i: F.substring(c, i, F.lit(size)))
+    """Fixed-size pieces, the last one short; empty text gives no piece.
+
+    One regular-expression pass over the text, so the cost is linear however
+    long the sequence is.
+    """
+    return F.regexp_extract_all(_col(c), F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
 
 
 def chunks_min_tail(c, size: int, min_tail: int) -> Column:
-    """As :func:`chunks`, but a tail shorter than ``min_tail`` joins its neighbour."""
-    c = _col(c)
-    n = F.length(c)
-    tail = n % size
-    merged = (tail > 0) & (tail < min_tail) & (n > size)
-    count = F.ceil(n / F.lit(float(size))).cast("int") - merged.cast("int")
-    return F.transform(
-        F.when(n > 0, F.sequence(F.lit(1), count)),
-        lambda k: F.when((k == count) & merged, F.substring(c, (k - 1) * size + 1, F.lit(size + min_tail)))
-        .otherwise(F.substring(c, (k - 1) * size + 1, F.lit(size))))
+    """As :func:`chunks`, but a tail shorter than ``min_tail`` joins its neighbour.
+
+    A full piece is cut only while at least ``min_tail`` letters follow it.
+    """
+    return F.regexp_extract_all(_col(c), F.lit(f"(?s)(.{{{size}}}(?=.{{{min_tail}}})|.+)"), F.lit(1))
 
 
 def windows(c, size: int) -> Column:
     """``array<struct(start, stop, piece)>``, 0-based half-open; one window if it fits."""
-    c = _col(c)
-    n = F.length(c)
-    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(size)))
-    return F.transform(starts, lambda s: F.struct(
-        s.alias("start"), F.least(s + size, n).alias("stop"), F.substring(c, s + 1, F.lit(size)).alias("piece")))
+    pieces = F.when(F.length(_col(c)) == 0, F.array(F.lit(""))).otherwise(chunks(c, size))
+    return F.transform(pieces, lambda p, i: F.struct(
+        (i * size).alias("start"), (i * size + F.length(p)).alias("stop"), p.alias("piece")))
 
 
 def locate_cds(cdna, cds) -> Column:

@@ -116,3 +116,16 @@ def exact_median(df: DataFrame, column: str) -> DataFrame:
     return hits.where((F.col("_lo") + F.col("_hi")) > 0).agg(
         ((F.max(F.when(F.col("_lo") == 1, F.col("_v"))) + F.max(F.when(F.col("_hi") == 1, F.col("_v")))) / 2)
         .alias("median"))
+
+
+def forward_fill(df: DataFrame, order: list, column: str, name: str, buckets: int | None = None) -> DataFrame:
+    """Last non-NULL value of ``column`` at or before each row of the given order."""
+    placed = sorted_buckets(df, order, buckets)
+    lasts = placed.groupBy(BUCKET).agg(
+        F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col(POSITION))).alias("_last"))
+    before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    carry = F.broadcast(lasts.select(BUCKET, F.last("_last", ignorenulls=True).over(before).alias("_carry")))
+    inside = Window.partitionBy(BUCKET).orderBy(POSITION).rowsBetween(Window.unboundedPreceding, 0)
+    return (placed.join(carry, BUCKET)
+            .withColumn(name, F.coalesce(F.last(column, ignorenulls=True).over(inside), F.col("_carry")))
+            .drop(BUCKET, POSITION, "_carry"))

@@ -1,4 +1,4 @@
 """Importing the package fills the registry."""
 
-from . import identifiers  # noqa: F401
+from . import identifiers, joins, numbers, sequences  # noqa: F401
 from .registry import REGISTRY  # noqa: F401
