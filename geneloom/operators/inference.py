@@ -157,3 +157,11 @@ def predict_tracks(windows: DataFrame, key: str, sequence: str, load_model: Call
             yield pd.DataFrame(out, columns=[key, "vector"])
 
     return windows.select(key, sequence).mapInPandas(run, f"{key} {key_type}, vector array<double>")
+
+
+def masked_mean(values, attention, special):
+    """Mean of the values whose token is attended and not special; the divisor is at least one."""
+    marked = F.zip_with(values, F.zip_with(attention, special, lambda a, s: a & ~s),
+                        lambda v, keep: F.when(keep, v.cast("double")))
+    kept = F.filter(marked, lambda v: v.isNotNull())
+    return F.aggregate(kept, F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size(kept), F.lit(1))

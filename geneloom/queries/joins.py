@@ -283,19 +283,19 @@ def _j21(t):
 
 
 @query("conform_vectors", "J1 J2 A1 N6 SC20", """
-WITH pairs AS (SELECT cast(p_partkey % 300 AS VARCHAR) AS id, p_brand AS gene FROM part WHERE p_size > 25 UNION SELECT cast(1000 + p_partkey % 500 AS VARCHAR), p_brand FROM part),
+WITH pairs AS (SELECT cast(p_partkey + 1 AS VARCHAR) AS id, p_partkey // 4 AS gene FROM part WHERE p_size > 25 UNION SELECT cast(p_partkey AS VARCHAR), p_partkey // 4 FROM part),
 idx AS (SELECT id, count(DISTINCT gene) AS n, min(gene) AS g FROM pairs GROUP BY 1),
-m AS (SELECT g AS gene, embedding FROM embeddings JOIN idx ON cast(CASE WHEN vec_id % 2 = 0 THEN vec_id ELSE vec_id + 1000 END AS VARCHAR) = id WHERE n = 1),
+m AS (SELECT g AS gene, embedding FROM embeddings JOIN idx ON cast(vec_id AS VARCHAR) = id WHERE n = 1),
 x AS (SELECT gene, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM m),
 a AS (SELECT gene, d, avg(v) AS v FROM x GROUP BY 1, 2),
 c AS (SELECT gene, count(*) AS n_source_rows FROM m GROUP BY 1)
 SELECT a.gene, n_source_rows, round(sqrt(sum(v * v)), 6) + 0.0 AS norm, round(sum(v * d), 6) + 0.0 AS weighted_sum
 FROM a JOIN c ON a.gene = c.gene GROUP BY ALL""")
 def _conform(t):
-    p = t.part
-    pairs = (p.where("p_size > 25").select((F.col("p_partkey") % 300).cast("string").alias("id"), F.col("p_brand").alias("gene"))
-             .unionByName(p.select((F.col("p_partkey") % 500 + 1000).cast("string").alias("id"), F.col("p_brand").alias("gene"))))
-    src = t.embeddings.select(F.when(F.col("vec_id") % 2 == 0, F.col("vec_id")).otherwise(F.col("vec_id") + 1000).cast("string").alias("k"), "embedding")
+    pairs = mapping.id_pairs(
+        t.part.withColumn("gene_no", F.floor(F.col("p_partkey") / 4)), "gene_no",
+        [F.array(F.col("p_partkey").cast("string"), F.when(F.col("p_size") > 25, (F.col("p_partkey") + 1).cast("string")).otherwise(F.lit("")))])
+    src = t.embeddings.select(F.col("vec_id").cast("string").alias("k"), "embedding")
     routed = mapping.route(src, "k", mapping.id_index(pairs))
     genes = mapping.collapse(routed, "gene", "embedding", "k")
     from ..functions.num import l2_norm
