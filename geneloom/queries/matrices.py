@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions import ids, num
-from ..models.specs import SPECS
 from ..operators import features, graph, linalg, quality, ranges, vectors
 from .aggregates import UNNEST
 from .registry import big, query, r
@@ -118,7 +116,6 @@ def _g7(t):
                              F.array(F.concat(F.lit("GO:R"), "n_regionkey"), F.lit("GO:unknown")).alias("parents"))
              .unionByName(t.region.select(F.concat(F.lit("GO:R"), "r_regionkey").alias("term_id"), F.col("r_name").alias("name"), none.alias("parents")))
              .select("*", F.lit("nation_level").alias("namespace"), F.lit("").alias("definition"), none.alias("synonyms")))
-    # sentences of direct terms sort their terms by id; regions come after nations here only through sorting
     s = graph.association_sentences(c.select("entity", "term"), up, c.select("entity", "symbol")).unionByName(graph.ontology_sentences(terms))
     return s.select("entity", "kind", F.array_join("tokens", " ").alias("sentence"))
 
@@ -148,8 +145,7 @@ def _g11(t):
 def _g12(t):
     # a sentence per order; the vocabulary is the fixed set of part brands
     words = t.lineitem.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    lines = words.groupBy("l_orderkey", F.floor(F.col("l_linenumber") / 100).alias("g"), F.pmod(F.xxhash64("l_partkey"), F.lit(4)).alias("h")).agg(
-        F.array_sort(F.collect_set("p_brand")).alias("tokens"))
+    lines = words.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_brand")).alias("tokens"))
     return graph.skip_gram(lines, "tokens", dim=16, window=5, epochs=1)
 
 
