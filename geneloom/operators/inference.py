@@ -165,3 +165,10 @@ def masked_mean(values, attention, special):
                         lambda v, keep: F.when(keep, v.cast("double")))
     kept = F.filter(marked, lambda v: v.isNotNull())
     return F.aggregate(kept, F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size(kept), F.lit(1))
+
+
+def trailing_numbers(cells, n: int):
+    """The last ``n`` cells of a prediction row as numbers; leading columns are metadata."""
+    from ..functions.num import to_number
+
+    return F.transform(F.slice(cells, -n, n), to_number)

@@ -19,7 +19,7 @@ def attribute_pairs(text) -> Column:
 def read_gtf(spark: SparkSession, path) -> DataFrame:
     """``[chromosome, source, feature, start, stop, strand, attributes, tags, n_fields, file_row]``.
 
-    ``attributes`` keeps the first value of a repeated key; all ``tag`` values
+    ``attributes`` keeps the last value of a repeated key; all ``tag`` values
     are in ``tags``. Callers choose their own rule on ``n_fields``.
     """
     lines = read_lines(spark, path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
@@ -27,12 +27,12 @@ def read_gtf(spark: SparkSession, path) -> DataFrame:
     parsed = parsed.where("n_fields >= 9").withColumn("pairs", attribute_pairs(F.get("f", F.lit(8))))
     plain = F.filter("pairs", lambda p: p["key"] != "tag")
     names = F.array_distinct(F.transform(plain, lambda p: p["key"]))
-    first = F.map_from_entries(F.transform(names, lambda k: F.struct(
-        k.alias("key"), F.get(F.filter(plain, lambda p: p["key"] == k), F.lit(0))["value"].alias("value"))))
+    last = F.map_from_entries(F.transform(names, lambda k: F.struct(
+        k.alias("key"), F.element_at(F.filter(plain, lambda p: p["key"] == k), -1)["value"].alias("value"))))
     cells = [F.get("f", F.lit(i)) for i in range(9)]
     return parsed.select(
         cells[0].alias("chromosome"), cells[1].alias("source"), cells[2].alias("feature"), cells[3].try_cast("bigint").alias("start"),
-        cells[4].try_cast("bigint").alias("stop"), cells[6].alias("strand"), first.alias("attributes"),
+        cells[4].try_cast("bigint").alias("stop"), cells[6].alias("strand"), last.alias("attributes"),
         F.transform(F.filter("pairs", lambda p: p["key"] == "tag"), lambda p: p["value"]).alias("tags"), "n_fields", "file_row")
 
 

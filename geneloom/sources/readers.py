@@ -226,16 +226,16 @@ def read_json_vectors(spark: SparkSession, path) -> DataFrame:
     return rows.select("key", _floats(F.filter(F.split("v", ","), lambda x: ids.strip(x) != "")).alias("vector"))
 
 
-def read_json_texts(spark: SparkSession, path) -> DataFrame:
-    """``[key, text]`` of one JSON object; keys upper-cased, other values as JSON text, blanks dropped."""
-    whole = spark.read.text(path, wholetext=True)
+def read_json_texts(spark: SparkSession, path, per_line: bool = False) -> DataFrame:
+    """``[key, text]`` of a JSON object per file (or per line); keys upper-cased, blanks dropped."""
+    whole = spark.read.text(path, wholetext=not per_line)
     pairs = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "text"))
     return pairs.select(F.upper(ids.strip("key")).alias("key"), ids.strip("text").alias("text")).where("key <> '' AND text <> ''")
 
 
-def read_vocabulary(spark: SparkSession, path) -> DataFrame:
-    """``[token, token_id]`` of one JSON object; ids that are no integers are NULL."""
-    whole = spark.read.text(path, wholetext=True)
+def read_vocabulary(spark: SparkSession, path, per_line: bool = False) -> DataFrame:
+    """``[token, token_id]`` of a JSON object per file (or per line); ids that are no integers are NULL."""
+    whole = spark.read.text(path, wholetext=not per_line)
     pairs = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("token", "token_id"))
     return pairs.select("token", F.when(F.col("token_id").rlike(r"^-?\d+$"), F.col("token_id")).try_cast("bigint").alias("token_id"))
 

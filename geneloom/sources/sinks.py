@@ -12,7 +12,7 @@ from ..operators.ranges import with_row_index
 
 def write_table(df: DataFrame, path: str, columns: list[str] | None = None, sep: str = "\t") -> None:
     """Delimited text with a header and a fixed column order; extra columns are left out."""
-    df.select(*(columns or df.columns)).write.mode("overwrite").csv(path, sep=sep, header=True, emptyValue="")
+    df.select(*(columns or df.columns)).write.mode("overwrite").csv(path, sep=sep, header=True, emptyValue="", quote='"', escape='"')
 
 
 def wrap_lines(sequence, width: int = 80) -> Column:
