@@ -199,16 +199,17 @@ def hit_uniprot(hit) -> Column:
     """``struct(ids, status)`` preferring reviewed, then unreviewed, then other ids."""
     hit = _col(hit)
     uni = F.get_json_object(hit, "$.uniprot")
-    is_object = uni.startswith("{")
-    reviewed = json_leaves(F.when(is_object, F.get_json_object(uni, "$.Swiss-Prot")))
-    unreviewed = json_leaves(F.when(is_object, F.get_json_object(uni, "$.TrEMBL")))
-    rest = F.map_filter(F.from_json(F.when(is_object, uni), "map<string,string>"),
-                        lambda k, v: ~k.isin("Swiss-Prot", "TrEMBL"))
-    # a bare scalar loses its quotes in get_json_object
-    plain = F.when(~is_object & uni.startswith("["), json_leaves(uni)).when(~is_object, F.array(uni))
-    nested = F.flatten(F.transform(F.map_values(rest), lambda v: F.when(
-        v.startswith("[") | v.startswith("{"), json_leaves(v)).otherwise(F.array(v))))
-    other = F.coalesce(plain, nested, F.array().cast("array<string>"))
+    empty = F.array().cast("array<string>")
+
+    def leaves(v):
+        # a bare scalar has lost its quotes on extraction
+        return (F.when(v.isNull(), empty).when(v.startswith("[") | v.startswith("{"), json_leaves(v)).otherwise(F.array(v)))
+
+    fields = F.from_json(F.when(uni.startswith("{"), uni), "map<string,string>")
+    reviewed = F.coalesce(leaves(fields["Swiss-Prot"]), empty)
+    unreviewed = F.coalesce(leaves(fields["TrEMBL"]), empty)
+    rest = F.map_values(F.map_filter(fields, lambda k, v: ~k.isin("Swiss-Prot", "TrEMBL")))
+    other = F.coalesce(F.when(~uni.startswith("{"), leaves(uni)), F.flatten(F.transform(rest, leaves)), empty)
 
     def pick(arr, status):
         return F.struct(F.array_join(unique_keep_order(arr), "|").alias("ids"), F.lit(status).alias("status"))

@@ -58,9 +58,11 @@ def neighbour_pairs(edges: DataFrame, a: str, b: str) -> DataFrame:
 def ppmi(adj: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Positive pointwise mutual information on the non-zero cells of ``[by, row, col, value]``.
 
-    Row and column sums double as the frequency tables for salting hub nodes.
+    The adjacency is written once, as four later steps read it. Row and column
+    sums double as the frequency tables for salting hub nodes.
     """
     by = by or []
+    adj = materialize(adj, "adjacency")
     rows = adj.groupBy(*by, "row").agg(F.sum("value").alias("_rs"), F.count(F.lit(1)).alias("_deg"))
     cols = adj.groupBy(*by, "col").agg(F.sum("value").alias("_cs"), F.count(F.lit(1)).alias("_deg"))
     out = lookup(adj, rows.select(*by, "row", "_rs"), [*by, "row"], "inner", rows, "_deg", ["col"])

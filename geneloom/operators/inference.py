@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as sq
 from ..models.specs import InferenceSpec
+from ..session import materialize
 from .vectors import mean_of, sum_of
 
 
 def cut(df: DataFrame, key: str, text: str, spec: InferenceSpec) -> DataFrame:
     """``[key, piece_no, piece]``; blank texts give no piece."""
-    n = F.length(text)
     if spec.cut in ("whole", "token_bound") and not spec.size:
         pieces = F.array(F.col(text))
     elif spec.cut == "min_tail":
@@ -32,8 +32,8 @@ def cut(df: DataFrame, key: str, text: str, spec: InferenceSpec) -> DataFrame:
     else:
         pieces = sq.chunks(text, spec.size)
     if spec.full_length_up_to:
-        pieces = F.when(n <= spec.full_length_up_to, F.array(F.col(text))).otherwise(pieces)
-    return df.where(F.coalesce(n, F.lit(0)) > 0).select(key, F.posexplode(pieces).alias("piece_no", "piece"))
+        pieces = F.when(F.length(text) <= spec.full_length_up_to, F.array(F.col(text))).otherwise(pieces)
+    return df.select(key, F.posexplode(pieces).alias("piece_no", "piece")).where("length(piece) > 0")
 
 
 def halve_to_limit(piece: str, count: Callable[[str], int], limit: int, floor: int = 100) -> list[str]:
@@ -132,8 +132,9 @@ def failures(embedded: DataFrame, key: str) -> DataFrame:
 
 def embed(df: DataFrame, key: str, text: str, spec: InferenceSpec, load_model: Callable[[], object],
           retries: int = 1) -> DataFrame:
-    """Cut, embed and pool in one call."""
-    return pool(embed_pieces(cut(df, key, text, spec), key, spec, load_model, retries), key, spec)
+    """Cut, embed and pool in one call; the model runs once and its output is kept in the shared folder."""
+    done = materialize(embed_pieces(cut(df, key, text, spec), key, spec, load_model, retries), "pieces")
+    return pool(done, key, spec)
 
 
 def predict_tracks(windows: DataFrame, key: str, sequence: str, load_model: Callable[[], object], bins: int, tracks: int,
@@ -172,3 +173,14 @@ def trailing_numbers(cells, n: int):
     from ..functions.num import to_number
 
     return F.transform(F.slice(cells, -n, n), to_number)
+
+
+def one_hot_totals(df: DataFrame, key: str, sequence: str) -> DataFrame:
+    """``[key, totals]``: column sums of the (L x 4) one-hot encoding, built inside the task."""
+    key_type = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "totals": [sq.one_hot_numpy(s).sum(axis=0, dtype=np.float64) for s in pdf[sequence]]})
+
+    return df.select(key, sequence).mapInPandas(run, f"{key} {key_type}, totals array<double>")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, seq
 from ..models.specs import SPECS
 from ..operators import inference, mapping, quality
+from ..session import materialize
 
 GENE_HEAD = ["ensembl_gene_id", "gene_symbol", "entrez_id", "uniprot_id", "canonical_transcript_id", "canonical_transcript_id_versioned"]
 
@@ -91,7 +92,8 @@ def embed_sequences(jobs: DataFrame, model: str, load_model: Callable[[], object
     todo = jobs if limit is None else jobs.orderBy("ensembl_gene_id").limit(limit)
     if model == "helix_mrna":
         todo = todo.withColumn(text, seq.clean_marked_rna(text))
-    done = inference.embed_pieces(inference.cut(todo, "ensembl_gene_id", text, spec), "ensembl_gene_id", spec, load_model, retries)
+    pieces = inference.cut(todo, "ensembl_gene_id", text, spec)
+    done = materialize(inference.embed_pieces(pieces, "ensembl_gene_id", spec, load_model, retries), "pieces")
     pooled = inference.pool(done, "ensembl_gene_id", spec)
     return {"vectors": pooled, "failures": inference.failures(done, "ensembl_gene_id"),
             "gate": quality.gate(pooled, "ensembl_gene_id", "vector", quality.GATE_BASIC)}

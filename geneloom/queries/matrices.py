@@ -163,7 +163,7 @@ n AS (SELECT count(DISTINCT doc_id) AS n FROM tf)"""
 
 
 def term_counts(t):
-    tok = t.documents.select("doc_id", F.explode(ids.text_tokens("text")).alias("term"))
+    tok = t.texts.select("doc_id", F.explode(ids.text_tokens("text")).alias("term"))
     return features.count_matrix(tok, "doc_id", "term")
 
 

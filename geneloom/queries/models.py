@@ -18,8 +18,8 @@ from .sequences import DUCK_DNA, dna
 SHARES = ", ".join(f"round((length(s) - length(replace(s, '{b}', '')))::DOUBLE / length(s), 6) + 0.0 AS share_{b.lower()}" for b in "ACGT")
 
 
-def _shares(df):
-    return df.select("doc_id", *[r(F.col("vector")[i]).alias(f"share_{b.lower()}") for i, b in enumerate("ACGT")])
+def _shares(df, *keep):
+    return df.select("doc_id", *keep, *[r(F.col("vector")[i]).alias(f"share_{b.lower()}") for i, b in enumerate("ACGT")])
 
 
 def _sequence_query(name, covers, spec, pieces_sql):
@@ -27,9 +27,9 @@ def _sequence_query(name, covers, spec, pieces_sql):
 
     @query(name, covers, sql)
     def build(t):
-        d = t.documents.select("doc_id", dna().alias("s"))
+        d = t.texts.select("doc_id", dna().alias("s"))
         e = inference.embed(d, "doc_id", "s", spec, LetterModel)
-        return _shares(e).join(e.select("doc_id", big("n_pieces").alias("n_pieces"), big("n_tokens").alias("n_tokens")), "doc_id")
+        return _shares(e, big("n_pieces").alias("n_pieces"), big("n_tokens").alias("n_tokens"))
 
 
 CEIL = "(length(s) + {0} - 1) // {0}"
@@ -43,14 +43,14 @@ _sequence_query("embed_protein_windows", "V8 A14 Q21", SPECS["msa_transformer"],
 
 @query("embed_token_bounded_chunks", "V3 Q22 A14", f"SELECT doc_id, {SHARES} FROM (SELECT doc_id, {DUCK_DNA} AS s FROM documents) q WHERE length(s) > 0")
 def _v3(t):
-    d = t.documents.select("doc_id", dna().alias("s"))
+    d = t.texts.select("doc_id", dna().alias("s"))
     return _shares(inference.embed(d, "doc_id", "s", SPECS["dna_bert2"], LetterModel))
 
 
 @query("embed_texts_masked_mean", "V1 A16")
 def _v1(t):
     whole = replace(SPECS["text_bert"], max_tokens=0)
-    return inference.embed(t.documents, "doc_id", "text", whole, lambda: WordHashModel(8)).select("doc_id", "n_tokens", "vector")
+    return inference.embed(t.texts, "doc_id", "text", whole, lambda: WordHashModel(8)).select("doc_id", "n_tokens", "vector")
 
 
 class _Ramp:
@@ -68,7 +68,7 @@ SELECT doc_id, track, round(ln(1 + (length(x) - length(replace(x, 'A', '')) + 4
 def _v9(t):
     from ..functions import seq
 
-    w = t.documents.select("doc_id", seq.centered_slice(dna(), (F.col("doc_id") * 37) % 900, 256).alias("s"))
+    w = t.texts.select("doc_id", seq.centered_slice(dna(), (F.col("doc_id") * 37) % 900, 256).alias("s"))
     p = inference.predict_tracks(w, "doc_id", "s", _Ramp, 9, 3)
     return p.select("doc_id", F.posexplode("vector").alias("track", "v")).select("doc_id", "track", r(F.log1p("v")).alias("value"))
 
@@ -109,6 +109,6 @@ WITH d AS (SELECT doc_id, {DUCK_DNA} AS s FROM documents), p AS (SELECT doc_id,
 SELECT doc_id, count(*) AS n_pieces, count(*) FILTER (WHERE x LIKE 'T%') AS n_failed FROM p GROUP BY 1""")
 def _v12(t):
     spec = InferenceSpec("remote", "fixed", size=1000)
-    d = t.documents.select("doc_id", dna().alias("s"))
+    d = t.texts.select("doc_id", dna().alias("s"))
     e = inference.embed_pieces(inference.cut(d, "doc_id", "s", spec), "doc_id", spec, _Picky, retries=2)
     return e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pieces"), F.count_if(F.col("error").isNotNull()).alias("n_failed"))

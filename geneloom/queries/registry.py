@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import tune
+from ..session import spread, tune
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,11 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @property
+    def texts(self) -> DataFrame:
+        """The documents, spread over all cores for CPU-heavy text work."""
+        return spread(self.spark.read.parquet(f"{self.sf_dir}/documents.parquet"))
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -59,7 +64,7 @@ def scalar(name: str, covers: str, table: str, keys: str, raw: dict[str, str],
     outer = ", ".join([*key_list, *[f"{sql} AS {alias}" for alias, (_, sql) in outs.items()]])
 
     def build(t: Tables) -> DataFrame:
-        df = getattr(t, table).select(*key_list, *[F.expr(sql).alias(alias) for alias, sql in raw.items()])
+        df = getattr(t, "texts" if table == "documents" else table).select(*key_list, *[F.expr(sql).alias(alias) for alias, sql in raw.items()])
         cols = {alias: F.col(alias) for alias in raw}
         return df.select(*key_list, *[fn(**cols).alias(out) for out, (fn, _) in outs.items()])
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import num, seq
-from ..operators import ranges
-from .registry import big, query, r, scalar
+from ..functions import seq
+from ..operators import inference
+from .registry import big, query, scalar
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASES = ("ACGT" * 13)[:52]
@@ -29,7 +29,7 @@ def _text_query(name, covers, raw, duck_raw, outs):
 
     @query(name, covers, f"SELECT doc_id, {select} FROM ({inner}) q")
     def build(t):
-        df = t.documents.select("doc_id", raw().alias("s"))
+        df = t.texts.select("doc_id", raw().alias("s"))
         return df.select("doc_id", *[fn(F.col("s")).alias(alias) for alias, (fn, _) in outs.items()])
 
 
@@ -56,10 +56,8 @@ _text_query("reverse_complement", "Q16", dna, DUCK_DNA, {
     f"cast(length(s) - length(replace(s, '{b}', '')) AS DOUBLE) AS n_{b.lower()}" for b in "ACGT")
     + f" FROM (SELECT doc_id, {DUCK_DNA} AS s FROM documents) q")
 def _one_hot(t):
-    hot = t.documents.select("doc_id", seq.one_hot_dna(dna()).alias("hot"))
-    total = F.aggregate("hot", F.array(*[F.lit(0.0)] * 4), lambda a, x: F.zip_with(a, x, lambda p, q: p + q.cast("double")))
-    return hot.select("doc_id", total.alias("n")).select(
-        "doc_id", *[F.col("n")[i].alias(f"n_{b.lower()}") for i, b in enumerate("ACGT")])
+    counts = inference.one_hot_totals(t.texts.select("doc_id", dna().alias("s")), "doc_id", "s")
+    return counts.select("doc_id", *[F.col("totals")[i].alias(f"n_{b.lower()}") for i, b in enumerate("ACGT")])
 
 
 _text_query("clean_protein_letters", "Q18", letters, DUCK_LETTERS, {
@@ -71,7 +69,7 @@ SELECT doc_id, cast(i // 1000 AS INTEGER) AS piece_no, md5(substr(s, i + 1, 1000
        length(substr(s, i + 1, 1000)) AS piece_length
 FROM (SELECT doc_id, s, unnest(range(0, length(s), 1000)) AS i FROM (SELECT doc_id, {DUCK_DNA} AS s FROM documents) a) b""")
 def _chunks(t):
-    return t.documents.select("doc_id", F.posexplode(seq.chunks(dna(), 1000)).alias("piece_no", "p")).select(
+    return t.texts.select("doc_id", F.posexplode(seq.chunks(dna(), 1000)).alias("piece_no", "p")).select(
         "doc_id", "piece_no", F.md5("p").alias("digest"), big(F.length("p")).alias("piece_length"))
 
 
@@ -85,7 +83,7 @@ SELECT doc_id, cast(i AS INTEGER) AS piece_no,
        CASE WHEN i = c - 1 THEN n - i * 1000 ELSE 1000 END AS piece_length,
        md5(CASE WHEN i = c - 1 THEN substr(s, i * 1000 + 1) ELSE substr(s, i * 1000 + 1, 1000) END) AS digest FROM p""")
 def _tail_chunks(t):
-    return t.documents.select("doc_id", F.posexplode(seq.chunks_min_tail(dna(), 1000, 200)).alias("piece_no", "p")).select(
+    return t.texts.select("doc_id", F.posexplode(seq.chunks_min_tail(dna(), 1000, 200)).alias("piece_no", "p")).select(
         "doc_id", "piece_no", big(F.length("p")).alias("piece_length"), F.md5("p").alias("digest"))
 
 
@@ -94,7 +92,7 @@ SELECT doc_id, i AS start0, least(i + 1022, length(s)) AS stop0, md5(substr(s, i
 FROM (SELECT doc_id, s, unnest(CASE WHEN length(s) = 0 THEN [0] ELSE range(0, length(s), 1022) END) AS i
       FROM (SELECT doc_id, {DUCK_LETTERS} AS s FROM documents) a) b""")
 def _windows(t):
-    return t.documents.select("doc_id", F.explode(seq.windows(letters(), 1022)).alias("w")).select(
+    return t.texts.select("doc_id", F.explode(seq.windows(letters(), 1022)).alias("w")).select(
         "doc_id", big("w.start").alias("start0"), big("w.stop").alias("stop0"), F.md5("w.piece").alias("digest"))
 
 
@@ -111,7 +109,7 @@ SELECT doc_id, status, CASE WHEN status LIKE 'mapped%' THEN hit - 1 ELSE -1 END
        substr(s, hit + length(cds))), 'T', 'U')) END AS input_digest FROM st""")
 def _locate(t):
     k = F.col("doc_id") % 4
-    d = t.documents.select("doc_id", dna().alias("s")).withColumn(
+    d = t.texts.select("doc_id", dna().alias("s")).withColumn(
         "cds", F.when(k == 0, F.lit("")).when(k == 1, F.lit("N")).otherwise(F.substring(
             "s", (F.col("doc_id") % 50 + 1).cast("int"), (F.col("doc_id") % 9 + 3).cast("int"))))
     d = d.withColumn("h", seq.locate_cds("s", "cds"))
@@ -137,7 +135,7 @@ w AS (SELECT doc_id, n, (doc_id * 37) % 2000 AS tss FROM d)
 SELECT doc_id, CASE WHEN tss - 500 < 0 OR tss + 500 > n THEN 'window_out_of_bounds' ELSE 'ok' END AS status,
   CASE WHEN NOT (tss - 500 < 0 OR tss + 500 > n) THEN concat('doc', doc_id, chr(9), tss - 500, chr(9), tss + 500) END AS bed_line FROM w""")
 def _bounds(t):
-    d = t.documents.select("doc_id", F.length(dna()).alias("n"), ((F.col("doc_id") * 37) % 2000).alias("tss"))
+    d = t.texts.select("doc_id", F.length(dna()).alias("n"), ((F.col("doc_id") * 37) % 2000).alias("tss"))
     ok = (F.col("tss") - 500 >= 0) & (F.col("tss") + 500 <= F.col("n"))
     line = F.concat_ws("\t", F.concat(F.lit("doc"), "doc_id"), (F.col("tss") - 500).cast("string"), (F.col("tss") + 500).cast("string"))
     return d.select("doc_id", F.when(ok, F.lit("ok")).otherwise(F.lit("window_out_of_bounds")).alias("status"),
@@ -152,7 +150,7 @@ p AS (SELECT doc_id, concat(repeat('N', greatest(least(0, b) - a, 0)),
    repeat('N', greatest(b - greatest(n, a), 0))) AS x FROM w)
 SELECT doc_id, length(x) AS slice_length, md5(x) AS digest, md5(reverse(translate(x, 'ACGT', 'TGCA'))) AS minus_digest FROM p""")
 def _padded(t):
-    d = t.documents.select("doc_id", dna().alias("s"), ((F.col("doc_id") * 37) % 900 - 100).alias("center"))
+    d = t.texts.select("doc_id", dna().alias("s"), ((F.col("doc_id") * 37) % 900 - 100).alias("center"))
     d = d.select("doc_id", seq.centered_slice("s", "center", 256).alias("x"))
     return d.select("doc_id", big(F.length("x")).alias("slice_length"), F.md5("x").alias("digest"),
                     F.md5(seq.reverse_complement("x")).alias("minus_digest"))
@@ -182,6 +180,6 @@ FROM (SELECT doc_id, {DUCK_DNA} AS s FROM documents) q""")
 def _fasta(t):
     from ..sources.sinks import wrap_lines
 
-    d = t.documents.select("doc_id", dna().alias("s"))
+    d = t.texts.select("doc_id", dna().alias("s"))
     return d.select("doc_id", F.md5(wrap_lines("s", 80)).alias("digest"),
                     F.floor((F.length("s") + 79) / F.lit(80)).alias("n_lines"))
