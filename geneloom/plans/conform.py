@@ -31,7 +31,7 @@ def _pairs(master: DataFrame, columns: list[str], normalise, pattern: str = ids.
     cols = mapping.existing_columns(master, columns)
     if not cols:
         raise ValueError(f"the gene table has none of {columns}")
-    tokens = [F.transform(ids.split_tokens(c, pattern, policy), normalise) for c in cols]
+    tokens = [F.transform(ids.split_tokens(c, pattern, policy), lambda x: normalise(x)) for c in cols]
     return mapping.id_pairs(master, "ensembl_gene_id", tokens)
 
 

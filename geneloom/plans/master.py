@@ -296,7 +296,7 @@ def finalize(crosschecked: DataFrame, hgnc: DataFrame, gtf_current: DataFrame, g
     tx, pr = "all_ensembl_transcript_ids_", "all_ensembl_protein_ids_"
     combined = {
         "map_symbols_all": ids.join_unique(F.transform(F.concat(single(col("gene_symbol"), col("hgnc_approved_symbol")), pipes(
-            "hgnc_previous_symbols", "hgnc_alias_symbols", f"gene_names_{cur}", f"gene_names_{old}")), ids.norm_symbol)),
+            "hgnc_previous_symbols", "hgnc_alias_symbols", f"gene_names_{cur}", f"gene_names_{old}")), lambda x: ids.norm_symbol(x))),
         "map_ensembl_gene_ids_all": ids.join_unique(single(*[ids.strip_version(col(c)) for c in ("ensembl_gene_id", "ensembl_gene_id_versioned", "hgnc_ensembl_gene_id")])),
         "map_entrez_ids_all": ids.join_unique(single(*[ids.norm_entrez(col(c)) for c in ("entrez_id", "entrez_id_hgnc", "entrez_id_biomart", "hgnc_entrez_id")])),
         "map_uniprot_ids_all": ids.join_unique(pipes("uniprot_id", "uniprot_id_hgnc", "uniprot_id_biomart", "hgnc_uniprot_ids")),
@@ -304,7 +304,7 @@ def finalize(crosschecked: DataFrame, hgnc: DataFrame, gtf_current: DataFrame, g
         "map_ccds_ids_all": ids.join_unique(pipes("ccdsid", "hgnc_ccds_ids")),
         "map_ensembl_transcript_ids_all": ids.join_unique(F.concat(
             single(ids.strip_version(col("canonical_transcript_id"))), pipes(tx + cur, tx + old),
-            F.transform(ids.tokens_with_prefix(col("hgnc_mane_select"), ["ENST"]), ids.strip_version))),
+            F.transform(ids.tokens_with_prefix(col("hgnc_mane_select"), ["ENST"]), lambda x: ids.strip_version(x)))),
         "map_ensembl_transcript_ids_all_versioned": ids.join_unique(F.concat(
             single(ids.clean(col("canonical_transcript_id_versioned"))), pipes(f"{tx}{cur}_versioned", f"{tx}{old}_versioned"))),
         "map_ensembl_protein_ids_all": ids.join_unique(F.concat(single(ids.strip_version(col("canonical_protein_id"))), pipes(pr + cur, pr + old))),
@@ -318,7 +318,11 @@ def finalize(crosschecked: DataFrame, hgnc: DataFrame, gtf_current: DataFrame, g
         F.when((F.col(tx + old) != "") | (F.col(pr + old) != ""), F.lit("Ensembl_GRCh37_87_GTF"))))
     out = out.withColumn("map_string_protein_ids_all", ids.join_unique(ids.string_protein_ids(ids.split_pipe("map_ensembl_protein_ids_all")))).withColumn(
         "identifier_enrichment_sources", F.array_join(sources, "|"))
-    listed = F.flatten(F.array(*[F.transform(ids.split_pipe(c), lambda t, c=c: F.struct(F.lit(c).alias("mapping_column"), t.alias("id"))) for c in MAPPING_COLUMNS]))
+
+    def tagged(c):
+        return F.transform(ids.split_pipe(c), lambda t: F.struct(F.lit(c).alias("mapping_column"), t.alias("id")))
+
+    listed = F.flatten(F.array(*[tagged(c) for c in MAPPING_COLUMNS]))
     pairs = out.select(F.explode(listed).alias("m"), F.col("ensembl_gene_id").alias("gene")).select("m.*", "gene")
     return {"master": out, "ambiguous": mapping.ambiguity_report(pairs, ["mapping_column"]), "conflicts": conflicts}
 

@@ -63,12 +63,12 @@ def dependency_vectors(effect: DataFrame, master: DataFrame, model_key: str, k:
 def protein_level_vectors(ihc: DataFrame, master: DataFrame) -> dict[str, DataFrame]:
     """Max ordinal level per gene and tissue, absent tissues 0, z-score over mapped genes."""
     quality.require_columns(ihc, ["Gene", "Gene name", "Tissue", "Cell type", "Level", "Reliability"], "level table")
-    rows = ihc.withColumn("level", num.ordinal_level("Level"))
-    excluded = rows.where("level IS NULL").groupBy("Level").agg(F.count(F.lit(1)).alias("n_rows"))
-    usable = rows.where("level IS NOT NULL")
+    rows = ihc.withColumn("level_value", num.ordinal_level("Level"))
+    excluded = rows.where("level_value IS NULL").groupBy("Level").agg(F.count(F.lit(1)).alias("n_rows"))
+    usable = rows.where("level_value IS NOT NULL")
     tissues = features.distinct_labels(usable, "Tissue")
-    best = usable.groupBy("Gene", "Tissue").agg(F.max("level").alias("level"))
-    source = reshape.long_to_vectors(best, "Gene", "Tissue", "level", tissues)
+    best = usable.groupBy("Gene", "Tissue").agg(F.max("level_value").alias("level_value"))
+    source = reshape.long_to_vectors(best, "Gene", "Tissue", "level_value", tissues)
     names = usable.groupBy("Gene").agg(F.min_by("Gene name", "file_row").alias("hpa_gene_name"))
     mapped, unmapped = _conform(master, source.join(names, "Gene").withColumnRenamed("Gene", "hpa_gene"), "ensembl_gene_id", "hpa_gene")
     spark = master.sparkSession
