@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import pickle
+import tarfile
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import ids, num
 from ..operators import vectors
 from ..plans.network import alias_entrez
 from ..session import scratch_path
-from ..sources import bio, readers, sinks
+from ..sources import archives, bio, readers, sinks
 from ..streaming.incremental import drain_files, resume
 from .matrices import edges
 from .registry import big, query, r
@@ -264,7 +270,7 @@ def _sk11b(t):
     return sinks.file_digests(t.spark, f"{t.sf_dir}/*.parquet").select(F.substring_index("path", "/", -1).alias("file"), "length", "sha256", "md5")
 
 
-@query("chunked_append_and_resume", "SK9 I1 I2 I3 F12", """
+@query("chunked_append_and_resume", "SK9 I1 I2 I3 I4 F12", """
 SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_orderkey) AS n_keys FROM orders GROUP BY 1""")
 def _i1(t):
     sink = scratch_path(t.spark, "resume")
@@ -279,3 +285,50 @@ def _i1s(t):
     schema = t.events.schema
     out = drain_files(t.spark, t.sf_dir, "events.parquet", schema, lambda s: s.select("event_id", "event_type", "value"), sink, checkpoint)
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 2).alias("total"))
+
+
+def _packed(df, pack):
+    """One archive ``[path, content]`` per Arrow batch of the table."""
+
+    def run(batches):
+        for i, pdf in enumerate(batches):
+            if len(pdf):
+                yield pd.DataFrame({"path": [f"part-{i}"], "content": [pack(pdf)]})
+
+    return df.mapInPandas(run, "path string, content binary")
+
+
+@query("scan_zipped_table", "SC18", "SELECT cast(c_custkey AS VARCHAR) AS \"Gene\", c_mktsegment AS \"Level\" FROM customer")
+def _sc18(t):
+    def pack(pdf):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("levels.tsv", "Gene\tLevel\n" + "".join(f"{k}\t{s}\n" for k, s in zip(pdf["c_custkey"], pdf["c_mktsegment"])))
+        return out.getvalue()
+
+    return archives.zip_table(_packed(t.customer.select("c_custkey", "c_mktsegment"), pack)).select("Gene", "Level")
+
+
+@query("scan_tar_members", "SC19 SK11", "SELECT cast(s_suppkey AS VARCHAR) AS name, s_name AS label FROM supplier")
+def _sc19(t):
+    def pack(pdf):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as tar:
+            data = "".join(f"{k}\t{n}\n" for k, n in zip(pdf["s_suppkey"], pdf["s_name"])).encode()
+            info = tarfile.TarInfo("entities.tsv")
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+        return out.getvalue()
+
+    members = archives.tar_members(_packed(t.supplier.select("s_suppkey", "s_name"), pack), {"entities.tsv": ""})
+    lines = members.select(F.explode(F.split(F.decode("content", "utf-8"), "\n")).alias("v")).where("v <> ''")
+    return lines.select(F.split_part("v", F.lit("\t"), F.lit(1)).alias("name"), F.split_part("v", F.lit("\t"), F.lit(2)).alias("label"))
+
+
+@query("scan_pickled_vectors", "SC24", f"SELECT concat('S', vec_id) AS key, {VEC_SQL} AS checksum FROM embeddings")
+def _sc24(t):
+    def pack(pdf):
+        return pickle.dumps({f"S{k}": [float(x) for x in v] for k, v in zip(pdf["vec_id"], pdf["embedding"])})
+
+    rows = archives.pickle_entries(_packed(t.embeddings.select("vec_id", "embedding"), pack))
+    return rows.select("key", _weighted().alias("checksum"))

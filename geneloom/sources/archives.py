@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 
 def read_single_member_zip(spark: SparkSession, path, sep: str = "\t") -> DataFrame:
     """String table from a zip that holds exactly one delimited file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return zip_table(spark.read.format("binaryFile").load(path).select("path", "content"), sep)
+
+
+def zip_table(files: DataFrame, sep: str = "\t") -> DataFrame:
+    """String table from ``[path, content]`` zips of one delimited file each, all with the same header."""
 
     def lines(batches):
         for pdf in batches:
@@ -44,7 +48,7 @@ def read_single_member_zip(spark: SparkSession, path, sep: str = "\t") -> DataFr
     raw = files.mapInPandas(lines, "file_row bigint, value string")
     head = raw.where("file_row = 0").first()
     if head is None:
-        raise ValueError(f"{path} is empty")
+        raise ValueError("the archive is empty")
     names = head["value"].split(sep)
     cells = F.split("value", sep)
     return raw.where("file_row > 0 AND value <> ''").select(
@@ -53,6 +57,10 @@ def read_single_member_zip(spark: SparkSession, path, sep: str = "\t") -> DataFr
 
 def read_tar_members(spark: SparkSession, path, sha256: dict[str, str]) -> DataFrame:
     """``[member, content, sha256]`` of the named regular members; a wrong digest is an error."""
+    return tar_members(spark.read.format("binaryFile").load(path).select("content"), sha256)
+
+
+def tar_members(files: DataFrame, sha256: dict[str, str]) -> DataFrame:
     wanted = dict(sha256)
 
     def unpack(batches):
@@ -69,7 +77,7 @@ def read_tar_members(spark: SparkSession, path, sha256: dict[str, str]) -> DataF
                             raise ValueError(f"{name}: digest {got} differs from {expected}")
                         yield pd.DataFrame({"member": [name], "content": [data], "sha256": [got]})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "member string, content binary, sha256 string")
+    return files.select("content").mapInPandas(unpack, "member string, content binary, sha256 string")
 
 
 class _DataOnly(pickle.Unpickler):
@@ -87,6 +95,10 @@ class _DataOnly(pickle.Unpickler):
 
 def read_pickled_dictionary(spark: SparkSession, path, kind: str = "vector") -> DataFrame:
     """``[key, vector]`` (``kind='vector'``) or ``[key, value]`` text pairs of a pickled dict."""
+    return pickle_entries(spark.read.format("binaryFile").load(path).select("content"), kind)
+
+
+def pickle_entries(files: DataFrame, kind: str = "vector") -> DataFrame:
     schema = "key string, vector array<float>" if kind == "vector" else "key string, value string"
 
     def load(batches):
@@ -104,7 +116,7 @@ def read_pickled_dictionary(spark: SparkSession, path, kind: str = "vector") ->
                 if rows:
                     yield pd.DataFrame(rows, columns=["key", "vector" if kind == "vector" else "value"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(load, schema)
+    return files.select("content").mapInPandas(load, schema)
 
 
 def read_npy(spark: SparkSession, path: str, dtype: str | None = None, dim: int | None = None, block: int = 4096) -> DataFrame:
