@@ -13,6 +13,7 @@ from .skew import hot_keys, key_frequency, lookup, salted_join
 # Evidence channels and score threshold of a detailed links file.
 LINK_CHANNELS = ("neighborhood", "fusion", "cooccurence", "coexpression", "experimental", "database", "textmining")
 MIN_SCORE = 150
+MAX_CHANNELS = 10000  # one total per channel is broadcast
 
 
 def channel_edges(links: DataFrame, a: str, b: str, channels: list[str], order: str, min_score: float) -> DataFrame:
@@ -68,10 +69,12 @@ def ppmi(adj: DataFrame, by: list[str] | None = None) -> DataFrame:
     out = lookup(adj, rows.select(*by, "row", "_rs"), [*by, "row"], "inner", rows, "_deg", ["col"])
     out = lookup(out, cols.select(*by, "col", "_cs"), [*by, "col"], "inner", cols, "_deg", ["row"])
     if by:
-        totals = adj.groupBy(*by).agg(F.sum("value").alias("_total"))  # one row per channel
-        out = out.join(F.broadcast(totals.limit(10000)), by)
+        totals = materialize(rows.groupBy(*by).agg(F.sum("_rs").alias("_total")), "totals")  # one row per channel
+        if totals.count() > MAX_CHANNELS:
+            raise ValueError(f"more than {MAX_CHANNELS} channels")
+        out = out.join(F.broadcast(totals), by)
     else:
-        out = out.withColumn("_total", adj.agg(F.sum("value").alias("t")).scalar())
+        out = out.withColumn("_total", rows.agg(F.sum("_rs").alias("t")).scalar())
     score = F.log(F.col("_total") * F.col("value") / (F.col("_rs") * F.col("_cs")))
     return out.select(*by, "row", "col", score.alias("value")).where("value > 0")
 

@@ -41,8 +41,11 @@ def salted_join(
         raise ValueError(how)
     flag = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))
     spread = F.xxhash64(*(spread_by or [c for c in left.columns if c not in keys] or keys))
+    unmatched = F.lit(False)  # NULL keys match nothing, but would all meet in one task
+    for k in keys:
+        unmatched = unmatched | F.col(k).isNull()
     left = (left.join(flag, keys, "left")
-            .withColumn("_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+            .withColumn("_salt", F.when(F.coalesce("_hot", F.lit(False)) | unmatched, F.pmod(spread, F.lit(salts)).cast("int")).otherwise(F.lit(0)))
             .drop("_hot"))
     right = (right.join(flag, keys, "left")
              .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, num
 from ..operators import mapping, quality, vectors
+from ..session import materialize
 
 GENE_OUT = ["ensembl_gene_id", "gene_symbol", "gene_type", "entrez_id", "uniprot_id", "canonical_transcript_id", "canonical_protein_id"]
 DUPLICATE_ACTION = "averaged_duplicate_source_rows_mapping_to_same_master_gene"
@@ -46,12 +47,14 @@ def gene_columns(master: DataFrame) -> DataFrame:
 
 def finish(routed: DataFrame, master: DataFrame, flags: tuple[str, ...] = quality.GATE_BASIC, examples: int = 10) -> dict[str, DataFrame]:
     """Collapse routed rows ``[source_key, vector, gene, method, status, file_row]`` to the package tables."""
+    routed = materialize(routed, "routed")  # read by the vectors, the examples and the reports
     good = routed.where(F.col("status") == mapping.MAPPED)
     extra = [F.array_join(F.array_sort(F.collect_set("method")), ";").alias("mapping_methods"), F.min("file_row").alias("first_row")]
     genes = vectors.vector_mean(good, ["gene"], "vector", extra=extra)
     shown = mapping.source_examples(good, "gene", "file_row", "source_key", examples)
     table = (genes.join(shown, "gene").withColumnRenamed("gene", "ensembl_gene_id").join(gene_columns(master), "ensembl_gene_id")
              .withColumnRenamed("n_source_rows", "source_key_count").withColumn("vector", num.as_float_vector("vector")))
+    table = materialize(table, "genes")
     duplicates = table.where("source_key_count > 1").select(
         "ensembl_gene_id", "gene_symbol", "source_key_count", "source_keys_examples", "mapping_methods", F.lit(DUPLICATE_ACTION).alias("action"))
     return {"vectors": table, "routing": routed.drop("vector"), "duplicates": duplicates,

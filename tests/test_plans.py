@@ -213,7 +213,7 @@ def test_annotation_vectors(spark):
     assert s["total_rows"] == s["skipped_not"] + s["kept"] + s["skipped_bad"]
 
 
-def test_network_plans(spark):
+def test_network_plans(spark, monkeypatch):
     links = spark.createDataFrame([("9606.E1", "9606.E2", 900, 0, 10), ("9606.E2", "9606.E3", 500, 0, 20), ("9606.E3", "9606.E4", 300, 0, 30), ("9606.E4", "9606.E1", 200, 400, 40)],
                                   "protein1 string, protein2 string, neighborhood int, fusion int, file_row int")
     for c in ("cooccurence", "coexpression", "experimental", "database", "textmining"):
@@ -224,6 +224,7 @@ def test_network_plans(spark):
     m = gene_table(spark)
     routed = {r["node"]: (r["gene"], r["status"]) for r in network.map_network_nodes(info, info, aliases, m).collect()}
     assert routed == {"9606.E1": ("ENSG1", "mapped"), "9606.E2": (None, "ambiguous"), "9606.E3": ("ENSG3", "mapped"), "9606.E4": ("ENSG4", "mapped")}
+    monkeypatch.setattr(network.graph, "LINK_CHANNELS", ("neighborhood", "fusion"))
     out = network.fused_network_vectors(links, info, aliases, m, per_channel=2, final=2, channel_iter=1)
     assert set(vec(out["vectors"], "gene")) == {"ENSG1", "ENSG3", "ENSG4"}
     e = spark.createDataFrame([("1", "2"), ("2", "3.0"), ("3", "1"), ("4", "4"), ("x", "1")], "gene1 string, gene2 string")
