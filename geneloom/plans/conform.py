@@ -16,9 +16,11 @@ from ..functions import ids, num
 from ..operators import mapping, quality, vectors
 from ..session import materialize
 
+# Columns listed for every gene of a package.
 GENE_OUT = ["ensembl_gene_id", "gene_symbol", "gene_type", "entrez_id", "uniprot_id", "canonical_transcript_id", "canonical_protein_id"]
 DUPLICATE_ACTION = "averaged_duplicate_source_rows_mapping_to_same_master_gene"
 
+# Columns of the gene table that carry each key type.
 ENTREZ_COLUMNS = ["entrez_id", "hgnc_entrez_id", "map_entrez_ids_all"]
 ENTREZ_COLUMNS_WIDE = ["entrez_id", "map_entrez_ids_all", "entrez_id_hgnc", "entrez_id_biomart", "hgnc_entrez_id"]
 PROTEIN_COLUMNS = ["uniprot_id", "hgnc_uniprot_ids", "map_uniprot_ids_all"]

@@ -9,6 +9,7 @@ from ..functions import num, seq
 from ..models.specs import REGULATORY_WINDOWS, SPLICE_CONTEXT, SPLICE_RADIUS, STANDARD_CHROMOSOMES
 from ..operators import vectors
 from ..operators.ranges import with_neighbours
+from ..session import materialize
 
 PROFILE_GROUPS = tuple(f"{sites}_sites_{channel}_profile" for sites in ("all", "donor", "acceptor")
                        for channel in ("acceptor", "donor"))
@@ -120,9 +121,8 @@ def canonical_splice_sites(master: DataFrame, exons: DataFrame, chromosomes: Dat
               .when(~F.col("strand").isin("+", "-"), F.lit("invalid_strand")).otherwise(F.lit("ok")))
     state = (genes.join(chosen, "ensembl_gene_id", "left").join(counts, "ensembl_gene_id", "left")
              .withColumn("site_status", status))
-    usable = exon_rows.join(state.where("site_status = 'ok'").select("ensembl_gene_id", "chromosome", "chrom_length")
-                            if "chrom_length" in state.columns else
-                            state.where("site_status = 'ok'").select("ensembl_gene_id", "chromosome"), "ensembl_gene_id")
+    state = materialize(state, "site_state")
+    usable = exon_rows.join(state.where("site_status = 'ok'").select("ensembl_gene_id"), "ensembl_gene_id", "left_semi")
     sites = splice_sites(usable.select("ensembl_gene_id", "strand", "start", "stop", "exon_number"), "ensembl_gene_id")
     sites = sites.withColumn("site_0based", F.col("site_1based") - 1).join(
         master.select("ensembl_gene_id", "chromosome"), "ensembl_gene_id")

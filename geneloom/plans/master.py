@@ -1,4 +1,4 @@
-"""Plans that build the gene dimension table in four steps."""
+"""Plans that build the gene dimension table in four steps; each step writes its table once."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import ids, num
 from ..operators import mapping, quality
 from ..operators.ranges import with_row_index
+from ..session import materialize
 
+# Annotation release and assembly of the base table.
 RELEASE, ASSEMBLY = "v49", "GRCh38"
 
 
@@ -47,6 +49,7 @@ def pick_canonical(transcripts: DataFrame, gene: str, tags: str, tsl: str, lengt
     return best.select(gene, "_b.*")
 
 
+# Columns of the base table, in order.
 BASE_COLUMNS = ("ensembl_gene_id ensembl_gene_id_versioned gene_symbol gene_type chromosome gene_start gene_end strand "
                 "canonical_transcript_id canonical_transcript_id_versioned canonical_transcript_name canonical_transcript_type "
                 "canonical_protein_id canonical_protein_id_versioned ccdsid canonical_selection_rule canonical_transcript_tags "
@@ -103,7 +106,7 @@ def build_base_table(gtf: DataFrame) -> DataFrame:
         "havana_transcript": text("havana_transcript"), "gencode_release": F.lit(RELEASE), "assembly": F.lit(ASSEMBLY),
         "mapping_notes": F.when(none, F.lit("No protein-coding transcript parsed for this protein-coding gene.")).otherwise(F.lit("")),
     }
-    return joined.select(*[out.get(c, F.col(c)).alias(c) for c in BASE_COLUMNS])
+    return materialize(joined.select(*[out.get(c, F.col(c)).alias(c) for c in BASE_COLUMNS]), "base")
 
 
 def enrichment_mapping(hits: DataFrame) -> DataFrame:
@@ -128,7 +131,7 @@ def enrich_ids(base: DataFrame, hits: DataFrame) -> DataFrame:
     """Step 2: overwrite Entrez and protein ids from pre-fetched query hits."""
     cols = ["entrez_id", "uniprot_id", "id_mapping_status", "id_mapping_source"]
     out = mapping.apply_mapping(base.withColumn("ensembl_gene_id", ids.strip("ensembl_gene_id")), "ensembl_gene_id", enrichment_mapping(hits), cols)
-    return out.withColumn("id_mapping_source", F.lit("mygene.info"))
+    return materialize(out.withColumn("id_mapping_source", F.lit("mygene.info")), "enriched")
 
 
 def enrichment_counts(enriched: DataFrame) -> DataFrame:
@@ -175,12 +178,12 @@ def crosscheck_ids(enriched: DataFrame, hgnc: DataFrame, mart: DataFrame) -> Dat
     kept = [F.col("_e.value").alias(c) if c == "entrez_id" else F.col("_u.value").alias(c) if c == "uniprot_id" else F.col(c) for c in base.columns]
     notes = F.array_compact(F.array(F.when(F.col("_e.note") != "", F.concat(F.lit("entrez: "), F.col("_e.note"))),
                                     F.when(F.col("_u.note") != "", F.concat(F.lit("uniprot: "), F.col("_u.note")))))
-    return joined.select(
+    return materialize(joined.select(
         *kept, ids.join_unique("_he", ";", "any_case_null").alias("entrez_id_hgnc"), ids.join_unique("_be", ";", "any_case_null").alias("entrez_id_biomart"),
         F.col("_e.status").alias("entrez_agreement_status"), ids.join_unique("_hu", ";", "any_case_null").alias("uniprot_id_hgnc"),
         ids.join_unique("_bu", ";", "any_case_null").alias("uniprot_id_biomart"), F.col("_u.status").alias("uniprot_agreement_status"),
         mapping.review_flag("_e.status", "_u.status", F.col("_e.value"), F.col("_u.value")).alias("mapping_review_flag"),
-        F.array_join(notes, " | ").alias("mapping_notes_crosscheck"))
+        F.array_join(notes, " | ").alias("mapping_notes_crosscheck")), "crosschecked")
 
 
 # Columns taken from the nomenclature table as (target, source, kind).
@@ -240,6 +243,7 @@ def match_nomenclature(master: DataFrame, hgnc: DataFrame) -> tuple[DataFrame, D
     conflicts = mapping.conflict_candidates(source, "_src", _hgnc_keys(source), evidence).join(
         source.select("_src", *[c for c in ("hgnc_id", "symbol", "ensembl_gene_id", "entrez_id", "uniprot_ids") if c in source.columns]), "_src").drop("_src")
     values = F.struct(*[_hgnc_value(agreed, s, k).alias(t) for t, s, k in HGNC_COLUMNS])
+    agreed = materialize(agreed, "agreed")
     matched = agreed.where("status = 'mapped'").groupBy("gene").agg(F.max_by(values, "file_row").alias("h")).select("gene", "h.*")
     return matched, conflicts
 
@@ -270,6 +274,7 @@ def gtf_identifiers(gtf: DataFrame, master: DataFrame, suffix: str) -> DataFrame
         cell(F.col("name"), F.col("name") != "").alias(f"gene_names_{suffix}"))
 
 
+# Combined mapping columns that the ambiguity report covers.
 MAPPING_COLUMNS = ("map_symbols_all map_ensembl_gene_ids_all map_entrez_ids_all map_uniprot_ids_all map_refseq_ids_all map_ccds_ids_all "
                    "map_ensembl_transcript_ids_all map_ensembl_protein_ids_all map_string_protein_ids_all").split()
 
@@ -282,7 +287,7 @@ def finalize(crosschecked: DataFrame, hgnc: DataFrame, gtf_current: DataFrame, g
     for part in (matched, gtf_identifiers(gtf_current, crosschecked, cur), gtf_identifiers(gtf_grch37, crosschecked, old)):
         wide = wide.join(part.withColumnRenamed("gene", "_g"), "_g", "left")
     fresh = [c for c in wide.columns if c not in crosschecked.columns and c != "_g"]
-    wide = wide.select(*crosschecked.columns, *[F.coalesce(c, F.lit("")).alias(c) for c in fresh])
+    wide = materialize(wide.select(*crosschecked.columns, *[F.coalesce(c, F.lit("")).alias(c) for c in fresh]), "wide")
 
     def col(c):
         return F.col(c) if c in wide.columns else F.lit("")
@@ -318,6 +323,7 @@ def finalize(crosschecked: DataFrame, hgnc: DataFrame, gtf_current: DataFrame, g
         F.when((F.col(tx + old) != "") | (F.col(pr + old) != ""), F.lit("Ensembl_GRCh37_87_GTF"))))
     out = out.withColumn("map_string_protein_ids_all", ids.join_unique(ids.string_protein_ids(ids.split_pipe("map_ensembl_protein_ids_all")))).withColumn(
         "identifier_enrichment_sources", F.array_join(sources, "|"))
+    out = materialize(out, "final")
 
     def tagged(c):
         return F.transform(ids.split_pipe(c), lambda t: F.struct(F.lit(c).alias("mapping_column"), t.alias("id")))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, num
-from ..models.specs import STANDARD_CHROMOSOMES
 from ..operators import features, linalg, mapping, quality, reshape, vectors
 from ..session import materialize
 from .genome import standard_protein_coding

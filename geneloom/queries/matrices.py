@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, num
 from ..operators import features, graph, linalg, quality, ranges, vectors
 from .aggregates import UNNEST
-from .registry import big, query, r
+from .registry import query, r
 
 # an order-customer-supplier network: customers and suppliers as nodes
 EDGE_SQL = """e AS (SELECT concat('c', o_custkey) AS a, concat('s', l_suppkey) AS b, l_quantity, l_discount, l_tax, l_extendedprice,

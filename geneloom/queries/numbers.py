@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ids, num
+from ..functions import num
 from ..operators import features, quality
-from .registry import big, query, r, scalar
+from .registry import query, r, scalar
 
 scalar("to_number_or_null", "N1", "customer", "c_custkey", {
     "raw": "CASE c_custkey % 5 WHEN 0 THEN 'x1' WHEN 1 THEN '' WHEN 2 THEN concat(' ', cast(c_custkey AS STRING), '.5 ') WHEN 3 THEN '1e3' ELSE concat('-', cast(c_custkey AS STRING)) END"}, {

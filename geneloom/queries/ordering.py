@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import num
 from ..operators import quality, ranges, reshape, vectors
 from ..plans import master as gene_master
-from ..streaming.incremental import remaining
 from .aggregates import UNNEST
 from .registry import big, query, r
 

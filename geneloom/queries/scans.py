@@ -16,7 +16,6 @@ from ..plans.network import alias_entrez
 from ..session import scratch_path
 from ..sources import archives, bio, readers, sinks
 from ..streaming.incremental import drain_files, resume
-from .matrices import edges
 from .registry import big, query, r
 from .sequences import DUCK_DNA, dna
 

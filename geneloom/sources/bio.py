@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from .readers import file_order, read_lines
+from .readers import read_lines
 
 ATTRIBUTE = r'(\S+ "[^"]*")'
 

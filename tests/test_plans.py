@@ -268,3 +268,45 @@ def test_file_stream_picks_up_only_new_files(spark, tmp_path):
     assert incremental.drain_files(spark, src, "*.parquet", df.schema, lambda d: d, sink, chk).count() == 5
     spark.range(5, 8).write.mode("append").parquet(src)
     assert incremental.drain_files(spark, src, "*.parquet", df.schema, lambda d: d, sink, chk).count() == 8
+
+
+def test_canonical_splice_sites(spark):
+    m = spark.createDataFrame([("g1", "c", "+", "T1", "T1.2"), ("g2", "c", "+", "T2", ""), ("g3", "z", "+", "T1", ""), ("g4", "c", "-", "T9", ""), ("g5", "c", "-", "T1", "")],
+                              "ensembl_gene_id string, chromosome string, strand string, canonical_transcript_id string, canonical_transcript_id_versioned string")
+    ex = spark.createDataFrame([("T1.2", "c", 10, 20, "+", 1), ("T1.2", "c", 30, 40, "+", 2), ("T2.1", "c", 5, 9, "+", 1)],
+                               "transcript_id string, chromosome string, start bigint, stop bigint, strand string, exon_number int")
+    ch = spark.createDataFrame([("c", 100)], "chromosome string, chrom_length bigint")
+    table, sites = genome.canonical_splice_sites(m, ex, ch)
+    assert rows(table, "ensembl_gene_id", "site_status", "n_splice_sites") == [
+        ("g1", "ok", 2), ("g2", "single_exon_or_no_junctions", 0), ("g3", "chromosome_not_in_fasta", 0),
+        ("g4", "canonical_transcript_exons_not_found", 0), ("g5", "ok", 2)]
+    assert rows(sites, "ensembl_gene_id", "site_type", "site_0based") == [("g1", "acceptor", 29), ("g1", "donor", 19), ("g5", "acceptor", 19), ("g5", "donor", 29)]
+    bounds = genome.splice_input_bounds(sites).first()
+    assert bounds["input_stop"] - bounds["input_start"] == 10_101
+
+
+def test_regulatory_plan(spark):
+    m = spark.createDataFrame([(f"ENSG{i}", "s", "protein_coding", "1", "p", "chr1", "1", "2", "+", "GRCh38") for i in range(1, 6)] +
+                              [("ENSG9", "s", "protein_coding", "1", "p", "chrM", "1", "2", "+", "GRCh38")],
+                              "ensembl_gene_id string, gene_symbol string, gene_type string, entrez_id string, uniprot_id string, chromosome string, "
+                              "gene_start string, gene_end string, strand string, assembly string")
+    x = [[1.0, 2.0, 7.0], [2.0, 1.0, 7.0], [4.0, 4.0, 7.0], [0.0, 3.0, 7.0]]
+    chunks = spark.createDataFrame([(f"ENSG{i + 1}", "iv", "5", *[str(v) for v in r]) for i, r in enumerate(x)],
+                                   "ensembl_gene_id string, input_interval string, tss_1based string, `a|b` string, f2 string, f3 string")
+    out = tabular.regulatory_vectors(chunks, m, ["a|b", "f2", "f3"], k=2)
+    z = np.array(x)
+    s = z.std(0)
+    z = (z - z.mean(0)) / np.where(s == 0, 1, s)
+    got = np.array([v for _, v in sorted(vec(out["vectors"]).items())])
+    assert np.allclose((got ** 2).sum(0), np.linalg.svd(z, compute_uv=False)[:2] ** 2)
+    assert [r["zero_std"] for r in out["feature_stats"].orderBy("dim").collect()] == [False, False, True]
+    with pytest.raises(ValueError):
+        tabular.regulatory_vectors(chunks.union(chunks), m, ["a|b", "f2", "f3"], k=2)
+
+
+def test_exact_ids_keep_source_rows(spark):
+    m = spark.createDataFrame([("ENSG00000000001",), ("ENSG00000000002",)], "ensembl_gene_id string")
+    src = spark.createDataFrame([("ENSG00000000002", [1.0, 2.0]), ("ENSG00000000007", [3.0, 1.0])], "gene_id string, vector array<float>")
+    out = tabular.exact_id_vectors(src, m, 2)
+    assert vec(out["vectors"], "gene_id") == {"ENSG00000000002": [1.0, 2.0]}
+    assert rows(out["routing"]) == [("ENSG00000000002", "mapped_exact_ensembl_gene_id"), ("ENSG00000000007", "not_in_master_table")]
