@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..session import materialize
 from .ranges import with_row_index
-from .skew import hot_keys, key_frequency, lookup, salted_join
+from .skew import fits_broadcast, hot_keys, key_frequency, lookup, salted_join
 
 # Evidence channels and score threshold of a detailed links file.
 LINK_CHANNELS = ("neighborhood", "fusion", "cooccurence", "coexpression", "experimental", "database", "textmining")
@@ -92,12 +92,16 @@ def closure(parents: DataFrame, child: str = "child", parent: str = "parent", ma
     edges = materialize(lookup(edges, inner, ["ancestor"], "left").withColumn(
         "_open", F.coalesce("_open", F.lit(False))), "edges")
     step = edges.select(F.col("term").alias("_mid"), F.col("ancestor").alias("_next"), F.col("_open").alias("_next_open"))
-    hot = hot_keys(key_frequency(edges, ["ancestor"]).withColumnRenamed("ancestor", "_mid"), ["_mid"], "_rows")
+    small = fits_broadcast(step)
+    if not small:
+        counts = key_frequency(edges, ["ancestor"]).withColumnRenamed("ancestor", "_mid")
+        hot = materialize(hot_keys(counts, ["_mid"], "_rows"), "hot")
     known = edges
     delta = edges
     for _ in range(max_rounds):
         frontier = delta.where("_open").select("term", F.col("ancestor").alias("_mid"))
-        grown = salted_join(frontier, step, ["_mid"], hot, "inner", ["term"]).select(
+        joined = frontier.join(step, "_mid") if small else salted_join(frontier, step, ["_mid"], hot, "inner", ["term"])
+        grown = joined.select(
             "term", F.col("_next").alias("ancestor"), F.col("_next_open").alias("_open")).distinct()
         delta = materialize(grown.join(known.select("term", "ancestor"), ["term", "ancestor"], "left_anti"), "delta")
         if delta.isEmpty():

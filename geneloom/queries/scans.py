@@ -134,7 +134,7 @@ def _sc13(t):
 SELECT concat('ENST', doc_id) AS record_id, length(s) AS n, md5(s) AS digest FROM (SELECT doc_id, {DUCK_DNA} AS s FROM documents) q WHERE length(s) > 0""")
 def _sc14(t):
     path = scratch_path(t.spark, "fasta")
-    d = t.documents.select(F.concat(F.lit("ENST"), "doc_id").alias("id"), "lang", dna().alias("s")).where("length(s) > 0")
+    d = t.texts.select(F.concat(F.lit("ENST"), "doc_id").alias("id"), "lang", dna().alias("s")).where("length(s) > 0")
     sinks.write_fasta(d, path, ["id", "lang"], "s")
     f = bio.read_fasta(t.spark, path)
     return f.select(F.substring_index("header", "|", 1).alias("record_id"), big(F.length("sequence")).alias("n"), F.md5("sequence").alias("digest"))
