@@ -20,7 +20,9 @@ RUNTIME_DEFAULTS = {
     # vector aggregates keep one buffer per key; let the hash map grow past
     # the default of 128 keys before it falls back to sorting
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    # long sequences make heavy rows: bound Arrow batches by rows and by bytes
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
 
 
