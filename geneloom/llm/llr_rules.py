@@ -26,7 +26,7 @@ def bucket(*grams) -> Column:
 def bucket_counts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(bucket, n_raw, n_target) over all documents; ``trusted`` has the ids of the target, once or more each."""
     ids = trusted.select(F.col(doc_id).alias("t_id")).where("t_id is not null").distinct()
-    d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(ids, F.col("id") == F.col("t_id"), "left")
+    d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(ids.hint("merge"), F.col("id") == F.col("t_id"), "left")  # one plan at every size
     d = d.select(F.col("t_id").isNotNull().cast("bigint").alias("target"), words(whole("t")).alias("w")).where(F.size("w") > 0)
     d = d.select("target", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
     one, two = F.get("w", F.col("i")), F.get("w", F.col("i") + 1)
@@ -95,7 +95,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     A missing or empty text has no words: it fails the base rules and its ``llr`` is 0. Repeated rows get equal results. With no
     trusted rows at all every ratio is 0, so that only the base rules decide. An empty table gives an empty table.
     """
-    ratios = materialize(log_ratios(bucket_counts(docs, trusted, doc_id, text)), "ratios")
+    ratios = log_ratios(materialize(bucket_counts(docs, trusted, doc_id, text), "counts"))
     d = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("t"))
     d = d.withColumn("w", words(F.col("t")))
     d = d.withColumn("dup", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
