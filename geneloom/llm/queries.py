@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, license_scan, line_dedup, llr_rules, packing, records, secret_scan
+from . import decontaminate, html_text, license_scan, line_dedup, llr_rules, packing, pu_quality, records, secret_scan
 from .text import table
 
 
@@ -48,9 +48,15 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = pu_quality.trusted_ids(table(spark, sf_dir, "labels"))
+    found = pu_quality.classify(table(spark, sf_dir, "documents"), trusted)
+    return found.select("doc_id", pu_quality.held_out().alias("held_out"), "score", (F.col("score") >= pu_quality.CUT).cast("int").alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return llr_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_license_scan, op4_html_text, op5_line_dedup, op6_decontaminate, op8_token_records, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_license_scan, op4_html_text, op5_line_dedup, op6_decontaminate, op8_token_records, op9_pu_quality, op10_quality_rules)}
