@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, license_scan, line_dedup, llr_rules, packing, pu_quality, records, secret_scan
+from . import decontaminate, html_text, license_scan, line_dedup, llr_rules, ngram_join, packing, pu_quality, records, secret_scan
 from .text import table
 
 
@@ -43,6 +43,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = records.round_trip(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -59,4 +63,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return llr_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_license_scan, op4_html_text, op5_line_dedup, op6_decontaminate, op8_token_records, op9_pu_quality, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_license_scan, op4_html_text, op5_line_dedup, op6_decontaminate, op7_ngram_join, op8_token_records, op9_pu_quality, op10_quality_rules)}
