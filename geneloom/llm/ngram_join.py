@@ -27,11 +27,11 @@ SHINGLE, PERCENT = 4, 85  # fixed values of the contract
 SKETCH = 1 << 17  # counters of the rarity table: 1 MB, whatever the corpus
 LONGEST = 6  # the longest prefix scheme tried
 VERIFY_COST = 8.0  # what one verification costs per 100 shingles, in postings
-STARS, STAR_WIDTH, BLOCK = 3, 256, 512
-MEMORY_WORDS = 500_000  # words remembered per task, then the memory starts anew
-_LOWER = str.maketrans(UPPER, LOWER)
-_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
+STARS, STAR_WIDTH, BLOCK = 2, 256, 512
+_BYTES = bytes.maketrans((UPPER + "\t\n\x0b\x0c\r").encode(), (LOWER + "     ").encode())
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)  # any odd multipliers
+_INVERSE = np.uint64(pow(int(_ODD[0]), -1, 1 << 64))
+_VALUES = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)  # one value per byte
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -41,28 +41,44 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """The sorted distinct shingle hashes of texts. Words are hashed once and remembered."""
+    """The sorted distinct shingle hashes of the texts of a batch. Words and shingles are hashed for all its texts at once."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self.known = size, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        found = [w for w in (text or "").translate(_LOWER).translate(_SPACE).split(" ") if w]
-        if not found:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > MEMORY_WORDS:
-            known.clear()
-        for w in found:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        a = np.array([known[w] for w in found], np.uint64)
-        k = min(self.size, len(a))
-        x = np.full(len(a) - k + 1, k, np.uint64)
+        self.size = size
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        raw = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts]
+        data = np.frombuffer((b" ".join(raw) + b" ").translate(_BYTES), np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in raw])
+        black = np.concatenate([[False], data != 32, [False]])
+        turns = np.flatnonzero(black[1:] != black[:-1])
+        start, stop = turns[0::2], turns[1::2]
+        # the hash of a word: its bytes' values times powers of an odd number, summed; the powers are taken relative to its start
+        power = np.full(len(data), _ODD[0], np.uint64)
+        power[:1] = 1
+        power = np.cumprod(power, dtype=np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * power, dtype=np.uint64)])
+        back = np.full(len(data), _INVERSE, np.uint64)
+        back[:1] = 1
+        back = np.cumprod(back, dtype=np.uint64)
+        word = _mixed((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
+        at = np.searchsorted(start, np.concatenate([[0], ends]))  # the first word of each text
+        full = self._shingles(word, self.size) if len(word) >= self.size else word[:0]
+        out = []
+        for a, b in zip(at[:-1], at[1:]):
+            if b - a >= self.size:
+                out.append(np.unique(full[a:b - self.size + 1]))
+            else:
+                out.append(self._shingles(word[a:b], b - a) if b > a else word[:0])
+        return out
+
+    @staticmethod
+    def _shingles(word: np.ndarray, k: int) -> np.ndarray:
+        x = np.full(len(word) - k + 1, k, np.uint64)
         for i in range(k):
-            x = (x ^ a[i:len(a) - k + 1 + i]) * _ODD[i % 4]
+            x = (x ^ word[i:len(word) - k + 1 + i]) * _ODD[i % 4]
             x ^= x >> np.uint64(31)
-        return np.unique(_mixed(x))
+        return _mixed(x)
 
 
 def set_key(s: np.ndarray) -> int:
@@ -75,8 +91,8 @@ def rarity(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = Shingler(size), np.zeros(SKETCH, np.int64)
         for batch in bounded(batches, "text"):
-            for t in batch.column("text").to_pylist():
-                slots = (shingle(t) % np.uint64(SKETCH)).astype(np.int64)
+            for s in shingle(batch.column("text")):
+                slots = (s % np.uint64(SKETCH)).astype(np.int64)
                 if len(slots) * 8 < SKETCH:
                     np.add.at(seen, slots, 1)
                 else:
@@ -109,7 +125,7 @@ def prefixes(docs: DataFrame, seen: np.ndarray, size: int = SHINGLE, percent: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
         for batch in bounded(batches, "text"):
-            sets = [shingle(t) for t in batch.column("text").to_pylist()]
+            sets = shingle(batch.column("text"))
             chosen = [prefix(s, seen, percent) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
@@ -124,7 +140,7 @@ def whole_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
         for batch in bounded(batches, "text"):
-            sets = [shingle(t) for t in batch.column("text").to_pylist()]
+            sets = shingle(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "items"])
 
     return docs.mapInArrow(run, "key bigint, items binary")
