@@ -1,8 +1,8 @@
 """Benchmark decontamination with built-in functions only.
 
 The windows of the benchmark are a set of hashes that is broadcast while its counted size allows it (otherwise the planner joins by
-hash). Each document is scanned once: every word position gives the hash of the window that starts there, the join finds the hits,
-and the words themselves are compared before a hit counts.
+hash, and a position sends its own window, never its document). Each document is scanned once: every word position gives the hash of
+the window that starts there, the join finds the hits, and the words themselves are compared before a hit counts.
 """
 
 from __future__ import annotations
@@ -44,9 +44,9 @@ def scan(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     # per length: the places where a window can start; the first has place 0 always, so that each document keeps a row
     places = [F.struct(F.lit(k).alias("k"), F.sequence(F.lit(0), F.greatest(F.col("n_words") - k, F.lit(0))).alias("at")) for k in lengths]
     at = base.withColumn("p", F.explode(F.array(*places))).select("doc", "row", "w", "n_words", F.col("p.k").alias("k"), F.explode("p.at").alias("i"))
-    at = at.withColumn("wh", F.xxhash64(subsequence("w", F.col("i"), F.col("k"))))
+    at = at.select("doc", "row", "n_words", "k", "i", subsequence("w", F.col("i"), F.col("k")).alias("words")).withColumn("wh", F.xxhash64("words"))
     g = grams.select(F.col("item").alias("g_item"), F.col("k").alias("gk"), F.col("gram"), F.col("h"))
-    hit = (F.col("wh") == F.col("h")) & (F.col("k") == F.col("gk")) & (subsequence("w", F.col("i"), F.col("k")) == F.col("gram"))
+    hit = (F.col("wh") == F.col("h")) & (F.col("k") == F.col("gk")) & (F.col("words") == F.col("gram"))
     found = at.join(g, hit, "left").where(F.col("gk").isNotNull() | ((F.col("i") == 0) & (F.col("k") == lengths[0])))
     start = F.when(F.col("gk").isNotNull(), F.struct("i", "gk"))
     return found.groupBy("row").agg(F.first("doc").alias("doc_id"), F.first("n_words").cast("bigint").alias("n_words"),
