@@ -213,10 +213,11 @@ def candidate_pairs(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b) of different components whose prefixes share min(l, l') shingles and whose sizes and positions allow a link."""
     p = postings.withColumn("blocks", F.ceil(F.col("holders") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
     p = p.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    p = p.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "comp", "n", "l", "pos")
-    side = lambda c: p.select("token", "lo", "hi", *[F.col(x).alias(f"{x}_{c}") for x in ("key", "comp", "n", "l", "pos")])
+    p = p.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "comp", "n", "l", "pos")
+    side = lambda c: p.select("token", "lo", "hi", *[F.col(x).alias(f"{x}_{c}") for x in ("block", "key", "comp", "n", "l", "pos")])
     fit = (F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    met = side("a").join(side("b"), ["token", "lo", "hi"]).where(fit)
+    once = (F.col("block_a") != F.col("block_b")) | (F.col("lo") == F.col("hi"))  # members of one block meet only there
+    met = side("a").join(side("b"), ["token", "lo", "hi"]).where(fit & once)
     met = met.groupBy("key_a", "key_b", "n_a", "n_b", "l_a", "l_b").agg(F.count(F.lit(1)).alias("m"), F.max("pos_a").alias("i"), F.max("pos_b").alias("j"))
     most = F.col("m") + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) - 1  # what they can share after the last match
     met = met.where((F.col("m") >= F.least("l_a", "l_b")) & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))))
