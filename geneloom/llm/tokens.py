@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -9,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+TOGETHER = 256  # chunks per call of the tokenizer
 END_ID = 2  # fixed value of the contract: closes each document
 BATCH_BYTES = 4 << 20  # text that is encoded at once, unless a single text is longer
-MEMORY_CHUNKS = 200_000  # chunks remembered per worker, then the memory starts anew
+MEMORY_CHUNKS = 600_000  # chunks remembered per worker (about 120 MB), then the memory starts anew
 
 
 def default_tokenizer() -> str:
@@ -32,6 +34,11 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_B
             at = to
 
 
+def roomy(a: np.ndarray, n: int) -> np.ndarray:
+    """``a`` with room for ``n`` elements, at least doubled where it had none."""
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(len(a), n - len(a)), a.dtype)])
+
+
 class Encoder:
     """White space never joins tokens of this kind of tokenizer, so each run between blanks is encoded once and remembered."""
 
@@ -40,6 +47,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        shape = self.tokenizer.normalizer
+        self.lowers = shape is not None and shape.normalize_str("AbYZ") == "abyz"  # then A-Z are lowered before chunks are told apart
         self.forget()
 
     def forget(self) -> None:
@@ -48,20 +57,23 @@ class Encoder:
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def learn(self, chunks: list[str]) -> None:
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False)):
-            ids, n = e.ids, len(self.slots)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            if n == len(self.start):
-                self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
-            self.pool[self.used:self.used + len(ids)] = ids
-            self.start[n], self.size[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.slots[chunk] = n
+        groups = [chunks[at:at + TOGETHER] for at in range(0, len(chunks), TOGETHER)]
+        found = self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.uint32)
+        size = np.concatenate([np.zeros(0, np.int64), *[np.bincount(np.array(e.word_ids, np.int64), minlength=len(g)) for e, g in zip(found, groups)]])
+        n = len(self.slots)
+        self.pool = roomy(self.pool, self.used + len(ids))
+        self.start, self.size = roomy(self.start, n + len(chunks)), roomy(self.size, n + len(chunks))
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.start[n:n + len(chunks)] = self.used + np.cumsum(size) - size
+        self.size[n:n + len(chunks)] = size
+        self.used += len(ids)
+        self.slots.update(zip(chunks, range(n, n + len(chunks))))
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one document after another, and where each document begins and ends. A missing text is empty."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.lowers else texts)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.flatten().dictionary_encode()
         seen = flat.dictionary.to_pylist()
