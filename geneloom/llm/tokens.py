@@ -49,6 +49,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         shape = self.tokenizer.normalizer
         self.lowers = shape is not None and shape.normalize_str("AbYZ") == "abyz"  # then A-Z are lowered before chunks are told apart
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # found as they are written, whatever the normaliser
         self.forget()
 
     def forget(self) -> None:
@@ -70,10 +71,16 @@ class Encoder:
         self.used += len(ids)
         self.slots.update(zip(chunks, range(n, n + len(chunks))))
 
+    def lowered(self, texts: pa.Array) -> pa.Array:
+        """The texts with A-Z in lower case, or as they are where that could make or break an added token."""
+        low = pc.ascii_lower(texts)
+        touched = any(pc.any(pc.match_substring(low, t.lower())).as_py() for t in self.added)
+        return texts if touched else low
+
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one document after another, and where each document begins and ends. A missing text is empty."""
         texts = pc.fill_null(texts, "")
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.lowers else texts)
+        lists = pc.ascii_split_whitespace(self.lowered(texts) if self.lowers else texts)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.flatten().dictionary_encode()
         seen = flat.dictionary.to_pylist()

@@ -151,3 +151,13 @@ def test_best_fit_is_the_tightest():
         assert 64 - offset[i] == cap and room[which[i]] == cap
         room[which[i]] -= lengths[i]
     assert len(room) == which.max() + 1
+
+
+def test_encoder_of_odd_texts():
+    """Letters that change with case or composition, separators of several kinds, more chunks than are encoded together."""
+    coder = tokens.Encoder(tokens.default_tokenizer())
+    odd = ["", " \n", "İ Á KKK İx", "DON'T stop Now", "A" * 5000, "\x1cA B\x85C", "É ẞ ΣΣ A\x0bB\x0cC\x00D", " ".join(f"W{i}x." for i in range(700))]
+    for part in (odd, odd[::-1], [None], ["<|ENDOFTEXT|> a", "b<|EndOfText|>C"], ["<|endoftext|> A", "B<|endoftext|>c"]):
+        ids, bounds = coder.encode(pa.array(part, pa.string()))
+        for text, a, b in zip(part, bounds[:-1], bounds[1:]):
+            assert ids[a:b].tolist() == coder.tokenizer.encode(text or "", add_special_tokens=False).ids + [tokens.END_ID]
