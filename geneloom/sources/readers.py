@@ -34,6 +34,12 @@ def first_lines(spark: SparkSession, path, n: int) -> list[str]:
     return [r["value"] for r in spark.read.text(path).head(n)]
 
 
+def without_head(lines: DataFrame, head: list[str], text: Column) -> DataFrame:
+    """``lines`` without the first occurrence of each head line in each file; equal lines further down are data."""
+    first = lines.where(text.isin(head)).groupBy(F.col("file_row.path"), text).agg(F.min("file_row").alias("head_row")).select("head_row")
+    return lines.join(first, F.col("file_row") == F.col("head_row"), "left_anti")
+
+
 def read_text_table(spark: SparkSession, path, sep: str = ",", required: list[str] | None = None, multi_line: bool = False,
                     keep_na: bool = False) -> DataFrame:
     """Header table with every column a string; NA spellings become ``''``.
@@ -102,7 +108,7 @@ def read_sniffed_vectors(spark: SparkSession, path) -> DataFrame:
     header = first.split(",", 1)[0].strip().lower() in HEADER_CELLS
     lines = read_lines(spark, path).where(F.trim("value") != "")
     if header:
-        lines = lines.where(F.col("value") != first)
+        lines = without_head(lines, [first], F.col("value"))
     cells = F.split("value", ",")
     out = lines.select(F.get(cells, F.lit(0)).alias("source_token"), _floats(F.slice(cells, F.lit(2), F.size(cells) - 1)).alias("vector"), "file_row")
     return _require_finite(out, "vector", path)
@@ -167,7 +173,7 @@ def read_word_vectors(spark: SparkSession, path) -> DataFrame:
     parts = F.split(ids.strip("value"), r"\s+")
     rows = read_lines(spark, path).where(ids.strip("value") != "")
     if header:
-        rows = rows.where(ids.strip("value") != " ".join(head[0]))
+        rows = without_head(rows, [" ".join(head[0])], F.regexp_replace(ids.strip("value"), r"\s+", " "))
     vec = _floats(F.slice(parts, F.lit(2), F.size(parts) - 1))
     rows = rows.select(F.get(parts, F.lit(0)).alias("source_id"), vec.alias("vector"), "file_row")
     status = (F.when(F.exists("vector", lambda x: x.isNull()), F.lit("cannot_parse_floats"))
@@ -209,7 +215,7 @@ def read_gct(spark: SparkSession, path) -> DataFrame:
     if not {"Name", "Description"} <= set(names):
         raise ValueError(f"{path}: not an expression table")
     preamble = first_lines(spark, path, 3)
-    rows = read_lines(spark, path).where(~F.col("value").isin(*preamble) & (F.col("value") != ""))
+    rows = without_head(read_lines(spark, path).where(F.col("value") != ""), preamble, F.col("value"))
     cells = F.split("value", "\t")
     return rows.select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)], "file_row")
 

@@ -84,6 +84,13 @@ def test_vector_tables(spark, tmp_path):
     assert rows(readers.read_word_vectors(spark, w), "source_id", "status") == [("A", "ok"), ("B", "wrong_dim_1_expected_2"), ("C", "cannot_parse_floats")]
 
 
+def test_data_rows_that_equal_a_head_line_stay(spark, tmp_path):
+    w = write(tmp_path / "w.txt", "3 1\nA 2\n3 1\n")
+    assert rows(readers.read_word_vectors(spark, w), "source_id", "vector") == [("3", [1.0]), ("A", [2.0])]
+    g = write(tmp_path / "g.gct", "#1.2\n2\t1\nName\tDescription\nx\ty\n2\t1\n")
+    assert rows(readers.read_gct(spark, g), "Name", "Description") == [("2", "1"), ("x", "y")]
+
+
 def test_matrix_repair(spark, tmp_path):
     ids = readers.read_id_list(spark, write(tmp_path / "ids.txt", "7\n8.0\n"))
     for text in ("a,b\n1,2\n3,4\n", "100,1,2,\n200,3,4,\n"):
