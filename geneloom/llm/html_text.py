@@ -2,9 +2,10 @@
 
 The standard library's parser streams its events into blocks (lines): the text between two block-level tags. Each block has a ratio
 of characters to tags; links, and blocks in parts whose tag, role or class says menu, footer, advert and the like, count as tags
-without text. The smoothed ratios are split into two clusters; the blocks of the upper one are the seeds of the content. The region
-is the innermost part of the page that holds nearly all seed text (its article, if it lies in one), and every block of the region
-outside such parts belongs to the text, short ones included.
+without text. The smoothed ratios are split into two clusters; the blocks of the upper one are the seeds of the content. The text has
+every article that holds a seed, and the smallest part of the page that holds all seeds outside articles (its main part, if it lies in
+one; without either, as much around it as adds no block made mostly of links). Every block in them outside such parts belongs to the text,
+short ones included.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ advertising adsense sponsor sponsored sponsors promo promotion promotions banner
 subscription signup login social share sharing sharebar related recommended recommendations teaser teasers comment comments commentlist reply replies respond disqus discussion form search searchbox pagination
 pager toolbar hidden skip paywall""".split())
 KEPT_WHOLE = frozenset(["html", "body", "main"])  # their classes speak about the page
-SHARE = 0.9  # of the seed text that the region holds at least
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody tr td th figure figcaption details summary".split())  # too small for a region
 SIGMA = 1.0
 
 
@@ -161,25 +162,30 @@ def main_text(html: str) -> str:
     seed = (level >= threshold(level)) & (ratios > 0)
     if not seed.any():
         seed = ratios > 0
-    mass: dict[int, int] = {}
-    for (text, _, _, path, _), s in zip(blocks, seed):
-        if s:
-            for part in path:
-                mass[part] = mass.get(part, 0) + len(text)
-    total = sum(len(b[0]) for b, s in zip(blocks, seed) if s)
-    paragraphs = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "table", "tbody", "tr", "td", "th", "figure", "figcaption", "details", "summary"}
-    region = 0  # the whole page
-    for part, m in mass.items():
-        if m >= SHARE * total and parser.tags_of[part] not in paragraphs:
-            region = max(region, part)  # parts are numbered in order, so a part in another has the larger number
-    path = next((b[3] for b, s in zip(blocks, seed) if s and region in b[3]), ())
-    around = path[:path.index(region) + 1] if region else ()
-    region = next((part for part in around if parser.tags_of[part] == "article"), next((part for part in around if parser.tags_of[part] == "main"), region))
-    if region == 0 or parser.tags_of[region] in ("html", "body", "main", "div", "section"):  # several articles side by side are all main text
-        inside = {part for b, s in zip(blocks, seed) if s and not b[4] for part in b[3] if parser.tags_of[part] == "article"}
-        if inside:
-            return "\n".join(b[0] for b in blocks if not b[4] and inside & set(b[3]))
-    return "\n".join(text for text, _, _, path, drop in blocks if not drop and (not region or region in path))
+    articles = {next(part for part in b[3] if parser.tags_of[part] == "article") for b, s in zip(blocks, seed) if s and any(parser.tags_of[part] == "article" for part in b[3])}
+    paths = [b[3] for b, s in zip(blocks, seed) if s and not articles & set(b[3])]
+    around = None  # the path of the smallest part that holds all seed blocks outside articles; () is the whole page
+    if paths:
+        low, high = min(paths), max(paths)
+        around = low[:next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))]
+        while around and parser.tags_of[around[-1]] in PARAGRAPHS:
+            around = around[:-1]
+        main = next((i for i, part in enumerate(around) if parser.tags_of[part] == "main"), None)
+        if main is not None:
+            around = around[:main + 1]
+        elif not articles:
+            around = widened(around, blocks)
+    return "\n".join(text for text, _, _, path, drop in blocks if not drop and (articles & set(path) or around is not None and path[:len(around)] == around))
+
+
+def widened(around: tuple[int, ...], blocks: list) -> tuple[int, ...]:
+    """The largest part around a region that adds no block made mostly of links: titles, leads and last sections in parts of their own."""
+    while around:
+        outer = around[:-1]
+        if any(not b[4] and 2 * b[2] > len(b[0]) and b[3][:len(outer)] == outer and b[3][:len(around)] != around for b in blocks):
+            break
+        around = outer
+    return around
 
 
 SCHEMA = "page_id bigint, url string, text string"

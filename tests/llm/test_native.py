@@ -144,6 +144,34 @@ def test_main_text():
         html_text.main_text(odd)
 
 
+LONG = [f"Sentence {i} of a long paragraph, which goes on and on to tell a story about many things and people." for i in range(40)]
+
+
+def body_lines(body):
+    return html_text.main_text(f'<html><body><nav><a href="x">Home</a></nav>{body}<footer>(c)</footer></body></html>').split("\n")
+
+
+def test_main_text_of_unequal_articles():
+    articles = "".join(f"<article>{''.join(f'<p>{x}</p>' for x in part)}</article>" for part in (LONG[:38], LONG[38:]))
+    assert body_lines(articles) == LONG
+    assert body_lines(f"<main>{articles}</main>") == LONG
+
+
+def test_main_text_of_pages_of_divs():
+    for tag in ("div", "section"):
+        part = lambda *x: f"<{tag}>{''.join(f'<p>{y}</p>' for y in x)}</{tag}>"
+        assert body_lines(f"<{tag}>A title</{tag}>" + part(LONG[0]) + part(*LONG[1:39]) + part(LONG[39])) == ["A title", *LONG]
+        links = "<div><a href=x>One</a> <a href=y>Two</a></div>"
+        assert body_lines(links + f"<{tag}>" + part(LONG[0]) + part(*LONG[1:]) + f"</{tag}>" + links) == LONG
+
+
+def test_main_text_of_prose_beside_teaser_articles():
+    first, last = ("".join(f"<p>{x}</p>" for x in part) for part in ([*LONG[:20], "Short."], LONG[21:]))
+    for tag in ("main", "div"):
+        lines = body_lines(f"<{tag}><h1>A title</h1>{first}<article><p>{LONG[20]}</p></article>{last}</{tag}>")
+        assert lines == ["A title", *LONG[:20], "Short.", *LONG[20:]]
+
+
 def test_pages_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", ""), (None, None, "<p>Only a text.</p>")], "page_id bigint, url string, html string")
     assert sorted(r.text for r in html_text.extract(pages).collect()) == ["", "", "Only a text."]
