@@ -1,8 +1,9 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing and threshold clustering.
 
 The standard library's parser streams its events into blocks (lines): the text between two block-level tags. Each block has a ratio
-of characters to tags; links, and blocks in parts whose tag, role or class says menu, footer, advert and the like, count as tags
-without text. The smoothed ratios are split into two clusters; the blocks of the upper one are the seeds of the content. The text has
+of characters to tags; links, and blocks in parts whose tag or role says menu, footer and the like, count as tags without text. So do
+parts with such a word as a class or id, unless they are an article or hold most of the seed text: then the name speaks of the layout.
+A piece of a class or id (``has-sidebar``) only lowers the ratio. The smoothed ratios are split into two clusters; the blocks of the upper one are the seeds of the content. The text has
 every article that holds a seed, and the smallest part of the page that holds all seeds outside articles (its main part, if it lies in
 one; without either, as much around it as adds no block made mostly of links). Every block in them outside such parts belongs to the text,
 short ones included.
@@ -32,6 +33,7 @@ advertising adsense sponsor sponsored sponsors promo promotion promotions banner
 subscription signup login social share sharing sharebar related recommended recommendations teaser teasers comment comments commentlist reply replies respond disqus discussion form search searchbox pagination
 pager toolbar hidden skip paywall""".split())
 KEPT_WHOLE = frozenset(["html", "body", "main"])  # their classes speak about the page
+LOWERED = 0.25  # the ratio in parts with a dropped name as a piece of a class or id
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody tr td th figure figcaption details summary".split())  # too small for a region
 SIGMA = 1.0
 
@@ -41,14 +43,18 @@ def dropped(tag: str, attributes: dict[str, str | None], in_article: bool) -> bo
         return False  # holds the title of the article
     if tag in DROPPED or "hidden" in attributes or (attributes.get("aria-hidden") or "").lower() == "true":
         return True
-    if (attributes.get("role") or "").lower() in DROPPED_ROLES or re.search(r"display\s*:\s*none", attributes.get("style") or "", re.I):
-        return True
-    if tag in KEPT_WHOLE:
-        return False
-    names = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{attributes.get('class') or ''} {attributes.get('id') or ''}").lower()))
-    if in_article:
-        names -= {"header"}
-    return bool(names & DROPPED_NAMES)
+    return (attributes.get("role") or "").lower() in DROPPED_ROLES or bool(re.search(r"display\s*:\s*none", attributes.get("style") or "", re.I))
+
+
+def named(tag: str, attributes: dict[str, str | None], in_article: bool) -> tuple[bool, bool]:
+    """Whether a class or id is a dropped name, and whether a piece of one is."""
+    if tag in KEPT_WHOLE or not (attributes.get("class") or attributes.get("id")):
+        return False, False
+    names = DROPPED_NAMES - {"header"} if in_article else DROPPED_NAMES
+    tokens = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
+    pieces = re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", tokens).lower())
+    whole = not names.isdisjoint(tokens.lower().split()) and (tag != "article" or in_article)  # an article in another may be a comment
+    return whole, not names.isdisjoint(pieces)
 
 
 class Blocks(HTMLParser):
@@ -59,6 +65,8 @@ class Blocks(HTMLParser):
         self.blocks: list[tuple[str, int, int, tuple[int, ...], bool]] = []
         self.open: list[tuple[str, int, bool]] = []  # tag, number, dropped (itself or by a part around it)
         self.tags_of: dict[int, str] = {}
+        self.named: set[int] = set()
+        self.lowered: set[int] = set()
         self.count, self.links, self.articles = 0, 0, 0
         self.text: list[str] = []
         self.tags, self.link_chars = 0, 0
@@ -76,16 +84,23 @@ class Blocks(HTMLParser):
             self.links -= tag == "a"
             self.articles -= tag == "article"
         del self.open[at:]
-        self.path = tuple(n for t, n, _ in self.open if t not in INLINE)
+        self.path = tuple(n for _, n, _ in self.open if n)
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        attributes = dict(attrs)
         if tag in INLINE and tag not in VOID:
             outside = bool(self.open) and self.open[-1][2]
-            drop = outside or dropped(tag, dict(attrs), self.articles > 0)
-            if drop != outside:
+            drop = outside or dropped(tag, attributes, self.articles > 0)
+            name = not drop and named(tag, attributes, self.articles > 0)[0]
+            if drop != outside or name:
                 self.flush()
-            self.open.append((tag, 0, drop))
+            self.count += name
+            self.open.append((tag, self.count if name else 0, drop))
+            if name:
+                self.named.add(self.count)
+                self.tags_of[self.count] = tag
+                self.path = (*self.path, self.count)
             self.links += tag == "a"
             return
         if tag in VOID:
@@ -103,17 +118,22 @@ class Blocks(HTMLParser):
                     break
         self.count += 1
         outside = bool(self.open) and self.open[-1][2]
-        self.open.append((tag, self.count, outside or dropped(tag, dict(attrs), self.articles > 0)))
+        self.open.append((tag, self.count, outside or dropped(tag, attributes, self.articles > 0)))
+        whole, piece = named(tag, attributes, self.articles > 0)
+        if whole:
+            self.named.add(self.count)
+        if piece:
+            self.lowered.add(self.count)
         self.articles += tag == "article"
         self.tags_of[self.count] = tag
-        self.path = tuple(n for t, n, _ in self.open if t not in INLINE)
+        self.path = tuple(n for _, n, _ in self.open if n)
 
     def handle_endtag(self, tag):
         self.tags += 1
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 outside = at > 0 and self.open[at - 1][2]
-                if tag not in INLINE or self.open[-1][2] != outside:
+                if tag not in INLINE or any(n or drop != outside for _, n, drop in self.open[at:]):
                     self.flush()
                 self._close(at)
                 return
@@ -149,6 +169,28 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def seeds(ratios: np.ndarray) -> np.ndarray:
+    level = smoothed(np.log1p(ratios))
+    seed = (level >= threshold(level)) & (ratios > 0)
+    return seed if seed.any() else ratios > 0
+
+
+def named_parts(parser: Blocks, ratios: np.ndarray) -> set[int]:
+    """The parts that go for their name: those that hold at most half of the seed text, or whose page has seeds in an article beside them."""
+    mass: dict[int, int] = {}
+    texts = [(b[3], len(b[0])) for b, s in zip(parser.blocks, seeds(ratios)) if s]
+    for path, n in texts:
+        for part in path:
+            mass[part] = mass.get(part, 0) + n
+    total = sum(n for _, n in texts)
+    gone = {part for part in parser.named if 2 * mass.get(part, 0) <= total}
+    for part in parser.named - gone:
+        above = set(next(path for path, _ in texts if part in path))
+        if any(parser.tags_of[x] == "article" and x not in above for path, _ in texts if part not in path for x in path):
+            gone.add(part)
+    return gone
+
+
 def main_text(html: str) -> str:
     parser = Blocks()
     parser.feed(html)
@@ -158,31 +200,36 @@ def main_text(html: str) -> str:
     ratios = np.array([0.0 if drop else max(0, len(text) - links) / max(1, tags) for text, tags, links, _, drop in blocks])
     if not len(ratios) or not ratios.any():
         return ""
-    level = smoothed(np.log1p(ratios))
-    seed = (level >= threshold(level)) & (ratios > 0)
-    if not seed.any():
-        seed = ratios > 0
+    if parser.lowered:
+        ratios *= [1.0 if parser.lowered.isdisjoint(b[3]) else LOWERED for b in blocks]
+    if parser.named:
+        gone = named_parts(parser, ratios)
+        left = np.array([gone.isdisjoint(b[3]) for b in blocks])
+        if (ratios * left).any():  # else the names leave nothing
+            ratios *= left
+            blocks = [b if x else (*b[:4], True) for b, x in zip(blocks, left)]
+    seed = seeds(ratios)
     articles = {next(part for part in b[3] if parser.tags_of[part] == "article") for b, s in zip(blocks, seed) if s and any(parser.tags_of[part] == "article" for part in b[3])}
     paths = [b[3] for b, s in zip(blocks, seed) if s and not articles & set(b[3])]
     around = None  # the path of the smallest part that holds all seed blocks outside articles; () is the whole page
     if paths:
         low, high = min(paths), max(paths)
         around = low[:next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))]
-        while around and parser.tags_of[around[-1]] in PARAGRAPHS:
+        while around and parser.tags_of[around[-1]] in PARAGRAPHS | INLINE:
             around = around[:-1]
         main = next((i for i, part in enumerate(around) if parser.tags_of[part] == "main"), None)
         if main is not None:
             around = around[:main + 1]
         elif not articles:
-            around = widened(around, blocks)
+            around = widened(around, blocks, parser.lowered)
     return "\n".join(text for text, _, _, path, drop in blocks if not drop and (articles & set(path) or around is not None and path[:len(around)] == around))
 
 
-def widened(around: tuple[int, ...], blocks: list) -> tuple[int, ...]:
-    """The largest part around a region that adds no block made mostly of links: titles, leads and last sections in parts of their own."""
+def widened(around: tuple[int, ...], blocks: list, lowered: set[int]) -> tuple[int, ...]:
+    """The largest part around a region that adds no block made mostly of links or in a part of lowered ratio: titles, leads and last sections in parts of their own."""
     while around:
         outer = around[:-1]
-        if any(not b[4] and 2 * b[2] > len(b[0]) and b[3][:len(outer)] == outer and b[3][:len(around)] != around for b in blocks):
+        if any(not b[4] and (2 * b[2] > len(b[0]) or not lowered.isdisjoint(b[3][len(outer):])) and b[3][:len(outer)] == outer and b[3][:len(around)] != around for b in blocks):
             break
         around = outer
     return around

@@ -172,6 +172,20 @@ def test_main_text_of_prose_beside_teaser_articles():
         assert lines == ["A title", *LONG[:20], "Short.", *LONG[20:]]
 
 
+def test_main_text_in_parts_with_layout_names():
+    prose = "".join(f"<p>{x}</p>" for x in LONG)
+    for names in ("site has-sidebar", "container no-ads", "form", "social", "noticeBoard"):
+        assert body_lines(f'<div class="{names}">{prose}</div>') == LONG
+        assert body_lines(f'<span id="{names}">{prose}</span>') == LONG
+    for names in ("post comments-open", "post category-social", "related"):
+        assert body_lines(f'<article class="{names}">{prose}</article>') == LONG
+    aside = '<div class="box sidebar"><p>Buy now, buy often, and tell all your friends and readers about it.</p></div>'
+    for tag, names in (("article", "post comments-open"), ("div", "site has-sidebar"), ("div", "form")):
+        assert body_lines(f'<{tag} class="{names}">{aside}{prose}<span class="share">Share this</span></{tag}>{aside}') == LONG
+    assert body_lines(f'<article>{"".join(f"<p>{x}</p>" for x in LONG[:9])}</article><div id="comments">{"".join(f"<p>{x}</p>" for x in LONG[9:])}</div>') == LONG[:9]
+    assert body_lines(f'<div class="ad">{LONG[0]}</div><div class="promo">{LONG[1]}</div>') == LONG[:2]
+
+
 def test_pages_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", ""), (None, None, "<p>Only a text.</p>")], "page_id bigint, url string, html string")
     assert sorted(r.text for r in html_text.extract(pages).collect()) == ["", "", "Only a text."]
