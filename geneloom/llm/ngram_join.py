@@ -120,7 +120,7 @@ def prefix(s: np.ndarray, seen: np.ndarray, percent: int = PERCENT) -> tuple[np.
 
 
 def prefixes(docs: DataFrame, seen: np.ndarray, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc, key, n, l, tokens) for each row of (doc, text): the key and size of its set, and its prefix. Equal sets have one key."""
+    """(doc, mark, key, n, l, tokens) for each row of (doc, mark, text): the key and size of its set, and its prefix. Equal sets have one key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
@@ -128,10 +128,10 @@ def prefixes(docs: DataFrame, seen: np.ndarray, size: int = SHINGLE, percent: in
             sets = shingle(batch.column("text"))
             chosen = [prefix(s, seen, percent) for s in sets]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([x[1] for x in chosen], pa.int64()), pa.array([x[0].view(np.int64) for x in chosen], pa.list_(pa.int64()))], names=["doc", "key", "n", "l", "tokens"])
+                batch.column("doc"), batch.column("mark"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([x[1] for x in chosen], pa.int64()), pa.array([x[0].view(np.int64) for x in chosen], pa.list_(pa.int64()))], names=["doc", "mark", "key", "n", "l", "tokens"])
 
-    return docs.mapInArrow(run, "doc bigint, key bigint, n bigint, l bigint, tokens array<bigint>")
+    return docs.mapInArrow(run, "doc bigint, mark bigint, key bigint, n bigint, l bigint, tokens array<bigint>")
 
 
 def whole_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -231,7 +231,14 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked as any equal sets are. Rows with one id and different texts are compared each for itself. A missing id is never the smallest
     id; a component without any id has a null. An empty table gives an empty table. Hashes of shingles and of sets have 64 bits.
     """
-    d = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    out = linked_rows(docs, doc_id, text, size, percent)
+    return out.select(F.col("doc").alias("doc_id"), "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc, mark, key, n, comp, component_id) for each row of ``docs``: the hash of its text, and the key of its component, which no other
+    component has (those without any id all have a null ``component_id``). ``comp`` is null in rows without words."""
+    d = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     rows = prefixes(d, rarity(d, size), size, percent).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "prefixes")
     classes = materialize(rows.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.min("doc").alias("doc")), "classes")
@@ -253,13 +260,27 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = materialize(contracted(placed, materialize(verified(pairs, sets, percent), "links")), "placed")
     least = classes.join(placed, "key", "left").select("key", "doc", F.coalesce("comp", "key").alias("comp"))
     ids = least.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    named = least.join(ids, "comp").select("key", "component_id")
-    out = rows.select("doc", "key", "n").join(named, "key", "left")
-    return out.select(F.col("doc").alias("doc_id"), "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+    named = least.join(ids, "comp").select("key", "comp", "component_id")
+    return rows.select("doc", "mark", "key", "n").join(named, "key", "left")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id. Documents without words stay. Columns stay as they are."""
-    found = link_components(docs, doc_id, text, **limits)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(F.col("__gone")), "left_anti")
+    """``docs`` with one row of each component: that with the smallest id. Rows without words stay, all of them. Columns stay as they are.
+
+    Rows are told apart by id and text (its 64-bit hash): of rows with one id and different texts each stays or goes with its own
+    component. A missing id comes last; a component without any id keeps one row. If the smallest id has several texts in a component,
+    the text with the smallest hash stays; of repeated rows (id and text) one stays, any of them.
+    """
+    rows = linked_rows(docs, doc_id, text, **limits).where("n > 0")
+    rows = materialize(rows.groupBy("comp", "doc", "mark").agg(F.count(F.lit(1)).alias("repeats")), "members")
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "mark")).alias("best")).select(F.col("best.doc").alias("b_doc"), F.col("best.mark").alias("b_mark"))
+    same = F.col("doc").eqNullSafe(F.col("b_doc")) & (F.col("mark") == F.col("b_mark"))
+    told = rows.join(best, same, "left").where("b_mark IS NULL OR repeats > 1")
+    told = materialize(told.select(F.col("doc").alias("__doc"), F.col("mark").alias("__of"), F.col("b_mark").isNull().alias("gone")), "told")
+    marked = docs.withColumn("__mark", F.xxhash64(text))
+    met = marked[doc_id].cast("bigint").eqNullSafe(F.col("__doc")) & (marked["__mark"] == F.col("__of"))
+    kept = marked.join(told, met, "left_anti")
+    repeated = told.where("NOT gone")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(marked.join(repeated, met, "left_semi").dropDuplicates([doc_id, "__mark"]))
+    return kept.drop("__mark")

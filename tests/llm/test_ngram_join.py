@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 from geneloom.llm import ngram_join, queries
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -83,3 +84,13 @@ def test_one_of_each_group_stays(spark, frame):
     kept = ngram_join.keep_one(frame([(3, "a b c d e f"), (1, "A b c d e f"), (2, "other words stand in here"), (9, None)]))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 9]
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_lines", "key"]
+
+
+def test_one_row_of_each_group_stays_with_odd_ids(spark, frame):
+    a, b, c, d = ("one two three four five six", "other words that stand in here", "a third text of its own", "the fourth of these texts here")
+    rows = [(3, a), (6, a), (6, b), (None, a), (None, c), (None, ""), (None, None), (None, d), (None, d), (None, d.upper()), (8, "x y z x y z"), (8, "x y z x y z"), (9, None), (9, None)]
+    for keep in (ngram_join.keep_one, lambda docs: corpus_pipeline.deduplicate_documents(spark, docs, "")):
+        got = sorted(((r.doc_id, (r.text or "").lower()) for r in keep(frame(rows)).collect()), key=str)
+        assert got == sorted([(3, a), (6, b), (None, c), (None, ""), (None, ""), (None, d), (8, "x y z x y z"), (9, ""), (9, "")], key=str)
+    assert [r.text for r in ngram_join.keep_one(frame([(None, a), (1, a)])).collect()] == [a]
+    assert ngram_join.keep_one(frame([])).count() == 0
