@@ -201,6 +201,22 @@ def test_truncated_svd_matches_numpy(spark, exact, monkeypatch):
     assert np.allclose(loads.T @ loads, np.eye(3), atol=1e-6)
 
 
+@pytest.mark.parametrize("name, least", [("truncated_svd_scores", 10), ("fused_channels", 7)])
+def test_svd_queries_run_the_iterations_of_the_reference(spark, name, least, monkeypatch):
+    from geneloom.queries import REGISTRY
+
+    class Asked(Exception):
+        pass
+
+    def asked(coords, row, col, value, k, n_iter=5, **_):
+        raise Asked(n_iter)
+
+    monkeypatch.setattr(linalg, "truncated_svd", asked)
+    with pytest.raises(Asked) as got:
+        REGISTRY[name].build(spark, "/root/testdata/sf0.001")
+    assert got.value.args[0] >= least
+
+
 def test_svd_refuses_negative_values(spark):
     with pytest.raises(ValueError):
         linalg.truncated_svd(spark.createDataFrame([(1, 1, -1.0)], "r int, c int, v double"), "r", "c", "v", 1)
