@@ -3,7 +3,8 @@
 Lines become 128-bit hashes of their keys. The hashes are range-partitioned by (hash, document) and sorted by (hash, document,
 position), so a line that a third of all documents hold lies in many ranges, one after another. In each range a stream over the
 sorted rows keeps the first occurrence of a line per document; counts and the keeping document are then summed with map-side
-combine. The result per document is a keep bitmap in run-length form (runs of kept lines), never text.
+combine. The result per document is the sorted positions of its dropped lines, not yet a compressed
+keep bitmap.
 """
 
 from __future__ import annotations
