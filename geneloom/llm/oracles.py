@@ -26,3 +26,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 ORACLES: dict[str, str] = {"op5_line_dedup": OP5, "op6_decontaminate": OP6}
+
+TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLES["op11_lexical_search"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {TERMS} AS w FROM documents),
+s AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+i AS (SELECT item_id, row_number() OVER () AS i, unnest({TERMS}) AS t FROM benchmark),
+q AS (SELECT item_id, i, t, count(*)::BIGINT AS qf FROM i GROUP BY 1, 2, 3),
+e AS (SELECT r, doc_id, len(w)::BIGINT AS k, unnest(w) AS t FROM d),
+tf AS (SELECT r, doc_id, k, t, count(*)::BIGINT AS tf FROM e WHERE t IN (SELECT t FROM q) GROUP BY 1, 2, 3, 4),
+df AS (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY 1),
+w AS (SELECT t, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, s),
+p AS (SELECT r, doc_id, tf.t, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * k * n) // l))) AS part FROM tf JOIN w ON tf.t = w.t, s),
+sc AS (SELECT item_id, i, r, doc_id, sum(qf * part)::BIGINT AS score FROM q JOIN p ON q.t = p.t GROUP BY 1, 2, 3, 4),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM sc WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""
