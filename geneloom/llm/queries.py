@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lexical_search, license_scan, line_dedup, llr_rules, ngram_join, packing, pu_quality, records, secret_scan, turn_repair
+from . import curve_search, decontaminate, html_text, lexical_search, license_scan, line_dedup, llr_rules, ngram_join, packing, pu_quality, records, secret_scan, turn_repair
 from .text import table
 
 
@@ -67,9 +67,13 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % curve_search.EVERY == 0)
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = turn_repair.damaged(table(spark, sf_dir, "conversations"))
     return turn_repair.digests(turn_repair.repair_pieces(damaged, times="times"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_license_scan, op4_html_text, op5_line_dedup, op6_decontaminate, op7_ngram_join, op8_token_records, op9_pu_quality, op10_quality_rules, op11_lexical_search, op13_turn_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_license_scan, op4_html_text, op5_line_dedup, op6_decontaminate, op7_ngram_join, op8_token_records, op9_pu_quality, op10_quality_rules, op11_lexical_search, op12_curve_search, op13_turn_repair)}
