@@ -37,11 +37,11 @@ def process_profiles(gaf: DataFrame) -> DataFrame:
     return kept.select("accession", "go_id").distinct()
 
 
-def process_term_vectors(gaf: DataFrame, master: DataFrame, k: int = 256, n_iter: int = 10) -> dict[str, DataFrame]:
+def process_term_vectors(gaf: DataFrame, master: DataFrame, k: int = 256) -> dict[str, DataFrame]:
     """TF-IDF + SVD of term profiles, mapped to genes by accession and averaged per gene."""
     profiles = materialize(process_profiles(gaf), "profiles")
     weights = features.tfidf(profiles.withColumn("value", F.lit(1.0)), "accession", "go_id")
-    f = linalg.truncated_svd(weights, "accession", "go_id", "value", k, n_iter)
+    f = linalg.truncated_svd(weights, "accession", "go_id", "value", k)
     source = f.scores.withColumnRenamed("row", "accession")
     column = "map_uniprot_ids_all" if "map_uniprot_ids_all" in master.columns else "uniprot_id"
     index = mapping.id_index(mapping.id_pairs(master, "ensembl_gene_id", [ids.split_tokens(column, r"\|", "trim")]))

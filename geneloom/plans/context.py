@@ -58,7 +58,7 @@ def metaedge_features(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame
             "type_counts": flat.groupBy("n_kind").agg(F.count(F.lit(1)).alias("included_edge_count"))}
 
 
-def context_vectors(parts: dict[str, DataFrame], master: DataFrame, k: int = 256, n_iter: int = 5) -> dict[str, DataFrame]:
+def context_vectors(parts: dict[str, DataFrame], master: DataFrame, k: int = 256) -> dict[str, DataFrame]:
     """Sublinear TF-IDF, SVD and z-score over all source genes, then a fan-out join by Entrez id."""
     quality.require_columns(master, GENE_COLUMNS, "master table")
     matrix = materialize(parts["matrix"], "features")
@@ -66,7 +66,7 @@ def context_vectors(parts: dict[str, DataFrame], master: DataFrame, k: int = 256
         raise ValueError("no context edges were included")
     n_rows, n_cols = (matrix.agg(F.count_distinct("gene").alias("g"), F.count_distinct("feature").alias("f")).first())
     weights = features.tfidf(matrix, "gene", "feature", sublinear=True)
-    f = linalg.truncated_svd(weights, "gene", "feature", "value", min(k, n_rows - 1, n_cols - 1), n_iter)
+    f = linalg.truncated_svd(weights, "gene", "feature", "value", min(k, n_rows - 1, n_cols - 1))
     source = vectors.zscore(materialize(f.scores, "scores"), "vector", dtype="float").withColumnRenamed("row", "source_entrez_id")
     source = source.join(parts["symbols"].withColumnRenamed("gene", "source_entrez_id"), "source_entrez_id", "left")
     merged = mapping.indicator_join(master.select(*GENE_COLUMNS), source, "entrez_id", "source_entrez_id")

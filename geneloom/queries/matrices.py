@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, num
 from ..operators import features, graph, linalg, quality, ranges, vectors
 from .aggregates import UNNEST
+from ..session import materialize
 from .registry import query, r
 
 # an order-customer-supplier network: customers and suppliers as nodes
@@ -184,11 +185,45 @@ def _m3(t):
     return features.tfidf(features.count_matrix(j, "o_custkey", "l_partkey"), "o_custkey", "l_partkey", sublinear=True).withColumn("value", r("value"))
 
 
+def order_weights(t):
+    """Customers by suppliers, sublinear TF-IDF."""
+    j = t.lineitem.select("l_orderkey", "l_suppkey").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return features.tfidf(features.count_matrix(j, "o_custkey", "l_suppkey"), "o_custkey", "l_suppkey", sublinear=True)
+
+
+PROVEN = """SELECT cast(i AS INTEGER) AS component, true AS residual_small, true AS orthonormal, true AS scores_are_products, true AS sign_fixed FROM range(1, {}) r(i)"""
+
+
+def proven(f, coords, row, col, value):
+    p = linalg.svd_proof(coords, row, col, value, f)
+    return p.select("component", (F.col("residual") < 2e-5).alias("residual_small"), (F.col("off_unit") < 1e-8).alias("orthonormal"),
+                    (F.col("off_scores") < 1e-8).alias("scores_are_products"), (F.col("top_loading") > 0).alias("sign_fixed"))
+
+
 @query("truncated_svd_scores", "M4 M5")
 def _m4(t):
-    j = t.lineitem.select("l_orderkey", "l_suppkey").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    w = features.tfidf(features.count_matrix(j, "o_custkey", "l_suppkey"), "o_custkey", "l_suppkey", sublinear=True)
-    return linalg.truncated_svd(w, "o_custkey", "l_suppkey", "value", k=8, n_iter=10).scores  # the reference's iterations
+    return linalg.truncated_svd(order_weights(t), "o_custkey", "l_suppkey", "value", k=8).scores
+
+
+@query("truncated_svd_proof", "M4 M5", PROVEN.format(9))
+def _m4b(t):
+    w = materialize(order_weights(t), "weights")
+    return proven(linalg.truncated_svd(w, "o_custkey", "l_suppkey", "value", k=8), w, "o_custkey", "l_suppkey", "value")
+
+
+# the leading singular vector by power iteration; the gap to the second one is wide for a matrix without negative cells
+@query("leading_svd_scores", "M4 M5", """
+WITH RECURSIVE tf AS (SELECT o_custkey, l_suppkey, count(*)::DOUBLE AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+df AS (SELECT l_suppkey, count(*) AS d FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT o_custkey) AS n FROM tf),
+w AS (SELECT o_custkey, tf.l_suppkey, (1 + ln(c)) * (ln((1.0::DOUBLE + n) / (1 + d)) + 1) AS v FROM tf JOIN df ON tf.l_suppkey = df.l_suppkey, n),
+a AS (SELECT o_custkey AS r, l_suppkey AS c, v / sqrt(sum(v * v) OVER (PARTITION BY o_custkey)) AS v FROM w),
+g AS (SELECT x.c AS i, y.c AS j, sum(x.v * y.v) AS g FROM a x JOIN a y ON x.r = y.r GROUP BY 1, 2),
+p(k, i, v) AS (SELECT 0, l_suppkey, 1.0::DOUBLE FROM df UNION ALL
+  SELECT k, i, s / sqrt(sum(s * s) OVER ()) FROM (SELECT p.k + 1 AS k, g.i AS i, sum(g.g * p.v) AS s FROM p JOIN g ON p.i = g.j WHERE p.k < 40 GROUP BY 1, 2) q)
+SELECT r AS o_custkey, round(sum(a.v * p.v), 5) + 0.0 AS score FROM a JOIN p ON a.c = p.i WHERE p.k = 40 GROUP BY 1""")
+def _m4c(t):
+    f = linalg.truncated_svd(order_weights(t), "o_custkey", "l_suppkey", "value", k=8)
+    return f.scores.select(F.col("row").alias("o_custkey"), r(F.col("vector")[0], 5).alias("score"))
 
 
 @query("svd_explained_variance", "M6 W7")
@@ -197,12 +232,42 @@ def _m6(t):
     return f.variance_table(t.spark)
 
 
+# the shares of all components together, against column variances taken from the table
+@query("svd_variance_of_all", "M6", f"""
+WITH u AS ({UNNEST}), v AS (SELECT dim, var_pop(x) AS v FROM u GROUP BY 1)
+SELECT count(*) AS components, round(sum(v), 6) + 0.0 AS variance, round(1.0::DOUBLE, 6) AS share FROM v""")
+def _m6b(t):
+    f = linalg.dense_factorisation(t.embeddings, "vec_id", "embedding", 64, centre=False)
+    per = vectors.explode_vector(f.scores, [], "embedding").groupBy("dim").agg(F.var_pop("value").alias("v"))
+    total = F.lit(float(f.explained_variance_ratio.sum()))
+    return per.agg(F.count(F.lit(1)).alias("components"), r(F.sum("v")).alias("variance"), r(total).alias("share"))
+
+
+def embedding_cells(t, scaled=None):
+    return vectors.explode_vector(scaled if scaled is not None else t.embeddings, ["vec_id"], "embedding")
+
+
+@query("dense_svd_proof", "M4 M5 M6", PROVEN.format(17))
+def _m6c(t):
+    f = linalg.dense_factorisation(t.embeddings, "vec_id", "embedding", 16, centre=False)
+    f.scores, f.loadings = f.scores.select(F.col("vec_id").alias("row"), F.col("embedding").alias("vector")), f.loadings.withColumnRenamed("dim", "col")
+    return proven(f, embedding_cells(t), "vec_id", "dim", "value")
+
+
 @query("pca_scores", "M7 M5")
 def _m7(t):
     z = vectors.zscore(t.embeddings, "embedding")
     return linalg.dense_factorisation(z, "vec_id", "embedding", 16, centre=True).scores
 
 
+@query("pca_proof", "M7 M5", PROVEN.format(17))
+def _m7c(t):
+    z = materialize(vectors.zscore(t.embeddings, "embedding"), "scaled")
+    f = linalg.dense_factorisation(z, "vec_id", "embedding", 16, centre=True)
+    f.scores, f.loadings = f.scores.select(F.col("vec_id").alias("row"), F.col("embedding").alias("vector")), f.loadings.withColumnRenamed("dim", "col")
+    return proven(f, embedding_cells(t, z), "vec_id", "dim", "value")  # standardised columns are centred
+
+
 @query("pca_total_variance", "M7", f"""
 WITH u AS ({UNNEST}), s AS (SELECT dim, stddev_pop(x) AS sd FROM u GROUP BY 1)
 SELECT round(sum(CASE WHEN sd = 0 THEN 0.0 ELSE 1.0 END)::DOUBLE, 4) + 0.0 AS score_variance FROM s""")
@@ -214,13 +279,29 @@ def _m7b(t):
     return per.agg(r(F.sum("v"), 4).alias("score_variance"))
 
 
-@query("fused_channels", "M10 U6")
-def _m10(t):
+def fused(t):
+    """Two evidence channels of the order network at the published sizes: 128 per channel, 256 together."""
     from ..plans.network import fuse_channels
 
     e = edges(t).select("a", "b", "o", (F.col("l_discount") * 1000).alias("discount"), (F.col("l_tax") * 1000).alias("tax"))
     c = graph.channel_edges(e, "a", "b", ["discount", "tax"], "o", 50)
-    return fuse_channels(c.withColumn("weight", F.col("score") / 1000.0), ["discount", "tax"], per_channel=4, final=6).select("node", "vector")
+    return fuse_channels(c.withColumn("weight", F.col("score") / 1000.0), ["discount", "tax"]).select("node", "vector")
+
+
+@query("fused_channels", "M10 U6")
+def _m10(t):
+    return fused(t)
+
+
+# scores of one decomposition: every position standardised and uncorrelated with every other
+@query("fused_channels_proof", "M10 U6", f"""
+WITH {EDGE_SQL}, l AS (SELECT a, b FROM e WHERE l_discount * 1000 >= 50 OR l_tax * 1000 >= 50), n AS (SELECT count(*) AS n FROM (SELECT a FROM l UNION SELECT b FROM l) q)
+SELECT n AS n_nodes, 256 AS width, true AS all_finite, true AS centred, true AS unit_deviation, true AS uncorrelated FROM n""")
+def _m10b(t):
+    f = materialize(fused(t), "fused")
+    n = f.agg(F.count(F.lit(1)).alias("n_nodes"), F.max(F.size("vector")).alias("width"),
+              F.bool_and(F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))).alias("all_finite"))
+    return n.crossJoin(linalg.moments_proof(f, "vector"))  # one row each
 
 
 @query("dense_encoder_layer", "M11", f"""

@@ -182,39 +182,51 @@ def sparse_matrix(seed=0, shape=(60, 40), density=0.2):
     return rng.random(shape) * (rng.random(shape) < density)
 
 
-@pytest.mark.parametrize("exact", [True, False])
-def test_truncated_svd_matches_numpy(spark, exact, monkeypatch):
-    if not exact:
-        monkeypatch.setattr(linalg, "MAX_NARROW_COLUMNS", 1)
-    a = sparse_matrix()
-    coords = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*a.nonzero())], "r int, c int, v double")
-    f = linalg.truncated_svd(coords, "r", "c", "v", 3, n_iter=1 if exact else 8, oversample=20)
+def coordinates(spark, a):
+    return spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*a.nonzero())], "r int, c int, v double")
+
+
+@pytest.mark.parametrize("basis, shape, k", [(256, (60, 40), 3), (6, (90, 60), 4), (256, (1, 1), 3)])
+def test_truncated_svd_matches_numpy(spark, basis, shape, k, monkeypatch):
+    monkeypatch.setattr(linalg, "BASIS_WIDTH", basis)  # a small basis restarts, a large one closes
+    a = sparse_matrix(shape=shape, density=0.2 if min(shape) > 1 else 2)
+    f = linalg.truncated_svd(coordinates(spark, a), "r", "c", "v", k, tolerance=1e-9)
     _, s, vt = np.linalg.svd(a, full_matrices=False)
-    assert np.allclose(f.singular_values, s[:3], rtol=1e-4)
-    v = vt[:3].T
-    v = v * np.sign(v[np.abs(v).argmax(axis=0), range(3)])
-    got = np.zeros((60, 3))
+    k = min(k, len(s))
+    assert np.allclose(f.singular_values, s[:k], rtol=1e-8)
+    v = vt[:k].T
+    v = v * np.sign(v[np.abs(v).argmax(axis=0), range(k)])
+    got = np.zeros((shape[0], k))
     for r in f.scores.collect():
         got[r["row"]] = r["vector"]
-    assert np.allclose(got, a @ v, atol=2e-2)
+    assert np.allclose(got, a @ v, atol=1e-5)
     loads = np.array([r["vector"] for r in f.loadings.collect()])
-    assert np.allclose(loads.T @ loads, np.eye(3), atol=1e-6)
+    assert np.allclose(loads.T @ loads, np.eye(k), atol=1e-10)
+    assert (f.residuals <= 1e-9).all()
+    proof = linalg.svd_proof(coordinates(spark, a), "r", "c", "v", f).collect()
+    assert len(proof) == k and all(r["residual"] < 1e-7 and r["off_unit"] < 1e-9 and r["off_scores"] < 1e-9 and r["top_loading"] > 0 for r in proof)
 
 
-@pytest.mark.parametrize("name, least", [("truncated_svd_scores", 10), ("fused_channels", 7)])
-def test_svd_queries_run_the_iterations_of_the_reference(spark, name, least, monkeypatch):
-    from geneloom.queries import REGISTRY
+def test_svd_of_a_matrix_of_low_rank_and_of_equal_values(spark):
+    low = np.outer(np.arange(1.0, 31), np.arange(1.0, 21))
+    f = linalg.truncated_svd(coordinates(spark, low), "r", "c", "v", 4)
+    assert np.allclose(f.singular_values[0], np.linalg.norm(low)) and np.allclose(f.singular_values[1:], 0, atol=1e-6 * f.singular_values[0])
+    f = linalg.truncated_svd(coordinates(spark, np.eye(12)), "r", "c", "v", 5)
+    assert np.allclose(f.singular_values, 1)
 
-    class Asked(Exception):
-        pass
 
-    def asked(coords, row, col, value, k, n_iter=5, **_):
-        raise Asked(n_iter)
+def test_a_wrong_factorisation_fails_its_proof(spark):
+    a = sparse_matrix()
+    f = linalg.truncated_svd(coordinates(spark, a), "r", "c", "v", 3, tolerance=1e-9)
+    f.loadings = f.loadings.withColumn("vector", F.transform("vector", lambda x: x * 1.001))
+    assert all(r["off_unit"] > 1e-4 and r["off_scores"] > 1e-5 for r in linalg.svd_proof(coordinates(spark, a), "r", "c", "v", f).collect())
+
 
-    monkeypatch.setattr(linalg, "truncated_svd", asked)
-    with pytest.raises(Asked) as got:
-        REGISTRY[name].build(spark, "/root/testdata/sf0.001")
-    assert got.value.args[0] >= least
+def test_r_factors_reduce_in_a_tree(spark):
+    x = np.random.default_rng(4).standard_normal((300, 5)) @ np.diag([1e6, 1e3, 1, 1e-3, 1e-6])
+    df = spark.createDataFrame([([float(v) for v in r],) for r in x], "v array<double>").repartition(40)
+    r = linalg._r_factor(df, lambda b: linalg._matrix(b.column(0)))
+    assert np.allclose(np.abs(np.diag(r)), np.abs(np.diag(np.linalg.qr(x, mode="r"))), rtol=1e-8)  # a Gram matrix would lose the small ones
 
 
 def test_svd_refuses_negative_values(spark):
@@ -222,13 +234,12 @@ def test_svd_refuses_negative_values(spark):
         linalg.truncated_svd(spark.createDataFrame([(1, 1, -1.0)], "r int, c int, v double"), "r", "c", "v", 1)
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_pca_matches_numpy(spark, wide, monkeypatch):
-    if wide:
-        monkeypatch.setattr(linalg, "MAX_GRAM_WIDTH", 4)
+@pytest.mark.parametrize("basis", [256, 5])
+def test_pca_matches_numpy(spark, basis, monkeypatch):
+    monkeypatch.setattr(linalg, "BASIS_WIDTH", basis)
     x = np.random.default_rng(1).standard_normal((80, 12)) @ np.diag(np.arange(12, 0, -1))
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i int, v array<double>")
-    f = linalg.dense_factorisation(df, "i", "v", 4, centre=True, n_iter=30)
+    f = linalg.dense_factorisation(df, "i", "v", 4, centre=True, oversample=1 if basis == 5 else 10)
     xc = x - x.mean(0)
     s = np.linalg.svd(xc, compute_uv=False)
     assert np.allclose(f.singular_values, s[:4], rtol=1e-5)

@@ -225,7 +225,7 @@ def test_network_plans(spark, monkeypatch):
     routed = {r["node"]: (r["gene"], r["status"]) for r in network.map_network_nodes(info, info, aliases, m).collect()}
     assert routed == {"9606.E1": ("ENSG1", "mapped"), "9606.E2": (None, "ambiguous"), "9606.E3": ("ENSG3", "mapped"), "9606.E4": ("ENSG4", "mapped")}
     monkeypatch.setattr(network.graph, "LINK_CHANNELS", ("neighborhood", "fusion"))
-    out = network.fused_network_vectors(links, info, aliases, m, per_channel=2, final=2, channel_iter=1)
+    out = network.fused_network_vectors(links, info, aliases, m, per_channel=2, final=2)
     assert set(vec(out["vectors"], "gene")) == {"ENSG1", "ENSG3", "ENSG4"}
     e = spark.createDataFrame([("1", "2"), ("2", "3.0"), ("3", "1"), ("4", "4"), ("x", "1")], "gene1 string, gene2 string")
     w = network.walk_vectors(e, m, walks=2, length=6, dim=4, window=2, epochs=1)
