@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,41 +81,46 @@ def ppmi(adj: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.select(*by, "row", "col", score.alias("value")).where("value > 0")
 
 
-def closure(parents: DataFrame, child: str = "child", parent: str = "parent", max_rounds: int = 64) -> DataFrame:
-    """``[term, ancestor]``: all ancestors over ``[child, parent]`` edges.
+def _met(left: DataFrame, right: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
+    """Many-to-many join; the rows of the keys that are hot on the left now are spread."""
+    if fits_broadcast(right):
+        return left.join(right, key)
+    hot = materialize(hot_keys(key_frequency(left, [key]), [key], "_rows"), "hot")
+    return salted_join(left, right, [key], hot, "inner", spread_by)
+
+
+def closure(parents: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """``[term, ancestor]``: all ancestors over ``[child, parent]`` edges, a depth of 2ⁿ in n rounds.
 
-    Semi-naive iteration: only the pairs found in the last round are extended,
-    and pairs that end in a root are not sent through the join at all. Each
-    round is written to the shared folder, so lineage stays one step deep.
+    A pair at a distance above 2ⁿ has a term at distance 2ⁿ between, so each
+    round joins the pairs found last with all pairs known, and the distance
+    doubles. Pairs that end in a root are not sent through the join. Cycles end
+    the rounds as any graph does, once no pair is new. Each round is written to
+    the shared folder, so lineage stays one step deep.
     """
     edges = parents.select(F.col(child).alias("term"), F.col(parent).alias("ancestor")).distinct()
     inner = edges.select(F.col("term").alias("ancestor")).distinct().withColumn("_open", F.lit(True))
     # every edge carries whether its parent has parents of its own
-    edges = materialize(lookup(edges, inner, ["ancestor"], "left").withColumn(
+    known = delta = materialize(lookup(edges, inner, ["ancestor"], "left").withColumn(
         "_open", F.coalesce("_open", F.lit(False))), "edges")
-    step = edges.select(F.col("term").alias("_mid"), F.col("ancestor").alias("_next"), F.col("_open").alias("_next_open"))
-    small = fits_broadcast(step)
-    if not small:
-        counts = key_frequency(edges, ["ancestor"]).withColumnRenamed("ancestor", "_mid")
-        hot = materialize(hot_keys(counts, ["_mid"], "_rows"), "hot")
-    known = edges
-    delta = edges
-    for _ in range(max_rounds):
+    while True:
         frontier = delta.where("_open").select("term", F.col("ancestor").alias("_mid"))
-        joined = frontier.join(step, "_mid") if small else salted_join(frontier, step, ["_mid"], hot, "inner", ["term"])
-        grown = joined.select(
-            "term", F.col("_next").alias("ancestor"), F.col("_next_open").alias("_open")).distinct()
-        delta = materialize(grown.join(known.select("term", "ancestor"), ["term", "ancestor"], "left_anti"), "delta")
+        onward = known.select(F.col("term").alias("_mid"), F.col("ancestor").alias("_next"), F.col("_open").alias("_next_open"))
+        grown = _met(frontier, onward, "_mid", ["term"]).select(
+            "term", F.col("_next").alias("ancestor"), F.col("_next_open").alias("_open"))
+        # one shuffle of both tells new pairs from known ones
+        both = grown.withColumn("_old", F.lit(False)).unionByName(known.withColumn("_old", F.lit(True)))
+        marked = both.groupBy("term", "ancestor").agg(F.max("_old").alias("_old"), F.max("_open").alias("_open"))
+        marked = materialize(marked, "closure")
+        delta, known = marked.where("NOT _old").drop("_old"), marked.drop("_old")
         if delta.isEmpty():
             return known.select("term", "ancestor")
-        known = known.unionByName(delta)
-    raise ValueError(f"closure did not settle after {max_rounds} rounds")
 
 
 def propagate(annotations: DataFrame, entity: str, term: str, ancestors: DataFrame) -> DataFrame:
     """Direct annotations plus all their ancestors, distinct."""
-    direct = annotations.select(entity, F.col(term).alias("term"))
-    lifted = direct.join(ancestors, "term").select(entity, F.col("ancestor").alias("term"))
+    direct = annotations.select(entity, F.col(term).alias("term")).distinct()
+    lifted = _met(direct, ancestors.select("term", "ancestor"), "term", [entity]).select(entity, F.col("ancestor").alias("term"))
     return direct.unionByName(lifted).distinct()
 
 
@@ -186,43 +193,96 @@ def adjacency_slots(pairs: DataFrame) -> DataFrame:
                               "degree", ["node"]), "slots")
 
 
-def random_walks(pairs: DataFrame, walks_per_node: int = 10, length: int = 80, seed: int = 42,
-                 cut_every: int = 10) -> DataFrame:
-    """Uniform random walks ``[walk_id, node, walk]`` from every node.
+def random_walks(pairs: DataFrame, walks_per_node: int = 10, length: int = 80, seed: int = 42, block: int = 10) -> DataFrame:
+    """Uniform random walks ``[walk_id, node, round, walk]`` from every node.
 
     The next edge is ``start + hash(seed, walk, step) mod degree``, so a walk is
-    reproducible whatever the partitioning.
+    reproducible whatever the partitioning. A walk on its way is its id, where it
+    stands and the nodes of the current block; a finished block is written and
+    left behind, so a step shuffles the same few bytes at any length. The blocks
+    of a walk meet once, at the end.
     """
     slots = adjacency_slots(pairs)
     origin = slots.groupBy("node").agg(F.min("slot").alias("start"), F.count(F.lit(1)).alias("degree"))
     state = origin.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(walks_per_node - 1)))).select(
         F.xxhash64("node", "round", F.lit(seed)).alias("walk_id"), F.col("node"), F.col("round"),
-        F.array("node").alias("walk"), "start", "degree")
+        F.array("node").alias("trail"), "start", "degree")
     hop = slots.select("slot", F.col("neighbour").alias("_to"), "next_start", "next_degree")
+    done = []
     for step in range(1, length):
+        if step % block == 0:
+            state = materialize(state, "walks")
+            done.append(state)
+            state = state.withColumn("trail", F.array().cast(state.schema["trail"].dataType))
         pick = F.col("start") + F.pmod(F.xxhash64("walk_id", F.lit(step), F.lit(seed)), F.col("degree"))
         state = (state.withColumn("slot", pick).join(hop, "slot")
-                 .select("walk_id", "node", "round", F.concat("walk", F.array("_to")).alias("walk"),
+                 .select("walk_id", "node", "round", F.concat("trail", F.array("_to")).alias("trail"),
                          F.col("next_start").alias("start"), F.col("next_degree").alias("degree")))
-        if step % cut_every == 0:
-            state = materialize(state, "walks")
-    return state.select("walk_id", "node", "round", "walk")
+    done.append(materialize(state, "walks"))
+    parts = [d.select("walk_id", "node", "round", F.lit(i).alias("part"), "trail") for i, d in enumerate(done)]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    whole = F.array_sort(F.collect_list(F.struct("part", "trail")))  # length / block parts
+    return rows.groupBy("walk_id", "node", "round").agg(whole.alias("w")).select("walk_id", "node", "round", F.flatten("w.trail").alias("walk"))
+
+
+CHUNK = 64  # words of a sentence that are paired at a time
+
+
+def window_pairs(sentences: DataFrame, tokens: str, window: int) -> DataFrame:
+    """``[row, col, value]``: how often two words stand within ``window`` words, both ways.
+
+    A pair at distance d counts ``(window - d + 1) / window``, the chance that a
+    window of random width up to ``window`` holds it. Sentences of any length
+    are cut into overlapping chunks, so no pair is lost at a cut, and pairs are
+    summed where they arise before the shuffle.
+    """
+    start = F.explode(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(CHUNK)))
+    chunks = sentences.where(F.size(tokens) > 1).select(F.col(tokens).alias("_t"), start.alias("_at")).select(
+        F.slice("_t", F.col("_at") + 1, CHUNK + window).alias("c"))
+    pairs = F.flatten(F.transform(F.slice("c", 1, CHUNK), lambda x, i: F.transform(
+        F.slice("c", i + 2, window), lambda y, d: F.struct(x.alias("row"), y.alias("col"), d.alias("d")))))
+    near = chunks.select(F.explode(pairs).alias("p")).groupBy("p.row", "p.col", "p.d").agg(F.count(F.lit(1)).alias("n"))
+    one = near.groupBy("row", "col").agg(F.sum((F.lit(window) - F.col("d")) * F.col("n")).alias("n"))
+    return symmetric_adjacency(one.withColumn("n", F.col("n") / F.lit(float(window))), "row", "col", "n")
+
+
+def shifted_ppmi(counts: DataFrame, shift: float, smoothing: float) -> DataFrame:
+    """Positive PMI of a symmetric ``[row, col, value]`` less ``shift``, with context counts raised to ``smoothing``.
+
+    Row and column sums are the same numbers, so they are taken once; they also
+    tell how the hot words are to be spread.
+    """
+    counts = materialize(counts, "counts")
+    sums = materialize(counts.groupBy("row").agg(F.sum("value").alias("_rs"), F.count(F.lit(1)).alias("_deg")), "sums")
+    smooth = sums.agg(F.sum(F.pow("_rs", F.lit(smoothing))).alias("s")).scalar()
+    other = sums.select(F.col("row").alias("col"), F.pow("_rs", F.lit(smoothing)).alias("_cs"), "_deg")
+    out = lookup(counts, sums.select("row", "_rs"), ["row"], "inner", sums, "_deg", ["col"])
+    out = lookup(out, other.select("col", "_cs"), ["col"], "inner", other, "_deg", ["row"])
+    score = F.log(F.col("value") * smooth / (F.col("_rs") * F.col("_cs"))) - F.lit(float(shift))
+    return out.select("row", "col", score.alias("value")).where("value > 0")
+
+
+NEGATIVES, SMOOTHING = 5, 0.75  # fixed values: the usual noise samples per pair and their exponent
 
 
-def skip_gram(sentences: DataFrame, tokens: str, dim: int, window: int, epochs: int, seed: int = 42,
-              min_count: int = 1, max_model_bytes: int = 1 << 30) -> DataFrame:
-    """``[word, vector]`` from Spark ML's Word2Vec.
+def skip_gram(sentences: DataFrame, tokens: str, dim: int, window: int) -> DataFrame:
+    """``[word, vector]``: skip-gram with negative sampling, solved as the factorisation it stands for.
 
-    The estimator keeps two vocabulary x dim matrices in every task. The size is
-    counted first and the call refuses a vocabulary that would not fit.
+    With ``k`` noise samples the optimum of the objective is the PMI of word and
+    context less ``log k``; its positive part is sparse, and U·√S of its
+    truncated SVD are the word vectors. Counting and factorising are joins and
+    aggregates: no task holds the vocabulary, and sentences may have any length.
+    A word that no context tells from noise has the zero vector.
     """
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    vocab = sentences.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(
-        F.col("n") >= min_count).count()
-    if vocab * dim * 8 > max_model_bytes:
-        raise ValueError(f"vocabulary of {vocab} words x {dim} exceeds the model limit of {max_model_bytes} bytes")
-    model = Word2Vec(vectorSize=dim, windowSize=window, maxIter=epochs, minCount=min_count, seed=seed,
-                     inputCol=tokens, outputCol="_vec").fit(sentences.select(tokens))
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    from .linalg import truncated_svd
+
+    words = sentences.select(F.explode(tokens).alias("word")).distinct()
+    weights = materialize(shifted_ppmi(window_pairs(sentences, tokens, window), math.log(NEGATIVES), SMOOTHING), "ppmi")
+    if weights.isEmpty():
+        return words.withColumn("vector", F.array().cast("array<double>"))
+    f = truncated_svd(weights, "row", "col", "value", dim)
+    root = F.array(*[F.lit(float(x ** -0.5) if x > 0 else 0.0) for x in f.singular_values])
+    found = f.scores.select(F.col("row").alias("word"), F.zip_with("vector", root, lambda x, s: x * s).alias("vector"))
+    return words.join(found, "word", "left").withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), len(f.singular_values))))

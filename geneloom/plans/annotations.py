@@ -66,8 +66,7 @@ def lenient_annotations(gaf: DataFrame, terms: DataFrame) -> tuple[DataFrame, Da
     return kept, stats
 
 
-def ontology_vectors(gaf: DataFrame, terms: DataFrame, master: DataFrame, dim: int = 200, window: int = 10,
-                     epochs: int = 10) -> dict[str, DataFrame]:
+def ontology_vectors(gaf: DataFrame, terms: DataFrame, master: DataFrame, dim: int = 200, window: int = 10) -> dict[str, DataFrame]:
     """Corpus of annotation and ontology sentences, skip-gram, mapped and standardised per gene."""
     kept, stats = lenient_annotations(gaf, terms)
     kept = materialize(kept, "annotations")
@@ -77,7 +76,7 @@ def ontology_vectors(gaf: DataFrame, terms: DataFrame, master: DataFrame, dim: i
     corpus = graph.association_sentences(kept, ancestors, kept.select("entity", "symbol")).unionByName(
         graph.ontology_sentences(terms))
     corpus = materialize(corpus, "corpus")
-    words = graph.skip_gram(corpus, "tokens", dim, window, epochs)
+    words = graph.skip_gram(corpus, "tokens", dim, window)
     entities = kept.select("entity").distinct().withColumn("word", ids.entity_token("entity"))
     source = entities.join(words, "word").select("entity", "vector")
     cols = mapping.existing_columns(master, ["uniprot_id", "hgnc_uniprot_ids", "map_uniprot_ids_all"])

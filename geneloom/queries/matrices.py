@@ -70,7 +70,20 @@ def _m8(t):
 @query("random_walks", "G6")
 def _g6(t):
     pairs = graph.neighbour_pairs(edges(t), "a", "b")
-    return graph.random_walks(pairs, walks_per_node=2, length=8)
+    return graph.random_walks(pairs)
+
+
+# 10 walks of 80 nodes from every node, each step an edge, each walk another one
+@query("random_walk_invariants", "G6", f"""
+WITH {EDGE_SQL} SELECT node, 10 AS walks, 800 AS visits, 0 AS steps_off_edges, true AS starts_here FROM (SELECT a AS node FROM e UNION SELECT b FROM e) q""")
+def _g6b(t):
+    pairs = materialize(graph.neighbour_pairs(edges(t), "a", "b"), "pairs")
+    walks = materialize(graph.random_walks(pairs), "walks")
+    steps = walks.select("walk_id", F.posexplode("walk").alias("at", "x"), "walk").select("walk_id", "x", F.get("walk", F.col("at") + 1).alias("y")).where("y IS NOT NULL")
+    off = steps.join(pairs, (F.col("x") == F.col("node")) & (F.col("y") == F.col("neighbour")), "left_anti").groupBy("walk_id").agg(F.count(F.lit(1)).alias("off"))
+    per = walks.join(off, "walk_id", "left").groupBy("node").agg(
+        F.count_distinct("walk").alias("walks"), F.sum(F.size("walk")).alias("visits"), F.coalesce(F.sum("off"), F.lit(0)).alias("off"), F.bool_and(F.col("walk")[0] == F.col("node")).alias("starts_here"))
+    return per.select("node", F.col("walks").cast("int").alias("walks"), F.col("visits").cast("int").alias("visits"), F.col("off").cast("int").alias("steps_off_edges"), "starts_here")
 
 
 HIER_SQL = """par AS (SELECT concat('N', n_nationkey) AS child, concat('R', n_regionkey) AS parent FROM nation
@@ -85,6 +98,14 @@ def hierarchy(t):
             .unionByName(t.region.select(F.concat(F.lit("R"), "r_regionkey").alias("child"), F.lit("ROOT").alias("parent"))))
 
 
+@query("chain_closure", "G8", """
+SELECT a.c_custkey AS term, b.c_custkey AS ancestor FROM customer a JOIN customer b ON b.c_custkey > a.c_custkey AND a.c_custkey // 200 = b.c_custkey // 200""")
+def _g8b(t):
+    # chains of 200 customers, each under the next
+    k = t.customer.where("c_custkey % 200 < 199").select(F.col("c_custkey").alias("child"), (F.col("c_custkey") + 1).alias("parent"))
+    return graph.closure(k.join(t.customer, F.col("parent") == F.col("c_custkey"), "left_semi"))
+
+
 @query("ancestor_closure", "G8", f"""
 WITH RECURSIVE {HIER_SQL}, r(term, ancestor) AS (SELECT child, parent FROM par UNION SELECT r.term, par.parent FROM r JOIN par ON r.ancestor = par.child)
 SELECT term, ancestor FROM r""")
@@ -93,11 +114,11 @@ def _g8(t):
 
 
 @query("annotation_propagation", "G9", f"""
-WITH RECURSIVE {HIER_SQL}, r(term, ancestor) AS (SELECT child, parent FROM par WHERE child NOT LIKE 'O%' UNION SELECT r.term, par.parent FROM r JOIN par ON r.ancestor = par.child),
+WITH RECURSIVE {HIER_SQL}, r(term, ancestor) AS (SELECT child, parent FROM par UNION SELECT r.term, par.parent FROM r JOIN par ON r.ancestor = par.child),
 d AS (SELECT DISTINCT o_orderpriority AS entity, concat('C', o_custkey) AS term FROM orders)
 SELECT entity, term FROM d UNION SELECT entity, ancestor FROM d JOIN r ON d.term = r.term""")
 def _g9(t):
-    anc = graph.closure(hierarchy(t).where(~F.col("child").startswith("O")))
+    anc = graph.closure(hierarchy(t))
     ann = t.orders.select(F.col("o_orderpriority").alias("entity"), F.concat(F.lit("C"), "o_custkey").alias("term")).distinct()
     return graph.propagate(ann, "entity", "term", anc)
 
@@ -142,12 +163,44 @@ def _g11(t):
     return graph.node_attribute(nodes, "node", table, "id", "kind", ids.node_kind("node")).select("node", "kind", "n")
 
 
+def brand_sentences(t):
+    """The brands that a customer ordered, in order; some lists are longer than a chunk."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    words = li.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = words.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "p_brand"))).alias("l"))
+    return lines.select("o_custkey", F.col("l.p_brand").alias("tokens"))
+
+
+PAIRS_SQL = """WITH t AS (SELECT o_custkey, p_brand AS w, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS p
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+p AS (SELECT x.w AS a, y.w AS b, (11 - (y.p - x.p)) / 10.0::DOUBLE AS n FROM t x JOIN t y ON x.o_custkey = y.o_custkey AND y.p > x.p AND y.p - x.p <= 10),
+c AS (SELECT row, col, sum(n) AS value FROM (SELECT a AS row, b AS col, n FROM p UNION ALL SELECT b, a, n FROM p) q GROUP BY 1, 2)"""
+
+
+@query("skip_gram_window_pairs", "G12", f"{PAIRS_SQL} SELECT row, col, round(value, 4) + 0.0 AS value FROM c")
+def _g12a(t):
+    return graph.window_pairs(brand_sentences(t), "tokens", 10).withColumn("value", r("value", 4))
+
+
+@query("skip_gram_noise_weights", "G12", f"""
+{PAIRS_SQL}, s AS (SELECT row AS w, sum(value) AS s FROM c GROUP BY 1), z AS (SELECT sum(s ** 0.75) AS z FROM s),
+v AS (SELECT row, col, ln(value * z / (x.s * y.s ** 0.75)) AS value FROM c JOIN s x ON row = x.w JOIN s y ON col = y.w, z)
+SELECT row, col, round(value, 6) + 0.0 AS value FROM v WHERE value > 0""")
+def _g12b(t):
+    return graph.shifted_ppmi(graph.window_pairs(brand_sentences(t), "tokens", 10), 0.0, graph.SMOOTHING).withColumn("value", r("value"))
+
+
 @query("skip_gram_brand_vectors", "G12")
 def _g12(t):
-    # a sentence per order; the vocabulary is the fixed set of part brands
-    words = t.lineitem.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    lines = words.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_brand")).alias("tokens"))
-    return graph.skip_gram(lines, "tokens", dim=16, window=5, epochs=1)
+    return graph.skip_gram(brand_sentences(t), "tokens", dim=128, window=10)
+
+
+@query("skip_gram_walk_vectors", "G12 G6", f"""
+WITH {EDGE_SQL} SELECT node AS word, 128 AS width, true AS finite FROM (SELECT a AS node FROM e UNION SELECT b FROM e) q""")
+def _g12c(t):
+    walks = materialize(graph.random_walks(graph.neighbour_pairs(edges(t), "a", "b")), "walks")
+    v = graph.skip_gram(walks, "walk", dim=128, window=10)
+    return v.select("word", F.size("vector").alias("width"), F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))).alias("finite"))
 
 
 @query("column_zscore", "M1 M9 N5", f"""

@@ -139,6 +139,69 @@ def test_channels_keep_first_score(spark):
     assert rows(graph.channel_edges(links, "p", "q", ["x", "y"], "o", 150)) == [("x", "a", "b", 200), ("y", "b", "a", 300)]
 
 
+def test_walk_steps_are_uniform(spark):
+    pairs = graph.neighbour_pairs(spark.createDataFrame([("hub", f"n{i}") for i in range(8)] + [("n0", "n1")], "s string, d string"), "s", "d")
+    walks = [r["walk"] for r in graph.random_walks(pairs, 60, 25, block=4).collect()]
+    assert len(walks) == 9 * 60 and len({tuple(w) for w in walks}) > 500 and all(len(w) == 25 for w in walks)
+    seen = {}
+    for w in walks:
+        for x, y in zip(w, w[1:]):
+            seen.setdefault(x, {}).setdefault(y, 0)
+            seen[x][y] += 1
+    for x, n in seen.items():  # every neighbour is met, about equally often
+        assert len(n) == (8 if x == "hub" else 2 if x in ("n0", "n1") else 1)
+        mean = sum(n.values()) / len(n)
+        assert sum((c - mean) ** 2 / mean for c in n.values()) < 30
+
+
+@pytest.mark.parametrize("joins", ["broadcast", "shuffle"])
+def test_closure_of_chains_cycles_and_hubs(spark, joins, request):
+    if joins == "shuffle":
+        request.getfixturevalue("no_broadcast")
+    edges = [(i, i + 1) for i in range(40)] + [(100 + i, 20) for i in range(30)] + [(200, 201), (201, 202), (202, 200)] + [(0, 1)]
+    want, onward = set(), {}
+    for a, b in edges:
+        onward.setdefault(a, set()).add(b)
+    for a in onward:
+        todo, done = list(onward[a]), set()
+        while todo:
+            x = todo.pop()
+            if x not in done:
+                done.add(x)
+                todo += onward.get(x, ())
+        want |= {(a, x) for x in done}
+    got = [tuple(r) for r in graph.closure(spark.createDataFrame(edges, "child int, parent int")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_window_pairs_lose_none_at_chunk_cuts(spark):
+    rng = np.random.default_rng(1)
+    sentences = [[f"w{x}" for x in rng.integers(0, 9, n)] for n in (0, 1, 2, 63, 64, 65, 75, 300)]
+    want = {}
+    for s in sentences:
+        for i in range(len(s)):
+            for d in range(1, 5):
+                if i + d < len(s):
+                    for k in ((s[i], s[i + d]), (s[i + d], s[i])):
+                        want[k] = want.get(k, 0) + (4 - d + 1) / 4
+    df = spark.createDataFrame([(s,) for s in sentences], "t array<string>")
+    got = {(r["row"], r["col"]): r["value"] for r in graph.window_pairs(df, "t", 4).collect()}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_skip_gram_ranks_planted_neighbours_first(spark):
+    rng = np.random.default_rng(2)
+    groups = [[f"{g}{i}" for i in range(5)] for g in "abcdefghij"]
+    sentences = [[groups[k][i] for i in rng.integers(0, 5, 12)] for k in rng.integers(0, 10, 300)] + [["lonely"]]
+    df = spark.createDataFrame([(s,) for s in sentences], "t array<string>")
+    v = {r["word"]: np.array(r["vector"]) for r in graph.skip_gram(df, "t", 10, 3).collect()}
+    assert not v.pop("lonely").any() and len(v) == 50
+    unit = {w: x / np.linalg.norm(x) for w, x in v.items()}
+    for w, x in unit.items():
+        near = sorted((o for o in unit if o != w), key=lambda o: -(x @ unit[o]))[:4]
+        assert {o[0] for o in near} == {w[0]}
+
+
 def test_walks_follow_edges_and_repeat(spark):
     pairs = graph.neighbour_pairs(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("e", "e")], "s string, d string"), "s", "d")
     edges = {tuple(r) for r in pairs.collect()}

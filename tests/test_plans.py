@@ -228,7 +228,7 @@ def test_network_plans(spark, monkeypatch):
     out = network.fused_network_vectors(links, info, aliases, m, per_channel=2, final=2)
     assert set(vec(out["vectors"], "gene")) == {"ENSG1", "ENSG3", "ENSG4"}
     e = spark.createDataFrame([("1", "2"), ("2", "3.0"), ("3", "1"), ("4", "4"), ("x", "1")], "gene1 string, gene2 string")
-    w = network.walk_vectors(e, m, walks=2, length=6, dim=4, window=2, epochs=1)
+    w = network.walk_vectors(e, m, walks=2, length=6, dim=4, window=2)
     assert set(vec(w["vectors"], "gene")) == {"ENSG1", "ENSG2", "ENSG3"}
 
 
