@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -70,6 +71,9 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+SCRATCH = "_scratch_path"  # on a frame that ``materialize`` returned
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -102,7 +106,24 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, SCRATCH, path)
+    return out
+
+
+def release(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the scratch tables behind ``frames``, which nothing reads any more, and let Spark drop the shuffle files of finished steps.
+
+    Shuffle files go once the driver has collected the plans that made them.
+    A long chain of large steps would otherwise keep all of them to its end.
+    """
+    for df in frames:
+        path = getattr(df, SCRATCH, None)
+        if path:
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
