@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, UPPER, materialize
+from .text import LOWER, UPPER, materialize, release
 from .tokens import bounded
 
 SHINGLE, PERCENT = 4, 85  # fixed values of the contract
@@ -134,14 +134,28 @@ def prefixes(docs: DataFrame, seen: np.ndarray, size: int = SHINGLE, percent: in
     return docs.mapInArrow(run, "doc bigint, mark bigint, key bigint, n bigint, l bigint, tokens array<bigint>")
 
 
+BYTES = 6  # of each hash that a shipped set keeps; two sets of 10,000 agree by chance in one shingle of 2.8 million such pairs
+
+
+def packed(s: np.ndarray) -> bytes:
+    """The lower ``BYTES`` bytes of each hash, sorted."""
+    return np.sort(s & np.uint64((1 << 8 * BYTES) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+
+
+def unpacked(b: pa.Buffer) -> np.ndarray:
+    out = np.zeros((len(b) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(b, np.uint8).reshape(-1, BYTES)
+    return out.view("<u8").ravel()
+
+
 def whole_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(key, items): the whole set of each (doc, text), as the bytes of its sorted hashes."""
+    """(key, items): the whole set of each (text), packed. A set that repeats within a batch comes once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
         for batch in bounded(batches, "text"):
-            sets = shingle(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "items"])
+            sets = {set_key(s): s for s in shingle(batch.column("text")) if len(s)}
+            yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array([packed(s) for s in sets.values()], pa.binary())], names=["key", "items"])
 
     return docs.mapInArrow(run, "key bigint, items binary")
 
@@ -153,8 +167,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
         for batch in bounded(batches, "sa"):
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
+                common = int((np.searchsorted(y, x, "right") > np.searchsorted(y, x)).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -239,25 +253,30 @@ def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     """(doc, mark, key, n, comp, component_id) for each row of ``docs``: the hash of its text, and the key of its component, which no other
     component has (those without any id all have a null ``component_id``). ``comp`` is null in rows without words."""
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    rows = prefixes(d, rarity(d, size), size, percent).withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(rows, "prefixes")
-    classes = materialize(rows.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.min("doc").alias("doc")), "classes")
-    first = rows.join(classes.select("row"), "row", "left_semi")
+    spark = docs.sparkSession
+    found = materialize(prefixes(d, rarity(d, size), size, percent).withColumn("row", F.monotonically_increasing_id()), "prefixes")
+    rows = materialize(found.select("doc", "mark", "key", "n"), "rows")
+    classes = materialize(found.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.min("doc").alias("doc")), "classes")
+    first = found.join(classes.select("row"), "row", "left_semi")
     postings = first.select("key", "n", "l", F.posexplode("tokens").alias("pos", "token"))
     holders = postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
     postings = materialize(postings.join(holders, "token"), "postings")
-    placed = postings.select("key").distinct().withColumn("comp", F.col("key"))
-    placed = materialize(placed, "placed")
-    # the sets of classes that share a shingle with another: one row each, found by id, so that only texts are shuffled
-    wanted = classes.join(placed.select("key"), "key", "left_semi").select(F.col("doc").alias("w_doc"), F.col("key").alias("w_key"))
-    found = whole_sets(d.join(wanted, F.col("doc").eqNullSafe(F.col("w_doc")), "left_semi").select("doc", "text"), size)
-    sets = materialize(found.join(wanted, F.col("key") == F.col("w_key"), "left_semi").dropDuplicates(["key"]), "sets")
+    release(spark, found)
+    placed = materialize(postings.select("key").distinct().withColumn("comp", F.col("key")), "placed")
+    # the sets of classes that share a shingle with another, each once
+    sets = whole_sets(d, size).join(placed.select("key"), "key", "left_semi").groupBy("key").agg(F.first("items").alias("items"))
+    sets = materialize(sets, "sets")
     for turn in range(STARS):
         still = materialize(open_postings(postings, placed), "open")
         links = materialize(verified(star_pairs(still, turn), sets, percent), "links")
+        release(spark, still)
         placed = materialize(contracted(placed, links), "placed")
+        release(spark, links)
     pairs = materialize(candidate_pairs(open_postings(postings, placed), percent), "pairs")
-    placed = materialize(contracted(placed, materialize(verified(pairs, sets, percent), "links")), "placed")
+    release(spark, postings)
+    links = materialize(verified(pairs, sets, percent), "links")
+    release(spark, pairs, sets)
+    placed = materialize(contracted(placed, links), "placed")
     least = classes.join(placed, "key", "left").select("key", "doc", F.coalesce("comp", "key").alias("comp"))
     ids = least.groupBy("comp").agg(F.min("doc").alias("component_id"))
     named = least.join(ids, "comp").select("key", "comp", "component_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship, shuffle_partitions  # noqa: F401  (re-used by the operators)
+from ..session import materialize, release, ship, shuffle_partitions  # noqa: F401  (re-used by the operators)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # fixed values: what separates words, as the queries define them
