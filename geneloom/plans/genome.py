@@ -10,6 +10,7 @@ from ..models.specs import REGULATORY_WINDOWS, SPLICE_CONTEXT, SPLICE_RADIUS, ST
 from ..operators import vectors
 from ..operators.ranges import with_neighbours
 from ..session import materialize
+from ..sources.splits import read_fasta_tiles
 
 PROFILE_GROUPS = tuple(f"{sites}_sites_{channel}_profile" for sites in ("all", "donor", "acceptor")
                        for channel in ("acceptor", "donor"))
@@ -57,6 +58,13 @@ def chromosome_tiles(records: DataFrame, tile: int = TILE) -> DataFrame:
                           F.posexplode(seq.chunks("sequence", tile)).alias("tile_no", "bases"))
 
 
+def tiles_from_fasta(spark, path, tile: int = TILE) -> DataFrame:
+    """``[chromosome, tile_no, bases, chrom_length]`` of FASTA files; the longest sequence is read by many tasks and is never one row."""
+    records, tiles = read_fasta_tiles(spark, path, tile)
+    named = records.select("file", "record", F.col("record_id").alias("chromosome"), F.col("length").alias("chrom_length"))
+    return tiles.join(named, ["file", "record"]).select("chromosome", F.col("tile_no").cast("int").alias("tile_no"), "bases", "chrom_length")
+
+
 def genome_windows(sites: DataFrame, key: str, tiles: DataFrame, start: str, stop: str, tile: int = TILE) -> DataFrame:
     """``[key, sequence]``: the bases of ``[start, stop)``, padded with N beyond the chromosome.
 

@@ -85,7 +85,7 @@ def _j4(t):
 
 
 @query("primary_hides_alias", "J5", """
-WITH p AS (SELECT DISTINCT p_brand AS id, p_partkey AS gene, 'primary' AS kind FROM part WHERE p_size = 7
+WITH p AS (SELECT DISTINCT p_brand AS id, p_partkey AS gene, 'primary' AS kind FROM part
  UNION SELECT DISTINCT concat(p_name, p_size), p_partkey, 'primary' FROM part WHERE p_partkey % 3 = 0
  UNION SELECT DISTINCT concat(p_name, p_size), p_partkey, 'alias' FROM part WHERE p_partkey % 3 > 0),
 q AS (SELECT * FROM p WHERE kind = 'primary' OR id NOT IN (SELECT id FROM p WHERE kind = 'primary'))
@@ -93,7 +93,7 @@ SELECT id, CASE WHEN count(DISTINCT gene) = 1 THEN min(gene) END AS gene, min(ki
 def _j5(t):
     p = t.part
     ns = F.concat("p_name", F.col("p_size").cast("string"))
-    pairs = (p.where("p_size = 7").select(F.col("p_brand").alias("id"), F.col("p_partkey").alias("gene"), F.lit("primary").alias("kind"))
+    pairs = (p.select(F.col("p_brand").alias("id"), F.col("p_partkey").alias("gene"), F.lit("primary").alias("kind"))
              .unionByName(p.select(ns.alias("id"), F.col("p_partkey").alias("gene"),
                                    F.when(F.col("p_partkey") % 3 == 0, F.lit("primary")).otherwise(F.lit("alias")).alias("kind"))))
     return mapping.primary_over_alias(pairs).select("id", "gene", "kind")
@@ -184,14 +184,14 @@ def _j13(t):
 
 
 @query("ordered_first_match", "J14", """
-WITH known AS (SELECT DISTINCT cast(l_partkey AS VARCHAR) AS k FROM lineitem WHERE l_quantity = 50),
+WITH known AS (SELECT DISTINCT cast(l_partkey AS VARCHAR) AS k FROM lineitem),
 c AS (SELECT p_partkey, unnest([cast(p_partkey + 7 AS VARCHAR), 'none', cast(p_partkey AS VARCHAR), cast(p_partkey + p_size AS VARCHAR)]) AS k,
  unnest([0, 1, 2, 3]) AS pos FROM part)
 SELECT p_partkey, arg_min(c.k, pos) AS matched_key, min(pos) AS matched_position FROM c JOIN known ON c.k = known.k GROUP BY 1""")
 def _j14(t):
     k = F.col("p_partkey")
     cands = F.array((k + 7).cast("string"), F.lit("none"), k.cast("string"), (k + F.col("p_size")).cast("string"))
-    src = t.lineitem.where("l_quantity = 50").select(F.col("l_partkey").cast("string").alias("sk"))
+    src = t.lineitem.select(F.col("l_partkey").cast("string").alias("sk"))
     return mapping.first_match(t.part, "p_partkey", cands, src, "sk")
 
 

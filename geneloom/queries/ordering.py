@@ -184,7 +184,7 @@ def _r3(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r(num.l2_norm(v)).alias("norm"))
 
 
-@query("vector_to_wide", "R4", "SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) + 0.0 AS dim_{i}" for i in range(8)) + " FROM embeddings")
+@query("vector_to_wide", "R4", "SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) + 0.0 AS dim_{i}" for i in range(64)) + " FROM embeddings")
 def _r4(t):
-    wide = t.embeddings.select("vec_id", *num.vector_to_wide(num.as_double_vector("embedding"), 8))
-    return wide.select("vec_id", *[r(f"dim_{i}").alias(f"dim_{i}") for i in range(8)])
+    wide = t.embeddings.select("vec_id", *num.vector_to_wide(num.as_double_vector("embedding"), 64))
+    return wide.select("vec_id", *[r(f"dim_{i}").alias(f"dim_{i}") for i in range(64)])

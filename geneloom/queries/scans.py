@@ -8,13 +8,15 @@ import tarfile
 import zipfile
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, num
 from ..operators import vectors
+from ..plans import genome
 from ..plans.network import alias_entrez
 from ..session import scratch_path
-from ..sources import archives, bio, readers, sinks
+from ..sources import archives, bio, readers, shards, sinks, splits
 from ..streaming.incremental import drain_files, resume
 from .registry import big, query, r
 from .sequences import DUCK_DNA, dna
@@ -179,6 +181,68 @@ def _sc22(t):
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("text"))
 
 
+def _json_objects(t, entries, label, size=400):
+    """A file for each ``size`` entries ``[k, entry]``, each one JSON object without line ends of its own."""
+    rows = entries.withColumn("bucket", F.floor(F.col("k") / size))
+    span = Window.partitionBy("bucket").orderBy("k")
+    text = F.concat(F.when(F.lag("k").over(span).isNull(), F.lit("{")).otherwise(F.lit("")), "entry", F.when(F.lead("k").over(span).isNull(), F.lit("}")).otherwise(F.lit(",")))
+    path = scratch_path(t.spark, label)
+    rows.select("bucket", "k", text.alias("value")).sortWithinPartitions("bucket", "k").select("bucket", "value").write.partitionBy("bucket").text(path)
+    return path
+
+
+@query("scan_json_object_in_splits", "SC22", """
+SELECT upper(concat('Gene,', doc_id)) AS key, length(trim(text)) AS n, md5(trim(text)) AS digest FROM documents WHERE trim(text) <> ''""")
+def _sc22b(t):
+    doc = F.to_json(F.create_map(F.concat(F.lit("Gene,"), "doc_id"), "text"))
+    path = _json_objects(t, t.documents.select(F.col("doc_id").alias("k"), F.substring(doc, F.lit(2), F.length(doc) - 2).alias("entry")), "object")
+    rows = readers.read_json_texts(t.spark, path)
+    return rows.select("key", big(F.length("text")).alias("n"), F.md5("text").alias("digest"))
+
+
+@query("scan_vocabulary_in_splits", "SC23", """
+SELECT concat(p_name, ' ', p_partkey) AS token, CASE WHEN p_partkey % 7 > 0 THEN p_partkey END AS token_id FROM part""")
+def _sc23b(t):
+    pid = F.when(F.col("p_partkey") % 7 > 0, F.col("p_partkey").cast("string")).otherwise(F.lit("[1, 2]"))
+    entry = F.concat(F.lit('"'), "p_name", F.lit(" "), "p_partkey", F.lit('": '), pid)
+    path = _json_objects(t, t.part.select(F.col("p_partkey").alias("k"), entry.alias("entry")), "vocabulary")
+    return readers.read_vocabulary(t.spark, path)
+
+
+@query("scan_sequence_tiles", "SC14 SC16", f"""
+WITH d AS (SELECT doc_id, {DUCK_DNA} AS s FROM documents), t AS (SELECT doc_id, s, unnest(range(0, (length(s) + 999) // 1000)) AS tile_no FROM d)
+SELECT concat('ENST', doc_id) AS record_id, length(s) AS record_length, tile_no, md5(substr(s, tile_no * 1000 + 1, 1000)) AS digest FROM t""")
+def _sc14b(t):
+    path = scratch_path(t.spark, "fasta")
+    sinks.write_fasta(t.texts.select(F.concat(F.lit("ENST"), "doc_id").alias("id"), dna().alias("s")), path, ["id"], "s")
+    heads, tiles = splits.read_fasta_tiles(t.spark, path, 1000)
+    out = tiles.join(heads, ["file", "record"])
+    return out.select("record_id", big("length").alias("record_length"), "tile_no", F.md5("bases").alias("digest"))
+
+
+@query("windows_from_tiled_sequences", "SC16 Q25", f"""
+WITH d AS (SELECT doc_id, {DUCK_DNA} AS s, (doc_id * 37) % 900 - 100 AS center FROM documents),
+w AS (SELECT doc_id, s, center - 128 AS a, center + 128 AS b, length(s) AS n FROM d)
+SELECT doc_id, md5(concat(repeat('N', greatest(-a, 0)), substr(s, greatest(a, 0) + 1, least(b, n) - greatest(a, 0)), repeat('N', greatest(b - n, 0)))) AS digest
+FROM w WHERE least(b, n) > greatest(a, 0)""")
+def _sc16b(t):
+    path = scratch_path(t.spark, "fasta")
+    sinks.write_fasta(t.texts.select(F.concat(F.lit("chr"), "doc_id").alias("id"), dna().alias("s")), path, ["id"], "s")
+    tiles = genome.tiles_from_fasta(t.spark, path, 100)
+    k = (F.col("doc_id") * 37) % 900 - 100
+    sites = t.documents.select("doc_id", F.concat(F.lit("chr"), "doc_id").alias("chromosome"), (k - 128).alias("a"), (k + 128).alias("b"))
+    sites = sites.join(tiles.select("chromosome", "chrom_length").distinct(), "chromosome")
+    return genome.genome_windows(sites, "doc_id", tiles, "a", "b", 100).select("doc_id", F.md5("sequence").alias("digest"))
+
+
+@query("npy_shards_round_trip", "SC26 SK2 SK3", "SELECT vec_id AS row, unnest(embedding)::DOUBLE AS value, cast(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim FROM embeddings")
+def _sc26(t):
+    path = scratch_path(t.spark, "npy")
+    shards.write_npy_rows(t.embeddings, path, "vec_id", "embedding")
+    back = shards.read_npy_rows(t.spark, path, width=64)
+    return back.select("row", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
+
+
 @query("scan_vocabulary", "SC23 F9", "SELECT 'k' AS token, cast(json_extract(props, '$.k') AS BIGINT) AS token_id, count(*) AS n FROM events GROUP BY 1, 2")
 def _sc23(t):
     v = readers.read_vocabulary(t.spark, _lines(t, t.events.select(F.col("props").alias("value")), "vocab"), per_line=True)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions import ids, num
 from ..operators import mapping
 from ..operators.ranges import with_row_index
+from . import splits
 
 
 def file_order() -> Column:
@@ -232,18 +233,24 @@ def read_json_vectors(spark: SparkSession, path) -> DataFrame:
     return rows.select("key", _floats(F.filter(F.split("v", ","), lambda x: ids.strip(x) != "")).alias("vector"))
 
 
+def _json_pairs(spark: SparkSession, path, per_line: bool) -> DataFrame:
+    """``[key, value]`` of a JSON object per file, read by many tasks, or per line. Of a key that occurs twice in a file the last value counts."""
+    if per_line:
+        return spark.read.text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+    entries = splits.read_json_entries(spark, path)
+    return entries.groupBy("file", "key").agg(F.max_by("value", "entry").alias("value")).select("key", "value")
+
+
 def read_json_texts(spark: SparkSession, path, per_line: bool = False) -> DataFrame:
     """``[key, text]`` of a JSON object per file (or per line); keys upper-cased, blanks dropped."""
-    whole = spark.read.text(path, wholetext=not per_line)
-    pairs = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "text"))
-    return pairs.select(F.upper(ids.strip("key")).alias("key"), ids.strip("text").alias("text")).where("key <> '' AND text <> ''")
+    pairs = _json_pairs(spark, path, per_line)
+    return pairs.select(F.upper(ids.strip("key")).alias("key"), ids.strip("value").alias("text")).where("key <> '' AND text <> ''")
 
 
 def read_vocabulary(spark: SparkSession, path, per_line: bool = False) -> DataFrame:
     """``[token, token_id]`` of a JSON object per file (or per line); ids that are no integers are NULL."""
-    whole = spark.read.text(path, wholetext=not per_line)
-    pairs = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("token", "token_id"))
-    return pairs.select("token", F.when(F.col("token_id").rlike(r"^-?\d+$"), F.col("token_id")).try_cast("bigint").alias("token_id"))
+    pairs = _json_pairs(spark, path, per_line)
+    return pairs.select(F.col("key").alias("token"), F.when(F.col("value").rlike(r"^-?\d+$"), F.col("value")).try_cast("bigint").alias("token_id"))
 
 
 def score_columns(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
