@@ -13,8 +13,8 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class InferenceSpec:
     name: str
-    cut: str                 # whole | fixed | min_tail | window | token_bound
-    size: int = 0            # letters per piece
+    cut: str                 # whole | fixed | min_tail | window | token_bound | words
+    size: int = 0            # letters, or words, per piece
     min_tail: int = 0
     max_tokens: int = 0
     pool: str = "token_sum"
@@ -25,7 +25,7 @@ class InferenceSpec:
 
 # Piece sizes, token limits and batch sizes per model family.
 SPECS = {s.name: s for s in (
-    InferenceSpec("text_bert", "whole", max_tokens=512, pool="token_sum", batch=16),
+    InferenceSpec("text_bert", "words", size=256, max_tokens=512, pool="token_sum", batch=16),
     InferenceSpec("nucleotide_transformer", "fixed", size=6000, pool="token_sum", batch=1, min_piece=750),
     InferenceSpec("dna_bert2", "token_bound", size=1600, max_tokens=512, pool="piece_length", batch=1),
     InferenceSpec("hyena_dna", "fixed", size=12000, pool="token_sum", batch=1, min_piece=1000),
@@ -49,4 +49,5 @@ REGULATORY_WINDOWS = (
     ("central_10kb_max", 10_000, "max"),
 )
 REGULATORY_OUTPUTS = ("CAGE", "RNA_SEQ", "DNASE", "ATAC", "CHIP_HISTONE", "CHIP_TF", "PROCAP")
+# Names of the standard chromosomes.
 STANDARD_CHROMOSOMES = tuple([f"chr{i}" for i in range(1, 23)] + ["chrX", "chrY"])

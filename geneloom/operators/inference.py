@@ -25,6 +25,10 @@ def cut(df: DataFrame, key: str, text: str, spec: InferenceSpec) -> DataFrame:
     """``[key, piece_no, piece]``; blank texts give no piece."""
     if spec.cut in ("whole", "token_bound") and not spec.size:
         pieces = F.array(F.col(text))
+    elif spec.cut == "words":
+        words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+        starts = F.filter(F.sequence(F.lit(0), F.size(words), F.lit(spec.size)), lambda i: i < F.size(words))
+        pieces = F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, spec.size), " "))
     elif spec.cut == "min_tail":
         pieces = sq.chunks_min_tail(text, spec.size, spec.min_tail)
     elif spec.cut == "window":
@@ -36,13 +40,17 @@ def cut(df: DataFrame, key: str, text: str, spec: InferenceSpec) -> DataFrame:
     return df.select(key, F.posexplode(pieces).alias("piece_no", "piece")).where("length(piece) > 0")
 
 
-def halve_to_limit(piece: str, count: Callable[[str], int], limit: int, floor: int = 100) -> list[str]:
-    """Halve a piece until every part tokenises to at most ``limit`` tokens."""
+def halve_to_limit(piece: str, count: Callable[[str], int], limit: int, floor: int = 100, at_blanks: bool = False) -> list[str]:
+    """Halve a piece until every part tokenises to at most ``limit`` tokens; with ``at_blanks`` between words where it has several."""
     todo, done = [piece], []
     while todo:
         part = todo.pop()
         if count(part) <= limit:
             done.append(part)
+        elif at_blanks and " " in part:
+            words = part.split(" ")
+            half = len(words) // 2
+            todo += [" ".join(words[half:]), " ".join(words[:half])]
         elif len(part) <= floor:
             raise ValueError(f"cannot cut a part of length {len(part)} to {limit} tokens")
         else:
@@ -66,8 +74,6 @@ def _token_sums(model, piece: str, spec: InferenceSpec) -> tuple[np.ndarray, int
         a, b = _token_sums(model, piece[:half], spec), _token_sums(model, piece[half:], spec)
         return a[0] + b[0], a[1] + b[1]
     kept = matrix[~special]
-    if spec.max_tokens and spec.cut == "whole":
-        kept = kept[: spec.max_tokens]
     return kept.sum(axis=0), len(kept)
 
 
@@ -87,8 +93,8 @@ def embed_pieces(pieces: DataFrame, key: str, spec: InferenceSpec, load_model: C
         for turn in range(1, retries + 1):
             try:
                 parts = [piece]
-                if spec.cut == "token_bound" and model.token_count(piece) > spec.max_tokens:
-                    parts = halve_to_limit(piece, model.token_count, spec.max_tokens)
+                if spec.cut in ("token_bound", "words") and model.token_count(piece) > spec.max_tokens:
+                    parts = halve_to_limit(piece, model.token_count, spec.max_tokens, at_blanks=spec.cut == "words")
                 return [(len(p), *_token_sums(model, p, spec)) for p in parts], None
             except Exception as err:  # isolate the row, keep the batch
                 last = err
@@ -130,6 +136,15 @@ def failures(embedded: DataFrame, key: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_failed"), F.min("error").alias("error")))
 
 
+def outcomes(df: DataFrame, embedded: DataFrame, key: str) -> DataFrame:
+    """``[key, status, n_pieces, n_failed, n_tokens]`` of every key of ``df``: ``ok``, ``failed`` if a piece failed, ``empty`` without tokens."""
+    tally = embedded.groupBy(key).agg(F.count(F.lit(1)).alias("n_pieces"), F.count_if(F.col("error").isNotNull()).alias("n_failed"), F.sum("n_tokens").alias("n_tokens"))
+    out = df.select(key).distinct().join(tally, key, "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n_pieces", "n_failed", "n_tokens")})
+    status = F.when(F.col("n_failed") > 0, F.lit("failed")).when(F.col("n_tokens") == 0, F.lit("empty")).otherwise(F.lit("ok"))
+    return out.select(key, status.alias("status"), "n_pieces", "n_failed", "n_tokens")
+
+
 def embed(df: DataFrame, key: str, text: str, spec: InferenceSpec, load_model: Callable[[], object],
           retries: int = 1) -> DataFrame:
     """Cut, embed and pool in one call; the model runs once and its output is kept in the shared folder."""

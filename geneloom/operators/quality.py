@@ -20,6 +20,13 @@ def require_columns(df: DataFrame, columns: list[str], what: str = "input") -> D
     return df
 
 
+def column_report(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``[column_name, present, n_rows]`` of required columns, beside the number of rows they were asked of."""
+    n = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    flags = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(c in df.columns).alias("present")) for c in columns])
+    return n.select(F.explode(flags).alias("c"), "n_rows").select("c.column_name", "c.present", "n_rows")
+
+
 def find_column(df: DataFrame, candidates: list[str]) -> str | None:
     """First candidate that exists, ignoring case."""
     lower = {c.lower(): c for c in df.columns}

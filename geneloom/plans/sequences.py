@@ -85,15 +85,15 @@ def summary_jobs(master: DataFrame, summaries: DataFrame) -> DataFrame:
         "ensembl_gene_id", F.col("key").alias("summary_key"), "summary_mapping_source", F.col("text").alias("summary_text"))
 
 
-def embed_sequences(jobs: DataFrame, model: str, load_model: Callable[[], object], text: str = "sequence", limit: int | None = None,
-                    retries: int = 1) -> dict[str, DataFrame]:
-    """Vectors, failures and gate of one sequence or text model; ``limit`` is for smoke runs only."""
+def embed_sequences(jobs: DataFrame, model: str, load_model: Callable[[], object], text: str = "sequence", retries: int = 1) -> dict[str, DataFrame]:
+    """Vectors, failures, one outcome per gene and gate of one sequence or text model."""
     spec = SPECS[model]
-    todo = jobs if limit is None else jobs.orderBy("ensembl_gene_id").limit(limit)
+    todo = jobs
     if model == "helix_mrna":
         todo = todo.withColumn(text, seq.clean_marked_rna(text))
     pieces = inference.cut(todo, "ensembl_gene_id", text, spec)
     done = materialize(inference.embed_pieces(pieces, "ensembl_gene_id", spec, load_model, retries), "pieces")
     pooled = inference.pool(done, "ensembl_gene_id", spec)
     return {"vectors": pooled, "failures": inference.failures(done, "ensembl_gene_id"),
+            "outcomes": inference.outcomes(todo, done, "ensembl_gene_id"),
             "gate": quality.gate(pooled, "ensembl_gene_id", "vector", quality.GATE_BASIC)}

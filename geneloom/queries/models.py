@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..models.specs import SPECS, InferenceSpec
 from ..models.stub import LetterModel, WordHashModel
 from ..operators import inference
 from ..plans import genome
+from ..session import materialize
 from .registry import big, query, r
 from .sequences import DUCK_DNA, dna
 
@@ -49,8 +48,42 @@ def _v3(t):
 
 @query("embed_texts_masked_mean", "V1 A16")
 def _v1(t):
-    whole = replace(SPECS["text_bert"], max_tokens=0)
-    return inference.embed(t.texts, "doc_id", "text", whole, lambda: WordHashModel(8)).select("doc_id", "n_tokens", "vector")
+    return inference.embed(t.texts, "doc_id", "text", SPECS["text_bert"], lambda: WordHashModel(8)).select("doc_id", "n_tokens", "vector")
+
+
+@query("embed_text_outcomes", "V1 A14 A16", """
+SELECT doc_id, CASE WHEN n = 0 THEN 'empty' ELSE 'ok' END AS status, n AS n_tokens FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM documents) q""")
+def _v1b(t):
+    # a text of any length is cut into pieces below the model's limit, and all its tokens count
+    spec = SPECS["text_bert"]
+    done = materialize(inference.embed_pieces(inference.cut(t.texts, "doc_id", "text", spec), "doc_id", spec, lambda: WordHashModel(8)), "pieces")
+    return inference.outcomes(t.documents, done, "doc_id").select("doc_id", "status", "n_tokens")
+
+
+class _Flaky(LetterModel):
+    """Fails at the first attempt of every piece, and at all attempts of pieces that start with T."""
+
+    seen: set = set()
+
+    def tokens(self, piece):
+        if piece.startswith("T"):
+            raise ValueError("rejected piece")
+        if piece not in self.seen:
+            self.seen.add(piece)
+            raise RuntimeError("try again")
+        return super().tokens(piece)
+
+
+@query("retries_and_outcomes", "I5 I6", f"""
+WITH d AS (SELECT doc_id, {DUCK_DNA} AS s FROM documents), p AS (SELECT doc_id, substr(s, i + 1, 1000) AS x FROM (SELECT doc_id, s, unnest(range(0, length(s), 1000)) AS i FROM d) q),
+c AS (SELECT doc_id, count(*) AS n_pieces, count(*) FILTER (WHERE x LIKE 'T%') AS n_failed, coalesce(sum(length(x)) FILTER (WHERE x NOT LIKE 'T%'), 0)::BIGINT AS n_tokens FROM p GROUP BY 1)
+SELECT d.doc_id, CASE WHEN n_failed > 0 THEN 'failed' WHEN coalesce(n_tokens, 0) = 0 THEN 'empty' ELSE 'ok' END AS status,
+ coalesce(n_pieces, 0) AS n_pieces, coalesce(n_failed, 0) AS n_failed, coalesce(n_tokens, 0) AS n_tokens FROM d LEFT JOIN c ON d.doc_id = c.doc_id""")
+def _i5(t):
+    spec = InferenceSpec("remote", "fixed", size=1000)
+    d = t.texts.select("doc_id", dna().alias("s"))
+    done = materialize(inference.embed_pieces(inference.cut(d, "doc_id", "s", spec), "doc_id", spec, _Flaky, retries=2, wait_seconds=0.0001), "pieces")
+    return inference.outcomes(t.documents, done, "doc_id")
 
 
 class _Ramp:

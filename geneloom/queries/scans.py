@@ -12,12 +12,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, num
-from ..operators import vectors
+from ..operators import quality, vectors
 from ..plans import genome
 from ..plans.network import alias_entrez
 from ..session import scratch_path
 from ..sources import archives, bio, readers, shards, sinks, splits
-from ..streaming.incremental import drain_files, resume
+from ..streaming.incremental import drain_files, resume, resume_rows
 from .registry import big, query, r
 from .sequences import DUCK_DNA, dna
 
@@ -342,6 +342,47 @@ def _i1(t):
     return resume(o, "o_orderkey", sink, lambda d: d).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("n_keys"))
 
 
+@query("done_masks_resume", "I2 I4", "SELECT vec_id % 2 AS half, count(*) AS n, count(DISTINCT vec_id) AS n_rows FROM embeddings GROUP BY 1")
+def _i2(t):
+    sink = scratch_path(t.spark, "masks")
+    e = t.embeddings.select("vec_id", "embedding")
+    shape = {"width": 64}
+    resume_rows(e.where("vec_id % 2 = 0"), "vec_id", shape, sink, lambda d: d)  # a first run that got half of the rows
+    both = resume_rows(e, "vec_id", shape, sink, lambda d: d)
+    return both.groupBy((F.col("vec_id") % 2).alias("half")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("n_rows"))
+
+
+@query("required_columns", "U4", """
+SELECT want AS column_name, want IN (SELECT column_name FROM information_schema.columns WHERE table_name = 'documents') AS present, (SELECT count(*) FROM documents) AS n_rows
+FROM (SELECT unnest(['doc_id', 'text', 'ensembl_gene_id', 'lang', 'entrez_id']) AS want) q""")
+def _u4(t):
+    return quality.column_report(t.documents, ["doc_id", "text", "ensembl_gene_id", "lang", "entrez_id"])
+
+
+@query("text_mapping_report", "SK5", """
+SELECT line FROM (SELECT unnest(['Mapping report', '==============', '', concat('n_rows: ', count(*)), concat('n_brands: ', count(DISTINCT p_brand)), concat('largest: ', max(p_size))]) AS line FROM part) q""")
+def _sk5(t):
+    counts = t.part.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("p_brand").alias("n_brands"), F.max("p_size").alias("largest"))
+    report = sinks.text_report("Mapping report", counts)  # a one-row summary
+    path = _lines(t, t.spark.createDataFrame([(report.rstrip("\n"),)], "value string"), "report")
+    return t.spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("scan_association_file_leniently", "SC12 F2", """
+SELECT count(*) AS total_rows, count(*) FILTER (WHERE o_orderkey % 7 > 0 AND o_orderpriority = '5-LOW') AS skipped_not,
+ count(*) FILTER (WHERE o_orderkey % 7 > 0 AND o_orderpriority <> '5-LOW' AND o_orderkey % 50 < 40) AS kept,
+ count(*) FILTER (WHERE o_orderkey % 7 = 0 OR (o_orderpriority <> '5-LOW' AND o_orderkey % 50 >= 40)) AS skipped_bad FROM orders""")
+def _sc12(t):
+    from ..plans.annotations import lenient_annotations
+
+    cells = [F.lit("UniProtKB"), F.concat(F.lit("P"), F.lpad(F.col("o_custkey").cast("string"), 5, "0")), F.lit("SYM"), F.when(F.col("o_orderpriority") == "5-LOW", F.lit("NOT|x")).otherwise(F.lit("x")),
+             F.concat(F.lit("GO:"), F.col("o_orderkey") % 50), F.lit("ref"), F.lit("IEA"), F.lit(""), F.lit("P")]
+    full = F.concat_ws("\t", *[c.cast("string") for c in cells], *[F.lit("") for _ in range(8)])
+    body = t.orders.select(F.when(F.col("o_orderkey") % 7 == 0, F.concat_ws("\t", *[c.cast("string") for c in cells[:5]])).otherwise(full).alias("value"))  # short lines and no version
+    terms = t.orders.where("o_orderkey % 50 < 40").select(F.concat(F.lit("GO:"), F.col("o_orderkey") % 50).alias("term_id")).distinct()
+    return lenient_annotations(bio.read_gaf(t.spark, _lines(t, body, "gaf"), strict=False), terms)[1]
+
+
 @query("drained_file_stream", "I1", "SELECT event_type, count(*) AS n, round(sum(value), 2) + 0.0 AS total FROM events GROUP BY 1")
 def _i1s(t):
     sink, checkpoint = scratch_path(t.spark, "stream"), scratch_path(t.spark, "checkpoint")
