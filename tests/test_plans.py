@@ -205,7 +205,7 @@ def test_annotation_vectors(spark):
     assert out["vectors"].count() == 4 and all(len(v) == 2 for v in vec(out["vectors"], "gene").values())
     terms = spark.createDataFrame([(f"GO:{i}", f"term number {i}", "bp", "", [], [f"GO:{i + 1}"]) for i in range(1, 8)],
                                   "term_id string, name string, namespace string, definition string, synonyms array<string>, parents array<string>")
-    on = annotations.ontology_vectors(gaf, terms, gene_table(spark), dim=4, window=3, epochs=1)
+    on = annotations.ontology_vectors(gaf, terms, gene_table(spark), dim=4, window=3)
     assert on["vectors"].count() == 4
     z = np.array(list(vec(on["vectors"], "gene").values()))
     assert np.allclose(z.mean(0), 0, atol=1e-5) and np.allclose(z.std(0), 1, atol=1e-4)
