@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..session import materialize
 from .ranges import with_row_index
-from .skew import fits_broadcast, hot_keys, key_frequency, lookup, salted_join
+from .skew import lookup, spread_join
 
 # Evidence channels and score threshold of a detailed links file.
 LINK_CHANNELS = ("neighborhood", "fusion", "cooccurence", "coexpression", "experimental", "database", "textmining")
@@ -81,14 +81,6 @@ def ppmi(adj: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.select(*by, "row", "col", score.alias("value")).where("value > 0")
 
 
-def _met(left: DataFrame, right: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
-    """Many-to-many join; the rows of the keys that are hot on the left now are spread."""
-    if fits_broadcast(right):
-        return left.join(right, key)
-    hot = materialize(hot_keys(key_frequency(left, [key]), [key], "_rows"), "hot")
-    return salted_join(left, right, [key], hot, "inner", spread_by)
-
-
 def closure(parents: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """``[term, ancestor]``: all ancestors over ``[child, parent]`` edges, a depth of 2ⁿ in n rounds.
 
@@ -106,7 +98,7 @@ def closure(parents: DataFrame, child: str = "child", parent: str = "parent") ->
     while True:
         frontier = delta.where("_open").select("term", F.col("ancestor").alias("_mid"))
         onward = known.select(F.col("term").alias("_mid"), F.col("ancestor").alias("_next"), F.col("_open").alias("_next_open"))
-        grown = _met(frontier, onward, "_mid", ["term"]).select(
+        grown = spread_join(frontier, onward, ["_mid"], "inner", ["term"]).select(
             "term", F.col("_next").alias("ancestor"), F.col("_next_open").alias("_open"))
         # one shuffle of both tells new pairs from known ones
         both = grown.withColumn("_old", F.lit(False)).unionByName(known.withColumn("_old", F.lit(True)))
@@ -120,7 +112,7 @@ def closure(parents: DataFrame, child: str = "child", parent: str = "parent") ->
 def propagate(annotations: DataFrame, entity: str, term: str, ancestors: DataFrame) -> DataFrame:
     """Direct annotations plus all their ancestors, distinct."""
     direct = annotations.select(entity, F.col(term).alias("term")).distinct()
-    lifted = _met(direct, ancestors.select("term", "ancestor"), "term", [entity]).select(entity, F.col("ancestor").alias("term"))
+    lifted = spread_join(direct, ancestors.select("term", "ancestor"), ["term"], "inner", [entity]).select(entity, F.col("ancestor").alias("term"))
     return direct.unionByName(lifted).distinct()
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from .skew import lookup
+from .skew import lookup, spread_join
 from .vectors import vector_mean
 
 MAPPED, AMBIGUOUS, UNMAPPED, EXCLUDED = "mapped", "ambiguous", "unmapped", "excluded"
@@ -181,7 +181,7 @@ def conflict_candidates(source: DataFrame, src: str, keys: Column, evidence: Dat
     """Long table ``[src, gene]`` of the candidates of sources whose evidence disagrees."""
     asked = source.select(src, F.explode(keys).alias("k")).select(
         src, F.col("k.method").alias("method"), F.col("k.key").alias("key")).where("key <> ''")
-    pairs = asked.join(evidence, ["method", "key"]).select(src, "gene").distinct()
+    pairs = spread_join(asked, evidence, ["method", "key"], "inner", [src]).select(src, "gene").distinct()
     many = pairs.groupBy(src).agg(F.count(F.lit(1)).alias("n_candidates")).where("n_candidates > 1")
     return lookup(pairs, many, [src], "inner")
 
@@ -200,10 +200,10 @@ def first_match(owner: DataFrame, owner_key: str, candidates: Column, source: Da
 
 def indicator_join(master: DataFrame, source: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Left join with a ``merge_state``; shared keys on either side fan out."""
-    marked = source.withColumn("_present", F.lit(True))
-    return (master.join(marked, master[left_key] == marked[right_key], "left")
+    marked = source.withColumn("_present", F.lit(True)).withColumn("_on", F.col(right_key))
+    return (spread_join(master.withColumn("_on", F.col(left_key)), marked, ["_on"], "left")
             .withColumn("merge_state", F.when(F.col("_present"), F.lit("both")).otherwise(F.lit("left_only")))
-            .drop("_present"))
+            .drop("_present", "_on"))
 
 
 def assert_unique(df: DataFrame, keys: list[str], what: str) -> None:
@@ -223,8 +223,8 @@ def exact_then_stripped(master: DataFrame, id_col: str, tokens: DataFrame, token
                         missing: str, exact: str, stripped: str) -> DataFrame:
     """Look an id up as it is, then without its version; status names the rule."""
     asked = master.withColumn("_q", F.array(F.col(id_col), F.substring_index(id_col, ".", 1)))
-    best = (asked.select(id_col, F.posexplode("_q").alias("_p", "_k")).where("_k <> ''").distinct()
-            .join(tokens.select(F.col(token_key).alias("_k"), F.col(value).alias("_v")), "_k")
+    asked = asked.select(id_col, F.posexplode("_q").alias("_p", "_k")).where("_k <> ''").distinct()
+    best = (spread_join(asked, tokens.select(F.col(token_key).alias("_k"), F.col(value).alias("_v")), ["_k"], "inner", [id_col])
             .groupBy(id_col).agg(F.min_by("_v", "_p").alias(value), F.min("_p").alias("_p")))
     return lookup(master, best, [id_col], "left").withColumn(
         "status", F.when(F.col("_p") == 0, F.lit(exact)).when(F.col("_p") == 1, F.lit(stripped))

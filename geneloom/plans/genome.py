@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import num, seq
@@ -203,6 +203,31 @@ def window_features(tracks: DataFrame, gene: str, bins: int, resolution: int) ->
             .withColumn("value", num.signed_log1p("value")))
 
 
+def window_summaries(vector, bins: int, resolution: int) -> Column:
+    """Array of ``(summary_stat, value)`` of one track held as an array of bins; the row-local form of :func:`window_features`."""
+    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    centre, out = bins // 2, []
+    for name, width, op in REGULATORY_WINDOWS:
+        lo, hi = 0, bins
+        if width is not None:
+            half = half_bins(width, resolution)
+            lo, hi = max(0, centre - half), min(bins, centre + half)
+        kept = F.filter(F.slice(v, lo + 1, hi - lo), lambda x: ~F.isnan(x))
+        value = F.array_max(kept) if op == "max" else mean_of_values(kept)
+        out.append(F.struct(F.lit(name).alias("summary_stat"), num.signed_log1p(value).alias("value")))
+    return F.array(*out)
+
+
+def mean_of_values(values: Column) -> Column:
+    """Mean of an array, NULL if it is empty."""
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
+
+
+def central_bins(vector, bins: int) -> Column:
+    """Mean of the three central bins of one track held as an array; the row-local form of :func:`central_bins_mean`."""
+    return mean_of_values(F.transform(F.slice(F.col(vector), bins // 2, 3), lambda x: x.cast("double")))
+
+
 def central_bins_mean(tracks: DataFrame, gene: str, bins: int) -> DataFrame:
     """``[gene, track, value]``: mean of the three central bins."""
     centre = bins // 2

@@ -109,6 +109,7 @@ def global_context(rows: DataFrame, gene: str, tissue: str, vector: str, order:
     return rows.where(F.col(tissue) == "global").groupBy(gene).agg(F.max_by(vector, order).alias("vector"))
 
 
+# Columns that may hold Entrez ids, best first.
 ENTREZ_PREFERRED = ["entrez_id", "entrez_gene_id", "ncbi_gene_id", "map_entrez_id", "map_entrez_ids_all", "entrez_ids_all"]
 
 
@@ -124,9 +125,10 @@ def context_vectors(rows: DataFrame, master: DataFrame) -> dict[str, DataFrame]:
     ordered = F.array_distinct(F.flatten(F.array(*[ids.extract_entrez_ids(c) for c in cols])))
     owners = master.where(ids.strip(gene) != "").select(F.col(gene).alias("gene"), ordered.alias("cands"))
     unique = mapping.id_index(owners.select(F.explode("cands").alias("id"), "gene")).where("n_genes = 1").select("id")
-    wanted = rows.withColumn("entrez_id", F.col("entrez_id").cast("string")).join(
+    # the order of the rows as they were read, before any join
+    placed = rows.withColumn("_row", F.col("file_row") if "file_row" in rows.columns else F.monotonically_increasing_id())
+    wanted = placed.withColumn("entrez_id", F.col("entrez_id").cast("string")).join(
         unique.withColumnRenamed("id", "entrez_id"), "entrez_id", "left_semi").withColumn("embedding", num.as_float_vector("embedding"))
-    wanted = wanted.withColumn("_row", F.monotonically_increasing_id()) if "file_row" not in rows.columns else wanted.withColumn("_row", F.col("file_row"))
     out = {}
     for name, table in (("global", global_context(wanted, "entrez_id", "tissue", "embedding", "_row").withColumn("context_count", F.lit(1).cast("bigint"))),
                         ("mean", context_mean(wanted, "entrez_id", "tissue", "embedding"))):

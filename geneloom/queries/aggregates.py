@@ -154,9 +154,20 @@ SELECT vec_id, summary_stat, round(sign(v) * ln(1 + abs(v)), 6) + 0.0 AS value F
  (central_1kb_mean, central_10kb_mean, central_100kb_mean, full_1mb_mean, central_10kb_max))""")
 def _a17(t):
     # the vector positions stand for 64 bins of 250 bases
+    summaries = t.embeddings.select("vec_id", F.explode(genome.window_summaries("embedding", 64, 250)).alias("s"))
+    return summaries.select("vec_id", "s.summary_stat", r("s.value").alias("value"))
+
+
+@query("central_window_summaries_long", "A17 N3", f"""
+WITH u AS ({UNNEST}), a AS (SELECT vec_id, dim % 2 AS track,
+ avg(x) FILTER (WHERE dim BETWEEN 30 AND 33) AS central_1kb_mean, avg(x) FILTER (WHERE dim BETWEEN 12 AND 51) AS central_10kb_mean,
+ avg(x) AS central_100kb_mean, avg(x) AS full_1mb_mean, max(x) FILTER (WHERE dim BETWEEN 12 AND 51) AS central_10kb_max FROM u GROUP BY 1, 2)
+SELECT vec_id, cast(track AS INTEGER) AS track, summary_stat, round(sign(v) * ln(1 + abs(v)), 6) + 0.0 AS value FROM a UNPIVOT (v FOR summary_stat IN
+ (central_1kb_mean, central_10kb_mean, central_100kb_mean, full_1mb_mean, central_10kb_max))""")
+def _a17b(t):
     tracks = vectors.explode_vector(t.embeddings, ["vec_id"], "embedding", "bin", "value").select(
-        "vec_id", "bin", F.lit(0).alias("track"), F.col("value").cast("double").alias("value"))
-    return genome.window_features(tracks, "vec_id", 64, 250).select("vec_id", "summary_stat", r("value").alias("value"))
+        "vec_id", "bin", (F.col("bin") % 2).alias("track"), F.col("value").cast("double").alias("value"))
+    return genome.window_features(tracks, "vec_id", 64, 250).select("vec_id", "track", "summary_stat", r("value").alias("value"))
 
 
 @query("report_scalars", "A18", """
@@ -209,8 +220,7 @@ def _a22(t):
 
 @query("central_three_bins_mean", "A23", f"SELECT vec_id, round(avg(x), 6) + 0.0 AS value FROM ({UNNEST}) u WHERE dim BETWEEN 31 AND 33 GROUP BY 1")
 def _a23(t):
-    tracks = vectors.explode_vector(t.embeddings, ["vec_id"], "embedding", "bin", "value").withColumn("track", F.lit(0))
-    return genome.central_bins_mean(tracks, "vec_id", 64).select("vec_id", r("value").alias("value"))
+    return t.embeddings.select("vec_id", r(genome.central_bins("embedding", 64)).alias("value"))
 
 
 @query("ambiguity_report_long", "A25 R2", """

@@ -45,9 +45,9 @@ def _g3(t):
 
 @query("neighbour_lists", "G4", f"""
 WITH {EDGE_SQL}, p AS (SELECT a AS node, b AS neighbour FROM e UNION SELECT b, a FROM e)
-SELECT node, count(*) AS degree, min(neighbour) AS first_neighbour FROM p GROUP BY 1""")
+SELECT node, neighbour FROM p""")
 def _g4(t):
-    return graph.neighbour_pairs(edges(t), "a", "b").groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.min("neighbour").alias("first_neighbour"))
+    return graph.neighbour_pairs(edges(t), "a", "b")
 
 
 ADJ_SQL = f"""{EDGE_SQL}, d AS (SELECT a AS row, b AS col, l_quantity AS q FROM e UNION ALL SELECT b, a, l_quantity FROM e),
@@ -358,24 +358,19 @@ def _m10b(t):
 
 
 @query("dense_encoder_layer", "M11", f"""
-WITH u AS ({UNNEST}), h AS (SELECT vec_id, greatest(sum(CASE WHEN dim % 2 = 0 THEN x ELSE 0 END), 0) AS h0, greatest(sum(CASE WHEN dim % 2 = 1 THEN x ELSE 0 END) + 0.5, 0) AS h1,
-  greatest(sum(x) + 1, 0) AS h2 FROM u GROUP BY 1), m AS (SELECT *, (h0 + h1 + h2) / 3 AS mu FROM h),
+WITH u AS ({UNNEST}), h AS (SELECT vec_id, greatest(sum(CASE WHEN dim % 2 = 0 THEN x ELSE 0 END), 0) AS h0, greatest(sum(CASE WHEN dim % 2 = 1 THEN x ELSE 0 END) + 20, 0) AS h1,
+  greatest(sum(x) + 50, 0) AS h2 FROM u GROUP BY 1), m AS (SELECT *, (h0 + h1 + h2) / 3 AS mu FROM h),
 v AS (SELECT *, ((h0 - mu) ** 2 + (h1 - mu) ** 2 + (h2 - mu) ** 2) / 3 AS va FROM m)
-SELECT vec_id, round((h0 - mu) / sqrt(va + 0.00001), 2) + 0.0 AS y0, round((h2 - mu) / sqrt(va + 0.00001) * 2 + 1, 2) + 0.0 AS y2 FROM v WHERE va > 0.01""")
+SELECT vec_id, round((h0 - mu) / sqrt(va + 0.00001), 4) + 0.0 AS y0, round((h1 - mu) / sqrt(va + 0.00001), 4) + 0.0 AS y1, round((h2 - mu) / sqrt(va + 0.00001) * 2 + 1, 4) + 0.0 AS y2 FROM v""")
 def _m11(t):
     import numpy as np
 
-    w = np.zeros((3, 64), dtype=np.float32)
+    # outputs far apart, so that single precision decides no digit that is compared
+    w = np.zeros((3, 64), dtype=np.float64)
     w[0, 0::2], w[1, 1::2], w[2, :] = 1, 1, 1
-    b, g, o = np.array([0, 0.5, 1], np.float32), np.array([1, 1, 2], np.float32), np.array([0, 0, 1], np.float32)
-    h = F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.aggregate(F.transform(
-        "embedding", lambda x, i: F.when(i % 2 == k, x.cast("double")).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x))
-    wide = t.embeddings.withColumn("h", h).withColumn("h", F.transform(F.array(
-        F.col("h")[0], F.col("h")[1] + 0.5, F.col("h")[0] + F.col("h")[1] + 1), lambda x: F.greatest(x, F.lit(0.0))))
-    mu = F.aggregate("h", F.lit(0.0), lambda a, x: a + x) / 3
-    wide = wide.withColumn("mu", mu).where(F.aggregate("h", F.lit(0.0), lambda a, x: a + (x - F.col("mu")) * (x - F.col("mu"))) / 3 > 0.01)
-    y = linalg.dense_layer(wide, ["vec_id"], "embedding", w, b, g, o)
-    return y.select("vec_id", r(F.col("embedding")[0].cast("double"), 2).alias("y0"), r(F.col("embedding")[2].cast("double"), 2).alias("y2"))
+    b, g, o = np.array([0, 20, 50], np.float64), np.array([1, 1, 2], np.float64), np.array([0, 0, 1], np.float64)
+    y = linalg.dense_layer(t.embeddings, ["vec_id"], "embedding", w, b, g, o, dtype="double")
+    return y.select("vec_id", *[r(F.col("embedding")[i], 4).alias(f"y{i}") for i in range(3)])
 
 
 @query("vector_dtype_upcast", "M12 SC20", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: cast(x AS DOUBLE))), 6) + 0.0 AS total FROM embeddings")

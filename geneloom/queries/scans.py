@@ -249,14 +249,15 @@ def _sc23(t):
     return v.groupBy("token", "token_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scan_word_vectors", "SC28", """
-SELECT CASE vec_id % 10 WHEN 3 THEN 'cannot_parse_floats' WHEN 4 THEN 'wrong_dim_65_expected_64' ELSE 'ok' END AS status, count(*) AS n FROM embeddings GROUP BY 1""")
+@query("scan_word_vectors", "SC28", f"""
+SELECT concat('SYM', vec_id) AS source_id, CASE vec_id % 10 WHEN 3 THEN 'cannot_parse_floats' WHEN 4 THEN 'wrong_dim_65_expected_64' ELSE 'ok' END AS status,
+ CASE WHEN vec_id % 10 NOT IN (3, 4) THEN {VEC_SQL} END AS checksum FROM embeddings""")
 def _sc28(t):
     k = F.col("vec_id") % 10
     line = F.concat(F.lit("SYM"), "vec_id", F.lit(" "), _vector_text(" "), F.when(k == 3, F.lit("x")).when(k == 4, F.lit(" 0.5")).otherwise(F.lit("")))
     head = t.embeddings.agg(F.concat(F.count(F.lit(1)), F.lit(" 64")).alias("value")).select(F.lit(-1).cast("bigint").alias("k"), "value")
     path = _lines(t, head.unionByName(t.embeddings.select(F.col("vec_id").alias("k"), line.alias("value"))).orderBy("k"), "word")
-    return readers.read_word_vectors(t.spark, path).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return readers.read_word_vectors(t.spark, path).select("source_id", "status", F.when(F.col("status") == "ok", _weighted()).alias("checksum"))
 
 
 @query("scan_dense_rows_with_ids", "SC29", f"SELECT concat('ENSP', vec_id) AS source_id, {VEC_SQL} AS checksum FROM embeddings")
