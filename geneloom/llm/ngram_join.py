@@ -5,6 +5,9 @@ table of ``SKETCH`` counters that covers every document. Similar sets share at l
 prefix and l - 1 more), so each document picks the l with the least estimated cost: postings to be read, and verifications, of which
 at most postings / l remain. Two documents are candidates if their prefixes share min(l, l') shingles or more.
 
+Each set also carries a signature: the parity of its shingles in each of ``BITS`` buckets. Two signatures differ in no more bits than the
+sets differ in shingles, so a pair whose signatures differ too much cannot link and goes before anything is shipped for it.
+
 Equal sets are one class from the start. Rounds of star joins come first: each class meets one other class that it shares a rare
 shingle with, and what links is contracted. Only shingles that still touch different components go on to the full candidate join,
 whose hot shingles are dealt out in blocks. So a group of near copies costs few pairs, and no link between components is lost.
@@ -12,12 +15,13 @@ whose hot shingles are dealt out in blocks. So a group of near copies costs few
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import LOWER, UPPER, materialize, release
@@ -27,7 +31,9 @@ SHINGLE, PERCENT = 4, 85  # fixed values of the contract
 SKETCH = 1 << 17  # counters of the rarity table: 1 MB, whatever the corpus
 LONGEST = 6  # the longest prefix scheme tried
 VERIFY_COST = 8.0  # what one verification costs per 100 shingles, in postings
-STARS, STAR_WIDTH, BLOCK = 2, 256, 512
+STARS, STAR_WIDTH, BLOCK = 2, 256, 2048
+BITS = 512  # of a signature, as 64-bit numbers
+SIGNS = [f"s{i}" for i in range(BITS // 64)]
 _BYTES = bytes.maketrans((UPPER + "\t\n\x0b\x0c\r").encode(), (LOWER + "     ").encode())
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)  # any odd multipliers
 _INVERSE = np.uint64(pow(int(_ODD[0]), -1, 1 << 64))
@@ -119,19 +125,34 @@ def prefix(s: np.ndarray, seen: np.ndarray, percent: int = PERCENT) -> tuple[np.
     return s[order[:len(s) - need + best]], best
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each of ``BITS`` buckets."""
+    odd = np.bincount((s >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(a: str, b: str, percent: int = PERCENT) -> Column:
+    """Whether the sets with column suffixes ``a`` and ``b`` can be alike enough by size and signature. Never false for a link."""
+    n_a, n_b = F.col(f"n{a}"), F.col(f"n{b}")
+    apart = sum((F.bit_count(F.col(f"{s}{a}").bitwiseXOR(F.col(f"{s}{b}"))) for s in SIGNS), F.lit(0))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * apart <= (100 - percent) * (n_a + n_b))
+
+
 def prefixes(docs: DataFrame, seen: np.ndarray, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc, mark, key, n, l, tokens) for each row of (doc, mark, text): the key and size of its set, and its prefix. Equal sets have one key."""
+    """(doc, mark, key, n, l, tokens, signature) for each row of (doc, mark, text): the key and size of its set, and its prefix. Equal sets have one key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
         for batch in bounded(batches, "text"):
             sets = shingle(batch.column("text"))
             chosen = [prefix(s, seen, percent) for s in sets]
+            signs = np.stack([signature(s) for s in sets], axis=1) if sets else np.zeros((len(SIGNS), 0), np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc"), batch.column("mark"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([x[1] for x in chosen], pa.int64()), pa.array([x[0].view(np.int64) for x in chosen], pa.list_(pa.int64()))], names=["doc", "mark", "key", "n", "l", "tokens"])
+                pa.array([x[1] for x in chosen], pa.int64()), pa.array([x[0].view(np.int64) for x in chosen], pa.list_(pa.int64())), *(pa.array(x) for x in signs)],
+                names=["doc", "mark", "key", "n", "l", "tokens", *SIGNS])
 
-    return docs.mapInArrow(run, "doc bigint, mark bigint, key bigint, n bigint, l bigint, tokens array<bigint>")
+    return docs.mapInArrow(run, ", ".join(["doc bigint, mark bigint, key bigint, n bigint, l bigint, tokens array<bigint>", *(f"{s} bigint" for s in SIGNS)]))
 
 
 BYTES = 6  # of each hash that a shipped set keeps; two sets of 10,000 agree by chance in one shingle of 2.8 million such pairs
@@ -223,19 +244,39 @@ def star_pairs(postings: DataFrame, turn: int) -> DataFrame:
     return best.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def candidate_pairs(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of different components whose prefixes share min(l, l') shingles and whose sizes and positions allow a link."""
-    p = postings.withColumn("blocks", F.ceil(F.col("holders") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    p = p.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    p = p.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "comp", "n", "l", "pos")
-    side = lambda c: p.select("token", "lo", "hi", *[F.col(x).alias(f"{x}_{c}") for x in ("block", "key", "comp", "n", "l", "pos")])
-    fit = (F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    once = (F.col("block_a") != F.col("block_b")) | (F.col("lo") == F.col("hi"))  # members of one block meet only there
-    met = side("a").join(side("b"), ["token", "lo", "hi"]).where(fit & once)
+def possible(pairs: DataFrame, signs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that may link by the table (key, n, signature), which is far smaller than the sets."""
+    side = lambda c: signs.select(F.col("key").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", *SIGNS)])
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(may_link("_a", "_b", percent)).select("a", "b")
+
+
+def candidate_pairs(postings: DataFrame, signs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of different components whose prefixes share min(l, l') shingles and whose sizes, positions and signatures allow a link.
+
+    Sizes that allow a link lie in one band or in two next to each other, so the holders of a shingle meet by band; a band of many
+    holders is dealt out in blocks, and each pair of blocks meets in a place of its own.
+    """
+    step = math.log(100 / percent) * (1 + 1e-9)  # a little wide, so that rounding puts no link two bands apart
+    p = materialize(postings.join(signs.select("key", *SIGNS), "key").withColumn("band", F.floor(F.log("n") / step).cast("int")), "open")
+    many = p.groupBy("token", "band").agg(F.count(F.lit(1)).alias("members"))
+    parts = many.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "members").groupBy("token", "band").agg(F.max("members").alias("members"))
+    parts = parts.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).where("blocks > 1").select("token", "band", "blocks")
+    columns = ["key", "comp", "n", "l", "pos", *SIGNS]
+
+    def side(c: str, slots: DataFrame, mine: str, other: str) -> DataFrame:
+        d = slots.join(parts, ["token", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        d = d.withColumn(mine, F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        return d.select("token", "band", "row", "column", *[F.col(x).alias(f"{x}_{c}") for x in columns], *(["below"] if c == "b" else []))
+
+    a = side("a", p, "row", "column")
+    b = side("b", p.withColumn("below", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") - F.col("below")), "column", "row")
+    before, after = F.least("pos_a", "pos_b"), F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    fit = ((F.col("below") == 1) | (F.col("key_a") < F.col("key_b"))) & (F.col("comp_a") != F.col("comp_b")) & ((100 + percent) * (before + after) >= percent * (F.col("n_a") + F.col("n_b")))
+    met = a.join(b, ["token", "band", "row", "column"]).where(fit & may_link("_a", "_b", percent))
     met = met.groupBy("key_a", "key_b", "n_a", "n_b", "l_a", "l_b").agg(F.count(F.lit(1)).alias("m"), F.max("pos_a").alias("i"), F.max("pos_b").alias("j"))
     most = F.col("m") + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) - 1  # what they can share after the last match
     met = met.where((F.col("m") >= F.least("l_a", "l_b")) & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))))
-    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
 
 
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -261,6 +302,7 @@ def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     postings = first.select("key", "n", "l", F.posexplode("tokens").alias("pos", "token"))
     holders = postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
     postings = materialize(postings.join(holders, "token"), "postings")
+    signs = materialize(first.select("key", "n", *SIGNS), "signs")
     release(spark, found)
     placed = materialize(postings.select("key").distinct().withColumn("comp", F.col("key")), "placed")
     # the sets of classes that share a shingle with another, each once
@@ -268,12 +310,12 @@ def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     sets = materialize(sets, "sets")
     for turn in range(STARS):
         still = materialize(open_postings(postings, placed), "open")
-        links = materialize(verified(star_pairs(still, turn), sets, percent), "links")
+        links = materialize(verified(possible(star_pairs(still, turn), signs, percent), sets, percent), "links")
         release(spark, still)
         placed = materialize(contracted(placed, links), "placed")
         release(spark, links)
-    pairs = materialize(candidate_pairs(open_postings(postings, placed), percent), "pairs")
-    release(spark, postings)
+    pairs = materialize(candidate_pairs(open_postings(postings, placed), signs, percent), "pairs")
+    release(spark, postings, signs)
     links = materialize(verified(pairs, sets, percent), "links")
     release(spark, pairs, sets)
     placed = materialize(contracted(placed, links), "placed")

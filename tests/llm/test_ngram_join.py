@@ -2,6 +2,7 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 from geneloom.llm import ngram_join, queries
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -74,6 +75,27 @@ def test_without_stars_nothing_is_lost(spark, frame, monkeypatch):
         assert result(ngram_join.link_components(frame(rows)).drop("key")) == expected
 
 
+def test_bands_and_blocks_lose_no_link(spark, frame, monkeypatch):
+    monkeypatch.setattr(ngram_join, "STARS", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    rng = random.Random(8)
+    texts = []
+    for group in range(3):  # sets of all sizes from 60 to 140, each a part of the next: links at the very limit of sizes
+        words = [f"g{group}w{i}" for i in range(143)]
+        texts += [" ".join(words[:n]) for n in rng.sample(range(63, 144), 25)]
+    rows = list(enumerate(texts))
+    assert result(ngram_join.link_components(frame(rows)).drop("key")) == brute_force(rows)
+
+
+def test_signatures_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50, 700, 5000):
+        x = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        y = np.unique(np.concatenate([x[n // 5:], rng.integers(0, 1 << 64, n // 7, np.uint64)]))
+        apart = sum(bin(int(v)).count("1") for v in (ngram_join.signature(x) ^ ngram_join.signature(y)).view(np.uint64))
+        assert apart <= len(np.setxor1d(x, y)) and (apart == 0 or n > 0)
+
+
 def test_odd_tables(spark, frame):
     assert ngram_join.link_components(frame([])).count() == 0
     got = ngram_join.link_components(frame([(None, "a b c d e"), (None, "a b c d e"), (4, "a b c d e"), (5, None), (5, None), (6, "q"), (6, "r s t u v")])).collect()
