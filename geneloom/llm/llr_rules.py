@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .text import materialize, whole, words
 
 BUCKETS = 1 << 15  # size of both multinomials: the only table that is held in memory, 256 KB
-PRIOR_MASS = 1 << 15  # pseudo-counts of the target, spread as the raw corpus is
+PRIOR_SHARE = 1.0  # pseudo-counts of the target as a share of its n-grams, spread as the raw corpus is: alike at every size
 THRESHOLD = -0.06  # mean log ratio below which a document is not kept
 # fixed values of the contract
 MIN_WORDS, MAX_REPEAT_PERCENT, SYMBOLS = 50, 50, r"[#*$%&|<>]"
@@ -23,23 +23,37 @@ def bucket(*grams) -> Column:
     return F.pmod(F.xxhash64(*grams), F.lit(BUCKETS)).cast("int")
 
 
+def gram_buckets(docs: DataFrame, text: str) -> DataFrame:
+    """(bucket) of each 1- and 2-gram of the texts."""
+    d = docs.select(words(whole(text)).alias("w")).where(F.size("w") > 0)
+    d = d.select("w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    one, two = F.get("w", F.col("i")), F.get("w", F.col("i") + 1)
+    return d.select(F.explode(F.array(bucket(one), F.when(two.isNotNull(), bucket(one, two)))).alias("bucket")).where("bucket is not null")
+
+
 def bucket_counts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(bucket, n_raw, n_target) over all documents; ``trusted`` has the ids of the target, once or more each."""
+    """(bucket, n_raw, n_target) over all documents; ``trusted`` has the ids of the target, once or more each.
+
+    The corpus is counted where it is read. Only the texts of the target meet the ids, in a join that the planner may broadcast by its
+    size check; rows without an id take no part in it.
+    """
     ids = trusted.select(F.col(doc_id).alias("t_id")).where("t_id is not null").distinct()
-    d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(ids.hint("merge"), F.col("id") == F.col("t_id"), "left")  # one plan at every size
-    d = d.select(F.col("t_id").isNotNull().cast("bigint").alias("target"), words(whole("t")).alias("w")).where(F.size("w") > 0)
-    d = d.select("target", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
-    one, two = F.get("w", F.col("i")), F.get("w", F.col("i") + 1)
-    d = d.select("target", F.explode(F.array(bucket(one), F.when(two.isNotNull(), bucket(one, two)))).alias("bucket")).where("bucket is not null")
-    return d.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_raw"), F.sum("target").alias("n_target"))
+    target = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(ids, F.col("id") == F.col("t_id"), "left_semi")
+    raw = gram_buckets(docs, text).groupBy("bucket").agg(F.count(F.lit(1)).alias("n_raw"))
+    hits = gram_buckets(target, "t").groupBy("bucket").agg(F.count(F.lit(1)).alias("n_target"))
+    return raw.join(hits, "bucket", "left").select("bucket", "n_raw", F.coalesce("n_target", F.lit(0)).alias("n_target"))
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
-    """(bucket, ratio): the log ratio of each bucket that was counted, at most ``BUCKETS`` rows whatever the corpus."""
+    """(bucket, ratio): the log ratio of each bucket that was counted, at most ``BUCKETS`` rows whatever the corpus; 0 without a target.
+
+    Both counts enter as shares of their totals, so a corpus and its double have the same ratios; none is below
+    log(PRIOR_SHARE / (1 + PRIOR_SHARE)).
+    """
     totals = counts.agg(F.sum("n_raw").alias("raw"), F.sum("n_target").alias("target"))
-    p_raw = F.col("n_raw") / totals.select("raw").scalar()
-    p_target = (F.col("n_target") + PRIOR_MASS * p_raw) / (totals.select("target").scalar() + PRIOR_MASS)
-    return counts.select("bucket", F.log(p_target / p_raw).alias("ratio"))
+    p_raw, total = F.col("n_raw") / totals.select("raw").scalar(), totals.select("target").scalar()
+    ratio = F.log((F.col("n_target") / total / p_raw + PRIOR_SHARE) / (1 + PRIOR_SHARE))
+    return counts.select("bucket", F.when(total > 0, ratio).otherwise(0.0).alias("ratio"))
 
 
 def mean_log_ratio(docs: DataFrame, w: str, ratios: DataFrame, keep: list[str]) -> DataFrame:

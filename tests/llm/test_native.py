@@ -1,10 +1,13 @@
 """The operators on built-in functions and the scans, against plain Python on the smallest table and on odd rows."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from geneloom.llm import decontaminate, html_text, license_scan, line_dedup, llr_rules, pu_quality, queries, secret_scan
 from geneloom.llm.text import LOWER, UPPER
@@ -134,6 +137,37 @@ def test_quality_rules(spark, texts, frame):
     assert all(r.kept == (not r.base_failed) for r in got)
 
 
+def plain_ratios(spark, rows, good):
+    """The mean log ratio of each (id, text), counted in plain Python; the hash alone is Spark's."""
+    split = lambda x: [w for w in re.split(r"[\x20\x09-\x0D]+", x or "") if w]
+    grams = {t: [(w,) for w in split(t)] + list(zip(split(t), split(t)[1:])) for _, t in rows}
+    every = sorted({g for x in grams.values() for g in x})
+    frame = spark.createDataFrame([(*g, None)[:2] for g in every], "a string, b string")
+    slots = dict(zip(every, [r[0] for r in frame.select(F.when(F.col("b").isNull(), llr_rules.bucket("a")).otherwise(llr_rules.bucket("a", "b"))).collect()]))
+    raw = Counter(slots[g] for _, t in rows for g in grams[t])
+    target = Counter(slots[g] for k, t in rows if k in good for g in grams[t])
+    share = llr_rules.PRIOR_SHARE
+    ratio = {b: math.log((target[b] / target.total() / (n / raw.total()) + share) / (1 + share)) for b, n in raw.items()}
+    return [(k, t, sum(ratio[slots[g]] for g in grams[t]) / max(1, len(grams[t]))) for k, t in rows]
+
+
+def test_log_likelihood_ratio_and_rejections_equal_plain_counts(spark, frame):
+    rng = random.Random(4)
+    draw = lambda stem, n: " ".join(f"{stem}{int(rng.random() ** 3 * 90)}" for _ in range(n))
+    rows = [(k, draw("good", 120)) for k in range(12)] + [(100 + k, draw("junk", 120)) for k in range(12)] + [(50, ""), (51, None), (52, draw("good", 40) + " " + draw("junk", 40))]
+    good = {0, 1, 2}  # three trusted rows are enough to reject by
+    trusted = spark.createDataFrame([(0,), (1,), (2,), (2,), (None,), (999,)], "doc_id bigint")
+    verdicts = {}
+    for k, t, llr in plain_ratios(spark, rows, good):
+        verdicts[k] = (round(llr, 9), not plain_rules(t)[5] and llr >= llr_rules.THRESHOLD)
+    got = llr_rules.quality_rules(frame(rows), trusted).collect()
+    assert {r.doc_id: (round(r.llr, 9), r.kept) for r in got} == verdicts
+    assert all(verdicts[k][1] for k in good) and not any(verdicts[100 + k][1] for k in range(12))
+    assert min(verdicts[k][0] for k in range(12)) > max(verdicts[100 + k][0] for k in range(12))
+    twice = llr_rules.quality_rules(frame(rows + rows), trusted).collect()  # a corpus and its double judge alike
+    assert {(r.doc_id, round(r.llr, 9), r.kept) for r in twice} == {(k, *v) for k, v in verdicts.items()}
+
+
 def test_main_text():
     page = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a><a href=y>About</a></nav><div class="sidebar"><p>Buy now, buy often.</p></div>
 <article><h1>A  title</h1><p>First &amp; long paragraph with many words that tell a story about things.</p><script>var x = 1;</script><p>Short.</p>
