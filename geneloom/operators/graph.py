@@ -22,15 +22,17 @@ def channel_edges(links: DataFrame, a: str, b: str, channels: list[str], order:
     """Split a weighted multigraph by channel: ``[channel, src, dst, score]``.
 
     Scores below the threshold and self edges go; of the rows of one undirected
-    pair the first in file order is kept.
+    pair the first in file order is kept. Its direction and score are numbers, so
+    the aggregate keeps them in place in a hash table and sorts nothing.
     """
     long = (links.where(F.col(a) != F.col(b))
             .unpivot([a, b, order], list(channels), "channel", "score")
             .where(F.col("score") >= min_score))
-    first = F.min_by(F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), "score"), order)
+    rising = F.col(a) < F.col(b)
     return (long.withColumn("_lo", F.least(a, b)).withColumn("_hi", F.greatest(a, b))
-            .groupBy("channel", "_lo", "_hi").agg(first.alias("e"))
-            .select("channel", "e.src", "e.dst", "e.score"))
+            .groupBy("channel", "_lo", "_hi").agg(F.min_by(rising, order).alias("_rising"), F.min_by("score", order).alias("score"))
+            .select("channel", F.when(F.col("_rising"), F.col("_lo")).otherwise(F.col("_hi")).alias("src"),
+                    F.when(F.col("_rising"), F.col("_hi")).otherwise(F.col("_lo")).alias("dst"), "score"))
 
 
 def node_universe(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:

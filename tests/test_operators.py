@@ -137,6 +137,8 @@ def test_null_keys_survive_a_salted_left_join(spark):
 def test_channels_keep_first_score(spark):
     links = spark.createDataFrame([("a", "b", 200, 100, 1), ("b", "a", 900, 300, 2), ("a", "a", 999, 999, 3)], "p string, q string, x int, y int, o int")
     assert rows(graph.channel_edges(links, "p", "q", ["x", "y"], "o", 150)) == [("x", "a", "b", 200), ("y", "b", "a", 300)]
+    plan = graph.channel_edges(links, "p", "q", ["x", "y"], "o", 150)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
 
 
 def test_walk_steps_are_uniform(spark):
