@@ -182,7 +182,8 @@ def whole_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets link, compared in full."""
+    """The pairs (a, b) whose sets link, compared in full. ``pairs`` is a written table, so the planner knows its size: as long as it is
+    small, only the sets that it names leave their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "sa"):
@@ -193,7 +194,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sa, sb = (sets.select(F.col("key").alias(c), F.col("items").alias(f"s{c}")) for c in "ab")
+    named = lambda c: sets.join(pairs.select(F.col(c).alias("key")), "key", "left_semi")
+    sa, sb = (named(c).select(F.col("key").alias(c), F.col("items").alias(f"s{c}")) for c in "ab")
     return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -310,8 +312,10 @@ def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     sets = materialize(sets, "sets")
     for turn in range(STARS):
         still = materialize(open_postings(postings, placed), "open")
-        links = materialize(verified(possible(star_pairs(still, turn), signs, percent), sets, percent), "links")
+        pairs = materialize(possible(star_pairs(still, turn), signs, percent), "pairs")
         release(spark, still)
+        links = materialize(verified(pairs, sets, percent), "links")
+        release(spark, pairs)
         placed = materialize(contracted(placed, links), "placed")
         release(spark, links)
     pairs = materialize(candidate_pairs(open_postings(postings, placed), signs, percent), "pairs")
