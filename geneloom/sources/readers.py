@@ -7,6 +7,8 @@ and "last wins" rules need that order; it is never used as a join position.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +33,14 @@ def read_lines(spark: SparkSession, path, line_sep: str | None = None) -> DataFr
 
 
 def first_lines(spark: SparkSession, path, n: int) -> list[str]:
-    """The first lines of a file, for deciding its layout."""
-    return [r["value"] for r in spark.read.text(path).head(n)]
+    """The first lines of a file, or of a folder's files by name, for deciding its layout. Spark itself reads the largest file first."""
+    lines, found = spark.read.text(path), []
+    here = F.regexp_replace("_metadata.file_path", ":/+", ":/")  # file:/a and file:///a are one file
+    for name in sorted(lines.inputFiles()):
+        found += [r["value"] for r in lines.where(here == re.sub(":/+", ":/", name)).head(n - len(found))]
+        if len(found) == n:
+            break
+    return found
 
 
 def without_head(lines: DataFrame, head: list[str], text: Column) -> DataFrame:

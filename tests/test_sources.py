@@ -150,3 +150,16 @@ def test_package_and_text_sinks(spark, tmp_path):
     sinks.write_fasta(g.withColumn("s", F.lit("ACGTA")), str(tmp_path / "fa"), ["ensembl_gene_id", "gene_symbol"], "s", 2)
     assert {r[0] for r in spark.read.text(str(tmp_path / "fa")).collect()} == {">G1|A", ">G2|B", "AC", "GT", "A"}
     assert "n_rows: 2" in sinks.text_report("t", g.agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+def parts(folder, *texts):
+    folder.mkdir()
+    for i, text in enumerate(texts):
+        (folder / f"part-{i:05d}.txt").write_text(text)
+    return str(folder)
+
+
+def test_head_lines_stand_in_the_first_file_not_in_the_largest(spark, tmp_path):
+    assert readers.first_lines(spark, parts(tmp_path / "a b", "x\n", "", "y\nz\n" * 50), 3) == ["x", "y", "z"]
+    genes = parts(tmp_path / "gct", "#1.2\n", "n\tc\nName\tDescription\tt\n", "".join(f"G{i}\td\t{i}\n" for i in range(50)))
+    assert sorted(int(r["t"]) for r in readers.read_gct(spark, genes).collect()) == list(range(50))
