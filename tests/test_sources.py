@@ -163,3 +163,8 @@ def test_head_lines_stand_in_the_first_file_not_in_the_largest(spark, tmp_path):
     assert readers.first_lines(spark, parts(tmp_path / "a b", "x\n", "", "y\nz\n" * 50), 3) == ["x", "y", "z"]
     genes = parts(tmp_path / "gct", "#1.2\n", "n\tc\nName\tDescription\tt\n", "".join(f"G{i}\td\t{i}\n" for i in range(50)))
     assert sorted(int(r["t"]) for r in readers.read_gct(spark, genes).collect()) == list(range(50))
+
+
+def test_sniffed_header_in_a_small_first_file(spark, tmp_path):
+    sniffed = parts(tmp_path / "sniffed", "gene,v,v\n", "".join(f"t{i},{i},1\n" for i in range(50)))
+    assert readers.read_sniffed_vectors(spark, sniffed).count() == 50
