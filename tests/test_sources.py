@@ -168,3 +168,8 @@ def test_head_lines_stand_in_the_first_file_not_in_the_largest(spark, tmp_path):
 def test_sniffed_header_in_a_small_first_file(spark, tmp_path):
     sniffed = parts(tmp_path / "sniffed", "gene,v,v\n", "".join(f"t{i},{i},1\n" for i in range(50)))
     assert readers.read_sniffed_vectors(spark, sniffed).count() == 50
+
+
+def test_word_vector_header_in_a_small_first_file(spark, tmp_path):
+    words = parts(tmp_path / "words", "50 2\n", "".join(f"w{i} {i} 1\n" for i in range(49)) + "w49 1\n")
+    assert rows(readers.read_word_vectors(spark, words).groupBy("status").count()) == [("ok", 49), ("wrong_dim_1_expected_2", 1)]
