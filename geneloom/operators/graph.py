@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..session import materialize
+from ..session import materialize, release, shuffle_partitions
 from .ranges import with_row_index
 from .skew import lookup, spread_join
 
@@ -183,8 +183,10 @@ def adjacency_slots(pairs: DataFrame) -> DataFrame:
     spans = placed.groupBy("node").agg(F.min("slot").alias("start"), F.count(F.lit(1)).alias("degree"))
     ahead = spans.select(F.col("node").alias("neighbour"), F.col("start").alias("next_start"),
                          F.col("degree").alias("next_degree"))
-    return materialize(lookup(placed, ahead, ["neighbour"], "inner", spans.withColumnRenamed("node", "neighbour"),
-                              "degree", ["node"]), "slots")
+    slots = materialize(lookup(placed, ahead, ["neighbour"], "inner", spans.withColumnRenamed("node", "neighbour"),
+                               "degree", ["node"]), "slots")
+    release(pairs.sparkSession, placed)
+    return slots
 
 
 def random_walks(pairs: DataFrame, walks_per_node: int = 10, length: int = 80, seed: int = 42, block: int = 10) -> DataFrame:
@@ -193,32 +195,39 @@ def random_walks(pairs: DataFrame, walks_per_node: int = 10, length: int = 80, s
     The next edge is ``start + hash(seed, walk, step) mod degree``, so a walk is
     reproducible whatever the partitioning. A walk on its way is its id, where it
     stands and the nodes of the current block; a finished block is written and
-    left behind, so a step shuffles the same few bytes at any length. The blocks
-    of a walk meet once, at the end.
+    left behind, so a step shuffles the same few bytes at any length, and the
+    shuffle files of the block go. The edges are dealt once, not once per block.
+    The blocks of a walk meet once, at the end.
     """
+    spark = pairs.sparkSession
     slots = adjacency_slots(pairs)
     origin = slots.groupBy("node").agg(F.min("slot").alias("start"), F.count(F.lit(1)).alias("degree"))
     state = origin.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(walks_per_node - 1)))).select(
-        F.xxhash64("node", "round", F.lit(seed)).alias("walk_id"), F.col("node"), F.col("round"),
-        F.array("node").alias("trail"), "start", "degree")
-    hop = slots.select("slot", F.col("neighbour").alias("_to"), "next_start", "next_degree")
+        F.xxhash64("node", "round", F.lit(seed)).alias("walk_id"), F.array("node").alias("trail"), "start", "degree", F.col("round").cast("byte" if walks_per_node < 128 else "int"))
+    # dealt and sorted by slot once, for all steps
+    hop = slots.select("slot", F.col("neighbour").alias("_to"), "next_start", "next_degree").repartition(
+        shuffle_partitions(spark), "slot").sortWithinPartitions("slot").persist()
     done = []
     for step in range(1, length):
         if step % block == 0:
             state = materialize(state, "walks")
             done.append(state)
-            state = state.withColumn("trail", F.array().cast(state.schema["trail"].dataType))
+            release(spark)
+            state = state.select("walk_id", F.array().cast(state.schema["trail"].dataType).alias("trail"), "start", "degree")
         pick = F.col("start") + F.pmod(F.xxhash64("walk_id", F.lit(step), F.lit(seed)), F.col("degree"))
-        state = (state.withColumn("slot", pick).join(hop, "slot")
-                 .select("walk_id", "node", "round", F.concat("trail", F.array("_to")).alias("trail"),
-                         F.col("next_start").alias("start"), F.col("next_degree").alias("degree")))
+        state = (state.withColumn("slot", pick).drop("start", "degree").join(hop, "slot")
+                 .withColumns({"trail": F.concat("trail", F.array("_to")), "start": F.col("next_start"), "degree": F.col("next_degree")})
+                 .drop("slot", "_to", "next_start", "next_degree"))
     done.append(materialize(state, "walks"))
-    parts = [d.select("walk_id", "node", "round", F.lit(i).alias("part"), "trail") for i, d in enumerate(done)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    whole = F.array_sort(F.collect_list(F.struct("part", "trail")))  # length / block parts
-    return rows.groupBy("walk_id", "node", "round").agg(whole.alias("w")).select("walk_id", "node", "round", F.flatten("w.trail").alias("walk"))
+    hop.unpersist()
+    release(spark, slots)
+    # the first block starts with the node and names the round
+    rows = None
+    for i, d in enumerate(done):
+        part = d.select("walk_id", F.struct(F.lit(i).alias("part"), "trail").alias("p"), (F.col("round").cast("int") if not i else F.lit(None).cast("int")).alias("round"))
+        rows = part if rows is None else rows.unionByName(part)
+    whole = F.flatten(F.array_sort(F.collect_list("p"))["trail"]).alias("walk")  # length / block parts
+    return rows.groupBy("walk_id").agg(whole, F.max("round").alias("round")).select("walk_id", F.col("walk")[0].alias("node"), "round", "walk")
 
 
 CHUNK = 64  # words of a sentence that are paired at a time

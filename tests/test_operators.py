@@ -358,3 +358,16 @@ def test_token_halving():
     assert sum(map(len, parts)) == 1600 and max(map(len, parts)) <= 510
     with pytest.raises(ValueError):
         inference.halve_to_limit("A" * 90, lambda p: 1000, 512)
+
+
+def test_walks_leave_no_edge_table_behind(spark):
+    from pathlib import Path
+
+    from geneloom.session import scratch_root
+
+    pairs = graph.neighbour_pairs(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "x string, y string"), "x", "y")
+    left = lambda: {p.name for p in Path(scratch_root(spark)).glob("geneloom-slots-*")}
+    before = left()
+    walks = graph.random_walks(pairs, 2, 9, block=4)
+    assert left() == before and sorted(walks.schema.names) == ["node", "round", "walk", "walk_id"]
+    assert sorted((r["node"], r["round"], len(r["walk"]), r["walk"][0]) for r in walks.collect()) == [(n, i, 9, n) for n in "abc" for i in (0, 1)]
