@@ -87,28 +87,30 @@ def closure(parents: DataFrame, child: str = "child", parent: str = "parent") ->
     """``[term, ancestor]``: all ancestors over ``[child, parent]`` edges, a depth of 2ⁿ in n rounds.
 
     A pair at a distance above 2ⁿ has a term at distance 2ⁿ between, so each
-    round joins the pairs found last with all pairs known, and the distance
-    doubles. Pairs that end in a root are not sent through the join. Cycles end
-    the rounds as any graph does, once no pair is new. Each round is written to
-    the shared folder, so lineage stays one step deep.
+    round joins the pairs at just that distance with all pairs known, and the
+    distance doubles: one middle term per shortest path, not all of them. Pairs
+    that end in a root are not sent through the join. Cycles end the rounds as
+    any graph does, once no pair is new. Each round is written to the shared
+    folder, so lineage stays one step deep.
     """
+    spark = parents.sparkSession
     edges = parents.select(F.col(child).alias("term"), F.col(parent).alias("ancestor")).distinct()
     inner = edges.select(F.col("term").alias("ancestor")).distinct().withColumn("_open", F.lit(True))
     # every edge carries whether its parent has parents of its own
-    known = delta = materialize(lookup(edges, inner, ["ancestor"], "left").withColumn(
-        "_open", F.coalesce("_open", F.lit(False))), "edges")
+    known = materialize(lookup(edges, inner, ["ancestor"], "left").select(
+        "term", "ancestor", F.coalesce("_open", F.lit(False)).alias("_open"), F.lit(1).alias("_far")), "edges")
+    span = 1
     while True:
-        frontier = delta.where("_open").select("term", F.col("ancestor").alias("_mid"))
-        onward = known.select(F.col("term").alias("_mid"), F.col("ancestor").alias("_next"), F.col("_open").alias("_next_open"))
+        frontier = known.where(F.col("_open") & (F.col("_far") == span)).select("term", F.col("ancestor").alias("_mid"))
+        onward = known.select(F.col("term").alias("_mid"), F.col("ancestor").alias("_next"), F.col("_open").alias("_next_open"), F.col("_far").alias("_next_far"))
         grown = spread_join(frontier, onward, ["_mid"], "inner", ["term"]).select(
-            "term", F.col("_next").alias("ancestor"), F.col("_next_open").alias("_open"))
-        # one shuffle of both tells new pairs from known ones
-        both = grown.withColumn("_old", F.lit(False)).unionByName(known.withColumn("_old", F.lit(True)))
-        marked = both.groupBy("term", "ancestor").agg(F.max("_old").alias("_old"), F.max("_open").alias("_open"))
-        marked = materialize(marked, "closure")
-        delta, known = marked.where("NOT _old").drop("_old"), marked.drop("_old")
-        if delta.isEmpty():
+            "term", F.col("_next").alias("ancestor"), F.col("_next_open").alias("_open"), (F.col("_next_far") + span).alias("_far"))
+        both = materialize(grown.unionByName(known).groupBy("term", "ancestor").agg(F.max("_open").alias("_open"), F.min("_far").alias("_far")), "closure")
+        release(spark, known)
+        known = both
+        if known.where(F.col("_far") > span).isEmpty():
             return known.select("term", "ancestor")
+        span *= 2
 
 
 def propagate(annotations: DataFrame, entity: str, term: str, ancestors: DataFrame) -> DataFrame:

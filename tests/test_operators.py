@@ -371,3 +371,22 @@ def test_walks_leave_no_edge_table_behind(spark):
     walks = graph.random_walks(pairs, 2, 9, block=4)
     assert left() == before and sorted(walks.schema.names) == ["node", "round", "walk", "walk_id"]
     assert sorted((r["node"], r["round"], len(r["walk"]), r["walk"][0]) for r in walks.collect()) == [(n, i, 9, n) for n in "abc" for i in (0, 1)]
+
+
+def test_closure_round_joins_one_middle_term_per_path(spark):
+    """A round used to join all pairs found last, so a long chain met each of its pairs many times."""
+    import geneloom.operators.graph as g
+
+    seen, plain = [], g.spread_join
+
+    def counted(left, right, *rest):
+        out = plain(left, right, *rest)
+        seen.append(out.count())
+        return out
+
+    g.spread_join = counted
+    try:
+        n = graph.closure(spark.range(63).selectExpr("id AS child", "id + 1 AS parent")).count()
+    finally:
+        g.spread_join = plain
+    assert n == 64 * 63 // 2 and sum(seen) < 2 * n
