@@ -390,3 +390,17 @@ def test_closure_round_joins_one_middle_term_per_path(spark):
     finally:
         g.spread_join = plain
     assert n == 64 * 63 // 2 and sum(seen) < 2 * n
+
+
+def test_svd_packs_hot_keys_and_stops_once_the_residual_is_small(spark, monkeypatch):
+    calls, plain = [], linalg._SparseSpace.extend
+    monkeypatch.setattr(linalg, "CELLS", 4)
+    monkeypatch.setattr(linalg, "PRODUCTS", 8)
+    monkeypatch.setattr(linalg._SparseSpace, "extend", lambda self, *a: calls.append(1) or plain(self, *a))
+    a = np.random.default_rng(1).random((40, 30)) * 0.01 + 1.0
+    cells = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(40) for j in range(30)], "r int, c int, v double")
+    f = linalg.truncated_svd(cells, "r", "c", "v", 1, oversample=1)
+    want = np.linalg.svd(a)
+    got = np.array([x["vector"][0] for x in f.scores.orderBy("row").collect()])
+    assert abs(f.singular_values[0] / want[1][0] - 1) < 1e-9 and np.allclose(got, np.abs(want[0][:, 0]) * want[1][0], atol=1e-4)
+    assert len(calls) < 5  # a basis used to be filled to its last block
