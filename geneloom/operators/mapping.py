@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..session import materialize
 from .skew import lookup, spread_join
 from .vectors import vector_mean
 
 MAPPED, AMBIGUOUS, UNMAPPED, EXCLUDED = "mapped", "ambiguous", "unmapped", "excluded"
+MAX_OWN_KEYS = 64  # an owner's keys up to this number are kept in one cell
+PAIR_SALTS = 8  # joins of many with many spread hot keys over as many tasks; the rows of the other side are copied as often
 
 
 def id_pairs(master: DataFrame, gene: str, tokens: list[Column], keep=None) -> DataFrame:
@@ -177,13 +180,46 @@ def agree(source: DataFrame, src: str, keys: Column, evidence: DataFrame) -> Dat
         .otherwise(F.lit(AMBIGUOUS)).alias("status"))
 
 
+def _with_own_keys(rows: DataFrame, owner: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The ``[owner, method, key]`` rows of owners with at most ``MAX_OWN_KEYS`` keys, these sorted in ``name``, and the rows of all other owners."""
+    rows = materialize(rows, "keys")
+    wide = rows.groupBy(owner).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MAX_OWN_KEYS).select(F.col(owner).alias("_wide"))
+    is_wide = F.col(owner).eqNullSafe(F.col("_wide"))
+    own = rows.join(wide, is_wide, "left_anti").groupBy(owner).agg(F.array_sort(F.collect_list(F.struct("method", "key"))).alias(name))
+    few = own.select(owner, name, F.explode(name).alias("k")).select(owner, "k.method", "k.key", name)
+    return materialize(few, "keys_few"), materialize(rows.join(wide, is_wide, "left_semi"), "keys_many")
+
+
 def conflict_candidates(source: DataFrame, src: str, keys: Column, evidence: DataFrame) -> DataFrame:
-    """Long table ``[src, gene]`` of the candidates of sources whose evidence disagrees."""
-    asked = source.select(src, F.explode(keys).alias("k")).select(
-        src, F.col("k.method").alias("method"), F.col("k.key").alias("key")).where("key <> ''")
-    pairs = spread_join(asked, evidence, ["method", "key"], "inner", [src]).select(src, "gene").distinct()
-    many = pairs.groupBy(src).agg(F.count(F.lit(1)).alias("n_candidates")).where("n_candidates > 1")
-    return lookup(pairs, many, [src], "inner")
+    """Long table ``[src, gene, n_candidates]`` of the candidates of sources whose evidence disagrees.
+
+    A key shared by many sources and many genes gives the product of both as
+    pairs. They are never held or shuffled: a pair comes from the first of the
+    source's keys that the gene has, so it is known to be new where the join
+    makes it. The join runs twice, once to count per source, then for the
+    sources in conflict. Only owners with very many keys make their pairs
+    distinct by a shuffle.
+    """
+    on = ["method", "key"]
+    asked = source.where(F.col(src).isNotNull()).select(src, F.explode(keys).alias("k")).select(
+        src, F.col("k.method").alias("method"), F.col("k.key").alias("key")).where("key <> ''").distinct()
+    few, many = _with_own_keys(asked, src, "_asked")
+    held, held_many = _with_own_keys(evidence.select(*on, "gene").where("method IS NOT NULL AND key IS NOT NULL").distinct(), "gene", "_held")
+    few = few.select(src, *on, F.filter("_asked", lambda k: k < F.struct("method", "key")).alias("_before"))
+
+    def first_hits(questions):
+        hits = spread_join(questions, held, on, "inner", [src], PAIR_SALTS)
+        return hits.where((F.size("_before") == 0) | ~F.arrays_overlap("_before", "_held"))
+
+    rest = None
+    if not (many.isEmpty() and held_many.isEmpty()):
+        rest = spread_join(many, held.select(*on, "gene").unionByName(held_many.select(*on, "gene")), on, "inner", [src], PAIR_SALTS).select(src, "gene")
+        rest = rest.unionByName(spread_join(few.select(src, *on), held_many, on, "inner", [src], PAIR_SALTS).select(src, "gene")).distinct()
+    pairs = first_hits(few).select(src, "gene")
+    counted = (pairs if rest is None else pairs.unionByName(rest)).groupBy(src).agg(F.count(F.lit(1)).alias("n_candidates"))
+    counted = materialize(counted.where("n_candidates > 1"), "conflicts")
+    out = first_hits(lookup(few, counted, [src], "inner")).select(src, "gene", "n_candidates")
+    return out if rest is None else out.unionByName(lookup(rest, counted, [src], "inner").select(src, "gene", "n_candidates"))
 
 
 def first_match(owner: DataFrame, owner_key: str, candidates: Column, source: DataFrame, source_key: str) -> DataFrame:

@@ -70,11 +70,12 @@ def fits_broadcast(df: DataFrame) -> bool:
     return plan_bytes(df) <= float(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(raw))
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", spread_by: list[str] | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", spread_by: list[str] | None = None,
+                salts: int = SALTS) -> DataFrame:
     """Equi-join with a table whose keys may repeat; the rows of keys that are hot on the left are spread, unless the right side is broadcast anyway."""
     if fits_broadcast(right):
         return left.join(right, keys, how)
-    return salted_join(left, right, keys, hot_keys(key_frequency(left, keys), keys, "_rows"), how, spread_by)
+    return salted_join(left, right, keys, hot_keys(key_frequency(left, keys), keys, "_rows"), how, spread_by, salts)
 
 
 def lookup(

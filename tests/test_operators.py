@@ -1,5 +1,7 @@
 """Operators on hand-checked fixtures, on both the broadcast and the salted path."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -404,3 +406,28 @@ def test_svd_packs_hot_keys_and_stops_once_the_residual_is_small(spark, monkeypa
     got = np.array([x["vector"][0] for x in f.scores.orderBy("row").collect()])
     assert abs(f.singular_values[0] / want[1][0] - 1) < 1e-9 and np.allclose(got, np.abs(want[0][:, 0]) * want[1][0], atol=1e-4)
     assert len(calls) < 5  # a basis used to be filled to its last block
+
+
+def test_conflict_candidates_shuffle_no_pairs(spark, no_broadcast, monkeypatch):
+    """A key that many sources and many genes share gives the product of both; only keys may be shuffled, also for owners of many keys."""
+    ev = [("m", "hot", g) for g in range(120)] + [("n", f"own{g % 50}", g) for g in range(120)] + [("m", "hot", 7), ("n", "hot", None), ("m", "hot", None)]
+    src = [(s, [("m", "hot"), ("n", f"own{s}"), ("n", "")]) for s in range(40)] + [(3, [("n", "own9"), ("m", None)]), (99, [("n", "own70")]), (None, [("m", "hot")])]
+    evidence = spark.createDataFrame(ev, "method string, key string, gene int")
+    source = spark.createDataFrame(src, "sid int, ks array<struct<method:string,key:string>>")
+    want = {}
+    for s, ks in src:
+        if s is not None:
+            want.setdefault(s, set()).update(g for m, k, g in ev if (m, k) in ks and k)
+    want = sorted((s, -1 if g is None else g, len(c)) for s, c in want.items() if len(c) > 1 for g in c)
+
+    def got():
+        df = mapping.conflict_candidates(source, "sid", F.col("ks"), evidence)
+        return df, sorted((r.sid, -1 if r.gene is None else r.gene, r.n_candidates) for r in df.collect())
+
+    df, found = got()
+    assert found == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[(sid|gene)#\d+, (sid|gene)#", plan)  # pairs are new where the join makes them
+    for limit in (0, 1, 2):
+        monkeypatch.setattr(mapping, "MAX_OWN_KEYS", limit)
+        assert got()[1] == want
