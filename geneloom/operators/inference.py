@@ -26,7 +26,9 @@ def cut(df: DataFrame, key: str, text: str, spec: InferenceSpec) -> DataFrame:
     if spec.cut in ("whole", "token_bound") and not spec.size:
         pieces = F.array(F.col(text))
     elif spec.cut == "words":
-        words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+        # a column of its own: within the lambda the split would run again for every piece
+        df = df.select(key, text, F.filter(F.split(text, r"\s+"), lambda w: w != "").alias("_words"))
+        words = F.col("_words")
         starts = F.filter(F.sequence(F.lit(0), F.size(words), F.lit(spec.size)), lambda i: i < F.size(words))
         pieces = F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, spec.size), " "))
     elif spec.cut == "min_tail":

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from geneloom.functions import ids
 from geneloom.operators import features, graph, inference, linalg, mapping, quality, ranges, reshape, skew, vectors
 from geneloom.models.specs import SPECS, InferenceSpec
-from geneloom.models.stub import LetterModel
+from geneloom.models.stub import LetterModel, WordHashModel
 
 
 def rows(df, *cols):
@@ -431,3 +431,17 @@ def test_conflict_candidates_shuffle_no_pairs(spark, no_broadcast, monkeypatch):
     for limit in (0, 1, 2):
         monkeypatch.setattr(mapping, "MAX_OWN_KEYS", limit)
         assert got()[1] == want
+
+
+def test_words_are_split_once_per_text(spark):
+    """A text of many pieces must not be split again for each of them, nor a piece be searched for words twice."""
+    text = "  ".join(f"w{i}" for i in range(1000)) + " "
+    got = inference.cut(spark.createDataFrame([(1, text), (2, " "), (3, None)], "k int, t string"), "k", "t", SPECS["text_bert"])
+    words = text.split()
+    assert rows(got) == [(1, n, " ".join(words[i:i + 256])) for n, i in enumerate(range(0, 1000, 256))]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    model = WordHashModel(4)
+    model.token_count("a B c")
+    kept = model._words("a B c")
+    assert kept is model._words("a B c") and model._words("x") == ["x"] and model._words("") == []
+    assert model.tokens("a B c")[0].shape == (3, 4)
