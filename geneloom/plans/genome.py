@@ -59,10 +59,10 @@ def chromosome_tiles(records: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def tiles_from_fasta(spark, path, tile: int = TILE) -> DataFrame:
-    """``[chromosome, tile_no, bases, chrom_length]`` of FASTA files; the longest sequence is read by many tasks and is never one row."""
+    """``[chromosome, tile_no, bases, chrom_length]`` of FASTA files, put together once; the longest sequence is read by many tasks and is never one row."""
     records, tiles = read_fasta_tiles(spark, path, tile)
     named = records.select("file", "record", F.col("record_id").alias("chromosome"), F.col("length").alias("chrom_length"))
-    return tiles.join(named, ["file", "record"]).select("chromosome", F.col("tile_no").cast("int").alias("tile_no"), "bases", "chrom_length")
+    return materialize(tiles.join(named, ["file", "record"]).select("chromosome", F.col("tile_no").cast("int").alias("tile_no"), "bases", "chrom_length"), "tiles")
 
 
 def genome_windows(sites: DataFrame, key: str, tiles: DataFrame, start: str, stop: str, tile: int = TILE) -> DataFrame:

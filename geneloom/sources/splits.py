@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 FILE = ["file", "block"]
 _MARK = re.compile(r'\\.|["\[\]{}]', re.S)
 
@@ -164,21 +166,33 @@ def _fasta_cut(tile: int) -> type:
 
         def __init__(self, record: int, offset: int):
             self.record, self.offset = record, offset
+            self.parts: list[str] = []  # residues of one tile at most, from several lines
+            self.held = 0
+
+        def flush(self):
+            if self.parts:
+                start = self.offset - self.held
+                yield self.record, start // tile, start, "".join(self.parts)
+                self.parts, self.held = [], 0
 
         def piece(self, at: int, value: str):
             if value.startswith(">"):
+                yield from self.flush()
                 self.record, self.offset = self.record + 1, 0
                 yield self.record, -1, 0, value[1:].strip()
                 return
             line = "".join(value.split())
             while line and self.record:
-                room = tile - self.offset % tile
-                yield self.record, self.offset // tile, self.offset, line[:room]
-                self.offset += len(line[:room])
-                line = line[room:]
+                part = line[:tile - self.offset % tile]
+                line = line[len(part):]
+                self.parts.append(part)
+                self.held += len(part)
+                self.offset += len(part)
+                if self.offset % tile == 0:
+                    yield from self.flush()
 
         def end(self):
-            return ()
+            yield from self.flush()
 
     return Cut
 
@@ -187,7 +201,8 @@ def read_fasta_tiles(spark: SparkSession, path, tile: int = 1 << 16) -> tuple[Da
     """Records ``[file, record, header, record_id, length]`` and their residues ``[file, record, tile_no, bases]``.
 
     A record is never one row: a chromosome is as many tiles as it is long, and
-    its lines may lie in any number of splits.
+    its lines may lie in any number of splits. The cut text is written once, as
+    tiles, headers and lengths all read it.
     """
     pieces = placed_pieces(spark, path, "\n")
     effects = _by_split(pieces, _FastaEffect, "headers bigint, tail bigint")
@@ -197,7 +212,7 @@ def read_fasta_tiles(spark: SparkSession, path, tile: int = 1 << 16) -> tuple[Da
     states = effects.withColumn("record", F.coalesce(F.sum("headers").over(_before()), F.lit(0))).withColumn("since", since).withColumn("run", run)
     states = states.withColumn("offset", F.coalesce(F.lag("run").over(order), F.lit(0)))
     states = F.broadcast(states.select(*FILE, "record", "offset"))  # one row per split
-    cut = _by_split(pieces.join(states, FILE), _fasta_cut(tile), "record bigint, tile_no bigint, start bigint, piece string", "record", "offset")
+    cut = materialize(_by_split(pieces.join(states, FILE), _fasta_cut(tile), "record bigint, tile_no bigint, start bigint, piece string", "record", "offset"), "fasta_cut")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"]), "")
     tiles = cut.where("tile_no >= 0").groupBy("file", "record", "tile_no").agg(text.alias("bases"))
     sizes = cut.where("tile_no >= 0").groupBy("file", "record").agg(F.sum(F.length("piece")).cast("bigint").alias("length"))

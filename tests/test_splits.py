@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from geneloom.plans import genome
 from geneloom.sources import splits
 
 
@@ -62,3 +63,13 @@ def test_fasta_records_cross_splits(spark, small_splits, tmp_path, tile):
         parts[r["record"]].append(r["bases"])
     assert {i + 1: s for i, (_, s) in enumerate(records) if s} == {k: "".join(v) for k, v in parts.items()}
     assert tiles.groupBy("record").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] == -(-2000 // tile)
+
+
+def test_fasta_text_is_cut_once(spark, tmp_path):
+    """Tiles, headers and lengths read the written cut; no plan runs the Python pass again. Lines of one tile are one piece."""
+    (tmp_path / "s.fa").write_text(">r1 x\nACG\nTAC\nGTA\n\n>r2\n>r3\nAC GT\n")
+    heads, tiles = splits.read_fasta_tiles(spark, str(tmp_path / "s.fa"), 4)
+    assert sorted(tuple(r) for r in heads.select("record_id", "length").collect()) == [("r1", 9), ("r2", 0), ("r3", 4)]
+    assert sorted(tuple(r) for r in tiles.select("record", "tile_no", "bases").collect()) == [(1, 0, "ACGT"), (1, 1, "ACGT"), (1, 2, "A"), (3, 0, "ACGT")]
+    for df in (heads, tiles, genome.tiles_from_fasta(spark, str(tmp_path / "s.fa"), 4)):
+        assert "mapinarrow" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
