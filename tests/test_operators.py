@@ -445,3 +445,25 @@ def test_words_are_split_once_per_text(spark):
     kept = model._words("a B c")
     assert kept is model._words("a B c") and model._words("x") == ["x"] and model._words("") == []
     assert model.tokens("a B c")[0].shape == (3, 4)
+
+
+def test_undirected_work_runs_on_one_row_per_pair(spark, no_broadcast):
+    """Adjacency and PPMI shuffle one row per undirected pair, self edges and missing ends included, and equal the two-sided form."""
+    data = [("a", "b", 2.0), ("b", "a", 3.0), ("a", "a", 1.5), ("c", "a", 4.0), ("a", None, 2.0), (None, None, 1.0), ("d", "e", 1.0), ("d", "e", -1.0), ("b", "c", 7.0)]
+    edges = spark.createDataFrame([(k, *e) for k in ("x", "y") for e in data] + [("y", "d", "c", 3.0)], "k string, s string, d string, w double")
+    want = {}
+    for k, s, d, w in edges.collect():
+        for row, col in ((s, d), (d, s)):
+            want[k, row, col] = want.get((k, row, col), 0.0) + w
+    adj = graph.symmetric_adjacency(edges, "s", "d", "w", ["k"])
+    assert {(r.k, r.row, r.col): r.value for r in adj.collect()} == {key: v for key, v in want.items() if v} and adj.count() == len([v for v in want.values() if v])
+    plan = adj._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode") < plan.index("Aggregate")  # both directions come after the sums
+
+    def cells(df):
+        return sorted((r.k, r.row, r.col, round(r.value, 9)) for r in df.collect())
+
+    assert cells(graph.symmetric_ppmi(edges, "s", "d", "w", ["k"])) == cells(graph.ppmi(adj, ["k"]))
+    one = edges.where("k = 'y'")
+    shown = cells(graph.symmetric_ppmi(one, "s", "d", "w").withColumn("k", F.lit("")))
+    assert shown == cells(graph.ppmi(graph.symmetric_adjacency(one, "s", "d", "w")).withColumn("k", F.lit(""))) and shown
