@@ -467,3 +467,12 @@ def test_undirected_work_runs_on_one_row_per_pair(spark, no_broadcast):
     one = edges.where("k = 'y'")
     shown = cells(graph.symmetric_ppmi(one, "s", "d", "w").withColumn("k", F.lit("")))
     assert shown == cells(graph.ppmi(graph.symmetric_adjacency(one, "s", "d", "w")).withColumn("k", F.lit(""))) and shown
+
+
+def test_small_vocabulary_is_broadcast(spark):
+    """The size of the frequencies is known before the cells are joined, so no cell is shuffled for its term."""
+    tf = spark.range(20000).select((F.col("id") % 4000).alias("d"), F.concat(F.lit("t"), F.col("id") % 7).alias("t"), F.lit(1.0).alias("value"))
+    got = features.tfidf(features.count_matrix(tf, "d", "t"), "d", "t")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan and "Aggregate" not in plan
+    assert got.groupBy("d").agg(F.sum(F.col("value") * F.col("value")).alias("n")).where("abs(n - 1) > 1e-9").isEmpty()
