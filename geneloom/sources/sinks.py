@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +100,57 @@ def export_npy(package: DataFrame, path: str, max_cells: int = 200_000_000) -> N
     np.save(path, np.stack(rows["vector"]).astype("float32"))
 
 
+LARGE_FILE = 128 << 20  # bytes; files up to this size are read as one cell
+
+
 def file_digests(spark, paths: list[str] | str) -> DataFrame:
-    """``[path, length, sha256, md5]`` of whole files, one task per file."""
+    """``[path, length, sha256, md5]`` of whole files.
+
+    A digest is a chain over the bytes in their order, so one task has to see
+    all of a file; it need not hold it. A large file is read by many tasks as
+    the bytes between line ends, which one task per file hashes in their order.
+    A byte that goes missing on that way is an error, never a wrong digest.
+    """
     files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    whole = files.where(F.col("length") <= LARGE_FILE).select("path", "length", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    # the text reader names a file by its encoded address
+    large = {r["file_path"]: r["path"] for r in files.where(F.col("length") > LARGE_FILE).select("path", "_metadata.file_path").collect()}
+    return whole.unionByName(_chained_digests(spark, large)) if large else whole
+
+
+def _chained_digests(spark, paths: dict[str, str]) -> DataFrame:
+    meta = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text([re.sub(r"([*?{}\[\]\\])", r"\\\1", p) for p in paths.values()]).select(
+        meta["file_path"].alias("path"), meta["file_size"].alias("length"), meta["file_block_start"].alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, length, seen, chains = None, 0, 0, ()
+
+        def result() -> pa.RecordBatch:
+            if length - seen == 1:  # a line end closes the file
+                for c in chains:
+                    c.update(b"\n")
+            elif length != seen:
+                raise ValueError(f"{path}: {seen} bytes read, {length} expected")
+            return pa.RecordBatch.from_pydict({"path": [paths[path]], "length": [length], "sha256": [chains[0].hexdigest()], "md5": [chains[1].hexdigest()]})
+
+        for batch in batches:
+            names, sizes, values = batch.column("path"), batch.column("length"), batch.column("bytes")
+            start = 0
+            while start < len(names):
+                name = names[start].as_py()
+                if name != path:
+                    if path is not None:
+                        yield result()
+                    path, length, seen, chains, lead = name, sizes[start].as_py(), 0, (hashlib.sha256(), hashlib.md5()), b""
+                n = pc.sum(pc.equal(names.slice(start), name)).as_py()  # the rows of one file are neighbours
+                part = lead + b"\n".join(values.slice(start, n).to_pylist())
+                for c in chains:
+                    c.update(part)
+                seen, start, lead = seen + len(part), start + n, b"\n"
+        if path is not None:
+            yield result()
+
+    in_order = lines.repartition(len(paths), "path").sortWithinPartitions("path", "block", "at").select("path", "length", "bytes")
+    return in_order.mapInArrow(run, "path string, length bigint, sha256 string, md5 string")

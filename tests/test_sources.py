@@ -173,3 +173,27 @@ def test_sniffed_header_in_a_small_first_file(spark, tmp_path):
 def test_word_vector_header_in_a_small_first_file(spark, tmp_path):
     words = parts(tmp_path / "words", "50 2\n", "".join(f"w{i} {i} 1\n" for i in range(49)) + "w49 1\n")
     assert rows(readers.read_word_vectors(spark, words).groupBy("status").count()) == [("ok", 49), ("wrong_dim_1_expected_2", 1)]
+
+
+def test_digests_of_large_files_are_chained(spark, tmp_path, monkeypatch):
+    """A file above the limit is never one cell; its digest is that of the whole file, whatever its bytes and last line end."""
+    import hashlib
+    import random
+
+    from geneloom.sources import sinks
+
+    rng = random.Random(5)
+    blobs = {"a b.bin": rng.randbytes(300_000), "end.bin": rng.randbytes(50_000) + b"\n", "two[1].bin": b"\n\n" + rng.randbytes(9_000) + b"\r\n\n",
+             "only.bin": b"\n" * 2_000, "none.bin": b"x" * 5_000, "small.bin": b"\xff\n"}
+    for name, data in blobs.items():
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(sinks, "LARGE_FILE", 1_000)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # as for a file over 2 GB, a larger cell is refused
+    try:
+        got = {r["path"].rsplit("/", 1)[1]: (r["length"], r["sha256"], r["md5"]) for r in sinks.file_digests(spark, f"{tmp_path}/*.bin").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {n: (len(d), hashlib.sha256(d).hexdigest(), hashlib.md5(d).hexdigest()) for n, d in blobs.items()}
