@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, UPPER, materialize, release
+from .text import LOWER, UPPER, holding, materialize, release
 from .tokens import bounded
 
 SHINGLE, PERCENT = 4, 85  # fixed values of the contract
@@ -181,9 +181,9 @@ def whole_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, items binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets link, compared in full. ``pairs`` is a written table, so the planner knows its size: as long as it is
-    small, only the sets that it names leave their place."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The written pairs (a, b) whose sets link, compared in full. ``classes`` (key, mark) names a text of each set by its hash: only the
+    texts of (mark, text) that the pairs name are cut into sets again, and only those sets are written and leave their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "sa"):
@@ -194,9 +194,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    named = lambda c: sets.join(pairs.select(F.col(c).alias("key")), "key", "left_semi")
-    sa, sb = (named(c).select(F.col("key").alias(c), F.col("items").alias(f"s{c}")) for c in "ab")
-    return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    named = materialize(classes.join(keys, "key", "left_semi").select("key", "mark"), "named")
+    sets = whole_sets(holding(docs, named, "mark"), size).join(named.select("key"), "key", "left_semi")
+    sets = materialize(sets.groupBy("key").agg(F.first("items").alias("items")), "sets")
+    sa, sb = (sets.select(F.col("key").alias(c), F.col("items").alias(f"s{c}")) for c in "ab")
+    links = materialize(pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "links")
+    release(docs.sparkSession, named, sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -299,7 +304,7 @@ def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     spark = docs.sparkSession
     found = materialize(prefixes(d, rarity(d, size), size, percent).withColumn("row", F.monotonically_increasing_id()), "prefixes")
     rows = materialize(found.select("doc", "mark", "key", "n"), "rows")
-    classes = materialize(found.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.min("doc").alias("doc")), "classes")
+    classes = materialize(found.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.min("doc").alias("doc"), F.min("mark").alias("mark")), "classes")
     first = found.join(classes.select("row"), "row", "left_semi")
     postings = first.select("key", "n", "l", F.posexplode("tokens").alias("pos", "token"))
     holders = postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
@@ -307,21 +312,18 @@ def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     signs = materialize(first.select("key", "n", *SIGNS), "signs")
     release(spark, found)
     placed = materialize(postings.select("key").distinct().withColumn("comp", F.col("key")), "placed")
-    # the sets of classes that share a shingle with another, each once
-    sets = whole_sets(d, size).join(placed.select("key"), "key", "left_semi").groupBy("key").agg(F.first("items").alias("items"))
-    sets = materialize(sets, "sets")
     for turn in range(STARS):
         still = materialize(open_postings(postings, placed), "open")
         pairs = materialize(possible(star_pairs(still, turn), signs, percent), "pairs")
         release(spark, still)
-        links = materialize(verified(pairs, sets, percent), "links")
+        links = verified(pairs, classes, d, size, percent)
         release(spark, pairs)
         placed = materialize(contracted(placed, links), "placed")
         release(spark, links)
     pairs = materialize(candidate_pairs(open_postings(postings, placed), signs, percent), "pairs")
     release(spark, postings, signs)
-    links = materialize(verified(pairs, sets, percent), "links")
-    release(spark, pairs, sets)
+    links = verified(pairs, classes, d, size, percent)
+    release(spark, pairs)
     placed = materialize(contracted(placed, links), "placed")
     least = classes.join(placed, "key", "left").select("key", "doc", F.coalesce("comp", "key").alias("comp"))
     ids = least.groupBy("comp").agg(F.min("doc").alias("component_id"))

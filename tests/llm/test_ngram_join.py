@@ -4,6 +4,7 @@ import re
 import corpus_pipeline
 import numpy as np
 from geneloom.llm import ngram_join, queries
+from geneloom.llm.text import holding, materialize
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -87,6 +88,29 @@ def test_bands_and_blocks_lose_no_link(spark, frame, monkeypatch):
     assert result(ngram_join.link_components(frame(rows)).drop("key")) == brute_force(rows)
 
 
+def test_only_sets_of_possible_pairs_are_written(spark, frame, monkeypatch):
+    written = []
+
+    def counted(df, label="step"):
+        out = materialize(df, label)
+        written.extend([out.count()] if label == "sets" else [])
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    part = lambda k: " ".join(f"p{k}w{i}" for i in range(20))
+    texts = [f"{part(k)} {part(k + 1)}" for k in range(40)]  # each shares 17 of 37 shingles with the next one
+    rows = list(enumerate([*texts, f"{part(50)} {part(51)}", f"{part(50)} {part(51)} more"]))
+    assert result(ngram_join.link_components(frame(rows)).drop("key")) == brute_force(rows)
+    assert 2 <= sum(written) <= 6
+
+
+def test_rows_that_may_be_held_lose_none(spark):
+    ids = spark.range(0, 3000, 3)
+    got = {r.id for r in holding(spark.range(3000).union(spark.sql("select cast(null as bigint)")), ids, "id").collect()}
+    assert got >= set(range(0, 3000, 3)) and None not in got and len(got) < 1300
+    assert holding(spark.range(50), ids.where("id < 0"), "id").count() == 0
+
+
 def test_signatures_never_exceed_the_difference():
     rng = np.random.default_rng(3)
     for n in (0, 1, 50, 700, 5000):
