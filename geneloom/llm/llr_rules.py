@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import materialize, whole, words
+from .text import holding, materialize, whole, words
 
 BUCKETS = 1 << 15  # size of both multinomials: the only table that is held in memory, 256 KB
 PRIOR_SHARE = 1.0  # pseudo-counts of the target as a share of its n-grams, spread as the raw corpus is: alike at every size
@@ -34,11 +34,13 @@ def gram_buckets(docs: DataFrame, text: str) -> DataFrame:
 def bucket_counts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(bucket, n_raw, n_target) over all documents; ``trusted`` has the ids of the target, once or more each.
 
-    The corpus is counted where it is read. Only the texts of the target meet the ids, in a join that the planner may broadcast by its
-    size check; rows without an id take no part in it.
+    The corpus is counted where it is read. Only texts whose ids may be trusted are looked at again; the few false alarms among them are
+    found by ids alone and taken out, in a join that the planner may broadcast by its size check. Rows without an id take no part in it.
     """
-    ids = trusted.select(F.col(doc_id).alias("t_id")).where("t_id is not null").distinct()
-    target = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(ids, F.col("id") == F.col("t_id"), "left_semi")
+    ids = materialize(trusted.select(F.col(doc_id).alias("id")).where("id is not null").distinct(), "trusted")
+    near = holding(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")), ids, "id")
+    alarms = materialize(near.select("id").distinct().join(ids, "id", "left_anti"), "alarms")
+    target = near.join(alarms, "id", "left_anti")
     raw = gram_buckets(docs, text).groupBy("bucket").agg(F.count(F.lit(1)).alias("n_raw"))
     hits = gram_buckets(target, "t").groupBy("bucket").agg(F.count(F.lit(1)).alias("n_target"))
     return raw.join(hits, "bucket", "left").select("bucket", "n_raw", F.coalesce("n_target", F.lit(0)).alias("n_target"))

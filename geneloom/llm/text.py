@@ -46,7 +46,8 @@ def holding(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     ``ids`` would drop go before their texts are moved.
     """
     words_of_bits = 1 << min(BIT_WORDS.bit_length() - 1, max(0, (ids.count() - 1) // 4).bit_length())
-    hashed = f"xxhash64(`{column}`)"
+    kind = rows.select(column).union(ids.select(column)).schema[0].dataType.simpleString()  # as a join would compare them
+    hashed = f"xxhash64(cast(`{column}` as {kind}))"
     slot = F.expr(f"{hashed} & {words_of_bits - 1}L")
     two = F.expr(f"shiftleft(1L, cast(shiftright({hashed}, 40) & 63 as int)) | shiftleft(1L, cast(shiftright({hashed}, 50) & 63 as int))")
     table_of_bits = ids.select(slot.alias("__slot"), two.alias("__two")).groupBy("__slot").agg(F.bit_or("__two").alias("__bits"))

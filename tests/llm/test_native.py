@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from geneloom.llm import decontaminate, html_text, license_scan, line_dedup, llr_rules, pu_quality, queries, secret_scan
+from geneloom.llm import decontaminate, html_text, license_scan, line_dedup, llr_rules, pu_quality, queries, secret_scan, text
 from geneloom.llm.text import LOWER, UPPER
 
 SMALL = "/root/testdata/sf0.001"
@@ -168,6 +168,18 @@ def test_log_likelihood_ratio_and_rejections_equal_plain_counts(spark, frame):
     assert {(r.doc_id, round(r.llr, 9), r.kept) for r in twice} == {(k, *v) for k, v in verdicts.items()}
 
 
+def test_target_counts_move_no_texts_and_lose_none(spark, frame, monkeypatch):
+    rows = [(k, f"w{k % 7} w{k % 11} w{k % 13}") for k in range(400)] + [(None, "w1 w2"), (5, "w5 w6")]
+    trusted = spark.createDataFrame([(k,) for k in range(0, 400, 5)] * 2, "doc_id int")
+    plain = Counter(w for k, t in rows if k is not None and k % 5 == 0 for w in [*t.split(), *zip(t.split(), t.split()[1:])])
+    for most in (1 << 18, 1):  # with one word of bits nearly every id is a false alarm
+        monkeypatch.setattr(text, "BIT_WORDS", most)
+        counts = llr_rules.bucket_counts(frame(rows), trusted)
+        assert "SortMergeJoin [id" not in counts._jdf.queryExecution().executedPlan().toString()
+        found = counts.agg(F.sum("n_raw"), F.sum("n_target")).first()
+        assert tuple(found) == (400 * 5 + 3 + 3, plain.total())
+
+
 def test_main_text():
     page = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a><a href=y>About</a></nav><div class="sidebar"><p>Buy now, buy often.</p></div>
 <article><h1>A  title</h1><p>First &amp; long paragraph with many words that tell a story about things.</p><script>var x = 1;</script><p>Short.</p>
