@@ -36,6 +36,34 @@ def test_encoder_forgets(monkeypatch):
         assert ids.tolist() == direct(text) and bounds.tolist() == [0, len(ids)]
 
 
+def test_words_before_marks_are_encoded_once():
+    coder, asked = tokens.Encoder(tokens.default_tokenizer()), []
+
+    class Spy:
+        def encode_batch(self, groups, **options):
+            asked.extend(x for g in groups for x in g)
+            return plain.encode_batch(groups, **options)
+
+    plain, coder.tokenizer = coder.tokenizer, Spy()
+    for text in ("alpha beta \u00e9l\u00e9ment", "alpha, beta. alpha... Beta!? \u00c9l\u00e9ment, gamma,"):
+        ids, bounds = coder.encode(pa.array([text]))
+        assert ids.tolist() == direct(text) and bounds.tolist() == [0, len(ids)]
+    assert not any(x in asked for x in ("alpha,", "beta.", "alpha...", "gamma,")) and asked.count("alpha") == asked.count("beta") == asked.count("gamma") == 1
+
+
+def test_marks_behind_all_sorts_of_chunks():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.default_tokenizer())
+    rng = random.Random(11)
+    signs = ["a", "b", "S", "t", "re", "\u00e9", "\u00c9", "\u00df", "\u0130", "\u0149", "\u0301", "\u0338", "\u2014", "1", "'", "'s", "_", "-", ",", ".", "<", ">", "<|endoftext|>", "|>", "\u03a3", "\U0001f600", " ", "\n"]
+    parts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 60))) for _ in range(1500)]
+    for at in range(0, len(parts), 100):  # of their own: an added token changes how a batch is read
+        ids, bounds = tokens.encoder(tokens.default_tokenizer()).encode(pa.array(parts[at:at + 100]))
+        for text, a, b in zip(parts[at:], bounds[:-1], bounds[1:]):
+            assert ids[a:b].tolist() == [*whole.encode(text, add_special_tokens=False).ids, tokens.END_ID], text
+
+
 def test_bounded_batches_keep_all_rows():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * n for n in (5, 0, 9, 30, 1, 1)] + [None]})
     parts = list(tokens.bounded(iter([batch]), "text", 10))
