@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, release, ship, shuffle_partitions  # noqa: F401  (re-used by the operators)
 
-BIT_WORDS = 1 << 18  # most words of 64 bits that ``holding`` broadcasts: some 12 MB
+BIT_WORDS = 1 << 18  # most words of 64 bits that ``holding`` broadcasts
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # fixed values: what separates words, as the queries define them
 SPACE = r"[\x20\x09-\x0D]+"
