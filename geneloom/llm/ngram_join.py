@@ -112,17 +112,17 @@ def rarity(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
     return total
 
 
-def prefix(s: np.ndarray, seen: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """The chosen prefix of a set in the global order (rare first, then by hash), and its l."""
+def prefix(s: np.ndarray, seen: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, float]:
+    """The chosen prefix of a set in the global order (rare first, then by hash), its l, and how many documents hold a shingle of it, on average."""
     if not len(s):
-        return s, 1
+        return s, 1, 0.0
     rare = seen[(s % np.uint64(SKETCH)).astype(np.int64)]
     order = np.lexsort((s, rare))
     need = (percent * len(s) + 99) // 100
     schemes = np.arange(1, min(LONGEST, need) + 1)
     postings = np.cumsum(rare[order])[len(s) - need + schemes - 1]
     best = int(schemes[np.argmin(postings * (1 + VERIFY_COST * len(s) / 100 / schemes))])
-    return s[order[:len(s) - need + best]], best
+    return s[order[:len(s) - need + best]], best, float(postings[best - 1]) / (len(s) - need + best)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -131,15 +131,19 @@ def signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def apart(a: str, b: str) -> Column:
+    """In how many bits the signatures with column suffixes ``a`` and ``b`` differ."""
+    return sum((F.bit_count(F.col(f"{s}{a}").bitwiseXOR(F.col(f"{s}{b}"))) for s in SIGNS), F.lit(0))
+
+
 def may_link(a: str, b: str, percent: int = PERCENT) -> Column:
     """Whether the sets with column suffixes ``a`` and ``b`` can be alike enough by size and signature. Never false for a link."""
     n_a, n_b = F.col(f"n{a}"), F.col(f"n{b}")
-    apart = sum((F.bit_count(F.col(f"{s}{a}").bitwiseXOR(F.col(f"{s}{b}"))) for s in SIGNS), F.lit(0))
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * apart <= (100 - percent) * (n_a + n_b))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * apart(a, b) <= (100 - percent) * (n_a + n_b))
 
 
 def prefixes(docs: DataFrame, seen: np.ndarray, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc, mark, key, n, l, tokens, signature) for each row of (doc, mark, text): the key and size of its set, and its prefix. Equal sets have one key."""
+    """(doc, mark, key, n, l, tokens, central, signature) for each row of (doc, mark, text): the key and size of its set, and its prefix. Equal sets have one key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
@@ -149,10 +153,11 @@ def prefixes(docs: DataFrame, seen: np.ndarray, size: int = SHINGLE, percent: in
             signs = np.stack([signature(s) for s in sets], axis=1) if sets else np.zeros((len(SIGNS), 0), np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc"), batch.column("mark"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([x[1] for x in chosen], pa.int64()), pa.array([x[0].view(np.int64) for x in chosen], pa.list_(pa.int64())), *(pa.array(x) for x in signs)],
-                names=["doc", "mark", "key", "n", "l", "tokens", *SIGNS])
+                pa.array([x[1] for x in chosen], pa.int64()), pa.array([x[0].view(np.int64) for x in chosen], pa.list_(pa.int64())),
+                pa.array([x[2] for x in chosen], pa.float64()), *(pa.array(x) for x in signs)],
+                names=["doc", "mark", "key", "n", "l", "tokens", "central", *SIGNS])
 
-    return docs.mapInArrow(run, ", ".join(["doc bigint, mark bigint, key bigint, n bigint, l bigint, tokens array<bigint>", *(f"{s} bigint" for s in SIGNS)]))
+    return docs.mapInArrow(run, ", ".join(["doc bigint, mark bigint, key bigint, n bigint, l bigint, tokens array<bigint>, central double", *(f"{s} bigint" for s in SIGNS)]))
 
 
 BYTES = 6  # of each hash that a shipped set keeps; two sets of 10,000 agree by chance in one shingle of 2.8 million such pairs
@@ -224,11 +229,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def contracted(placed: DataFrame, links: DataFrame) -> DataFrame:
-    """``placed`` (key, comp) after the components that the links (a, b) touch have become one."""
+    """``placed`` (key, comp, central) after the components that the links (a, b) touch have become one."""
     side = lambda c: placed.select(F.col("key").alias(c), F.col("comp").alias(f"c{c}"))
     edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     found = components(edges)
-    return placed.join(found, F.col("comp") == F.col("node"), "left").select("key", F.coalesce("label", "comp").alias("comp"))
+    return placed.join(found, F.col("comp") == F.col("node"), "left").select("key", F.coalesce("label", "comp").alias("comp"), "central")
 
 
 def open_postings(postings: DataFrame, placed: DataFrame) -> DataFrame:
@@ -238,23 +243,26 @@ def open_postings(postings: DataFrame, placed: DataFrame) -> DataFrame:
     return p.join(torn, "token")
 
 
-def star_pairs(postings: DataFrame, turn: int) -> DataFrame:
-    """(a, b), at most one per class: one member of each component at a shingle meets the hub there, at its rarest shingle. A hot
-    shingle has a hub for each ``STAR_WIDTH`` members."""
-    mask = F.lit(int(_ODD[turn % 4] >> np.uint64(1)) * (turn + 1) % (1 << 62))  # another order of the keys in each turn
-    one = postings.groupBy("token", "comp").agg(F.min(F.col("key").bitwiseXOR(mask)).alias("x"), F.max("holders").alias("holders"))
+def star_pairs(postings: DataFrame, signs: DataFrame, turn: int, percent: int = PERCENT) -> DataFrame:
+    """(a, b), at most one per class: one member of each component at a shingle meets the hub there, and keeps the hub whose signature is
+    nearest, if the two may link. A hot shingle has a hub for each ``STAR_WIDTH`` members.
+
+    In the first turn the hub is the most central member. An edit puts shingles of its own into a prefix, so of a group of near copies
+    the text with the fewest edits has the most common prefix, and links with the most others. Later turns take any member.
+    """
+    order = F.col("central") if turn == 0 else F.xxhash64("key", F.lit(turn))
+    one = postings.withColumn("order", order).groupBy("token", "comp").agg(F.max_by("key", "order").alias("x"), F.max("order").alias("order"), F.max("holders").alias("holders"))
     one = one.withColumn("part", F.pmod(F.xxhash64("x", F.lit(turn)), F.ceil(F.col("holders") / STAR_WIDTH)))
-    hubs = one.groupBy("token", "part").agg(F.min("x").alias("hub"))
-    met = one.join(hubs, ["token", "part"]).where("x <> hub")
-    best = met.groupBy("x").agg(F.min_by("hub", "holders").alias("hub"))
-    a, b = F.col("x").bitwiseXOR(mask), F.col("hub").bitwiseXOR(mask)
-    return best.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    hubs = one.groupBy("token", "part").agg(F.max_by("x", "order").alias("hub"))
+    met = one.join(hubs, ["token", "part"]).where("x <> hub").select(F.col("x").alias("a"), F.col("hub").alias("b")).distinct()
+    best = possible(met, signs, percent).groupBy("a").agg(F.min_by("b", "apart").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def possible(pairs: DataFrame, signs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that may link by the table (key, n, signature), which is far smaller than the sets."""
+    """The pairs (a, b) that may link by the table (key, n, signature), which is far smaller than the sets, and how far their signatures are apart."""
     side = lambda c: signs.select(F.col("key").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", *SIGNS)])
-    return pairs.join(side("b"), "b").join(side("a"), "a").where(may_link("_a", "_b", percent)).select("a", "b")
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(may_link("_a", "_b", percent)).select("a", "b", apart("_a", "_b").alias("apart"))
 
 
 def candidate_pairs(postings: DataFrame, signs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -309,12 +317,12 @@ def linked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     postings = first.select("key", "n", "l", F.posexplode("tokens").alias("pos", "token"))
     holders = postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
     postings = materialize(postings.join(holders, "token"), "postings")
-    signs = materialize(first.select("key", "n", *SIGNS), "signs")
+    signs = materialize(first.select("key", "n", "central", *SIGNS), "signs")
     release(spark, found)
-    placed = materialize(postings.select("key").distinct().withColumn("comp", F.col("key")), "placed")
+    placed = materialize(signs.join(postings.select("key"), "key", "left_semi").select("key", F.col("key").alias("comp"), "central"), "placed")
     for turn in range(STARS):
         still = materialize(open_postings(postings, placed), "open")
-        pairs = materialize(possible(star_pairs(still, turn), signs, percent), "pairs")
+        pairs = materialize(star_pairs(still, signs, turn, percent), "pairs")
         release(spark, still)
         links = verified(pairs, classes, d, size, percent)
         release(spark, pairs)

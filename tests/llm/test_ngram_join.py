@@ -104,6 +104,20 @@ def test_only_sets_of_possible_pairs_are_written(spark, frame, monkeypatch):
     assert 2 <= sum(written) <= 6
 
 
+def test_near_copies_meet_at_their_centre(spark, frame, monkeypatch):
+    pairs = []
+
+    def counted(df, label="step"):
+        out = materialize(df, label)
+        pairs.extend([out.count()] if label == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    rows = list(enumerate(near_copies(random.Random(9), [f"a{i}" for i in range(150)], 150, 9)))
+    assert result(ngram_join.link_components(frame(rows)).drop("key")) == brute_force(rows)
+    assert len(pairs) == ngram_join.STARS + 1 and pairs[-1] < 100  # the star rounds leave few pairs to the full candidate join
+
+
 def test_rows_that_may_be_held_lose_none(spark):
     ids = spark.range(0, 3000, 3)
     got = {r.id for r in holding(spark.range(3000).union(spark.sql("select cast(null as bigint)")), ids, "id").collect()}
