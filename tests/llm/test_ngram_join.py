@@ -113,7 +113,7 @@ def test_near_copies_meet_at_their_centre(spark, frame, monkeypatch):
         return out
 
     monkeypatch.setattr(ngram_join, "materialize", counted)
-    rows = list(enumerate(near_copies(random.Random(9), [f"a{i}" for i in range(150)], 150, 9)))
+    rows = list(enumerate(near_copies(random.Random(9), [f"a{i}" for i in range(150)], 500, 12)))
     assert result(ngram_join.link_components(frame(rows)).drop("key")) == brute_force(rows)
     assert len(pairs) == ngram_join.STARS + 1 and pairs[-1] < 100  # the star rounds leave few pairs to the full candidate join
 
