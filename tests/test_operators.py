@@ -476,3 +476,57 @@ def test_small_vocabulary_is_broadcast(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" not in plan and "Aggregate" not in plan
     assert got.groupBy("d").agg(F.sum(F.col("value") * F.col("value")).alias("n")).where("abs(n - 1) > 1e-9").isEmpty()
+
+
+def test_a_step_of_the_svd_writes_and_joins_no_tables(spark, monkeypatch):
+    """Each block of the basis was some ten jobs with tables written between them."""
+    written, plain = [], linalg.materialize
+    monkeypatch.setattr(linalg, "materialize", lambda df, label="step": written.append(label) or plain(df, label))
+    counts = []
+    for tolerance in (0.9, 1e-6):
+        steps, extend = [], linalg._SparseSpace.extend
+        with monkeypatch.context() as m:
+            m.setattr(linalg._SparseSpace, "extend", lambda self, *a: steps.append(1) or extend(self, *a))
+            f = linalg.truncated_svd(coordinates(spark, sparse_matrix(3, (40, 30), 0.3)), "r", "c", "v", 2, tolerance=tolerance, oversample=2)
+        counts.append((len(steps), len(written)))
+        written.clear()
+    assert counts[0][0] < counts[1][0] and counts[0][1] == counts[1][1]
+    assert np.allclose(f.singular_values, np.linalg.svd(sparse_matrix(3, (40, 30), 0.3), compute_uv=False)[:2])
+
+
+@pytest.mark.parametrize("files", [True, False])
+def test_svd_by_files_and_by_joins(spark, monkeypatch, files):
+    """Text keys, a hot row and a hot column, repeated cells, and cells without a row or a column."""
+    from geneloom.operators import mapped
+
+    monkeypatch.setattr(linalg, "CELLS", 4)
+    monkeypatch.setattr(linalg, "PRODUCTS", 32)
+    if not files:
+        monkeypatch.setattr(mapped, "folder", lambda *a: None)
+    a = sparse_matrix(5, (30, 20), 0.1)
+    a[3, :], a[:, 7] = 1.0, 0.5
+    cells = [(f"r{i:02d}", f"c{j:02d}", float(a[i, j]) / 2) for i, j in zip(*a.nonzero())] * 2
+    df = spark.createDataFrame(cells + [(None, "c07", 3.0), ("r03", None, 9.0), (None, None, 1.0)], "r string, c string, v double")
+    f = linalg.truncated_svd(df, "r", "c", "v", 3, tolerance=1e-9)
+    _, s, vt = np.linalg.svd(a)
+    assert np.allclose(f.singular_values, s[:3])
+    got = {r["row"]: r["vector"] for r in f.scores.collect()}
+    loadings = {r["col"]: np.array(r["vector"]) for r in f.loadings.collect()}
+    v = np.array([loadings[f"c{j:02d}"] for j in range(20)])
+    assert np.allclose(np.abs(v), np.abs(vt[:3].T), atol=1e-6) and set(loadings) == {f"c{j:02d}" for j in range(20)}
+    assert np.allclose([got[f"r{i:02d}"] for i in range(30)], a @ v, atol=1e-9)
+    assert np.allclose(got.pop(None), 3 * v[7]) and len(got) == 30  # a missing row has scores but takes no part
+
+
+def test_a_product_reads_any_share_of_the_entries(spark, monkeypatch, tmp_path):
+    """Rows cut by the shares of tasks are put together, whatever the shares."""
+    from geneloom.operators import mapped
+
+    rng = np.random.default_rng(8)
+    a = (rng.random((23, 17)) < 0.3) * rng.random((23, 17))
+    a[4, :], a[5, :] = rng.random(17), 0  # a hot row, and one without entries
+    cells = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*a.nonzero())], "i bigint, j bigint, v double")
+    s = mapped.sparse(cells, "i", "j", "v", 23, 17, cells.count(), str(tmp_path / "s"))
+    assert (np.diff(s.starts()) == (a != 0).sum(axis=1)).all() and np.allclose(s.values(), a[a.nonzero()]) and (s.others() == a.nonzero()[1]).all()
+    got = linalg._products(np.diff(s.starts()), s.others(), s.values(), np.eye(17), 5, 3)
+    assert np.allclose(got, a)
