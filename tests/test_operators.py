@@ -518,6 +518,16 @@ def test_svd_by_files_and_by_joins(spark, monkeypatch, files):
     assert np.allclose(got.pop(None), 3 * v[7]) and len(got) == 30  # a missing row has scores but takes no part
 
 
+def test_the_proof_joins_a_cell_once_with_its_vector(spark):
+    """Cells used to be copied for each component before they were summed."""
+    a = sparse_matrix(6, (40, 25), 0.3)
+    f = linalg.truncated_svd(coordinates(spark, a), "r", "c", "v", 5, tolerance=1e-9)
+    proof = linalg.svd_proof(coordinates(spark, a), "r", "c", "v", f)
+    assert not re.search(r"Aggregate \[(row|col)#\d+L?, dim#", proof._jdf.queryExecution().optimizedPlan().toString())
+    assert [r["component"] for r in proof.orderBy("component").collect()] == [1, 2, 3, 4, 5]
+    assert all(r["residual"] < 1e-7 and r["off_unit"] < 1e-9 and r["off_scores"] < 1e-9 and r["top_loading"] > 0 for r in proof.collect())
+
+
 def test_a_product_reads_any_share_of_the_entries(spark, monkeypatch, tmp_path):
     """Rows cut by the shares of tasks are put together, whatever the shares."""
     from geneloom.operators import mapped
