@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,3 +78,26 @@ def wide_to_vector(cols) -> Column:
 
 def vector_to_wide(v, dim: int, prefix: str = "dim_", start: int = 0) -> list[Column]:
     return [F.get(_col(v), F.lit(i)).alias(f"{prefix}{i + start}") for i in range(dim)]
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x, bits: int):
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def xxhash64(x, seed) -> np.ndarray:
+    """Spark's ``xxhash64`` of 32 or 64 bit integers, as unsigned numbers; the hash of a further column takes that of the one before as ``seed``."""
+    x = np.asarray(x)
+    seed = np.asarray(seed).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        if x.dtype.itemsize == 4:
+            h = (seed + _P5 + np.uint64(4)) ^ (x.astype(np.uint32).astype(np.uint64) * _P1)
+            h = _turned(h, 23) * _P2 + _P3
+        else:
+            h = (seed + _P5 + np.uint64(8)) ^ (_turned(x.astype(np.uint64) * _P2, 31) * _P1)
+            h = _turned(h, 27) * _P1 + _P4
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        return h ^ (h >> np.uint64(32))

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import math
+import os
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ids
+from ..functions.num import xxhash64
 from ..session import materialize, release, shuffle_partitions
+from . import mapped
 from .ranges import with_row_index
 from .skew import lookup, spread_join
 
@@ -66,12 +73,13 @@ def symmetric_adjacency(edges: DataFrame, a: str, b: str, weight: str, by: list[
 
 
 def neighbour_pairs(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``[node, neighbour]`` of the unweighted undirected graph; blank and self edges skipped."""
+    """``[node, neighbour]`` of the unweighted undirected graph; blank and self edges skipped. A pair is shuffled once, not once per direction."""
     ok = edges.where((F.coalesce(F.col(a), F.lit("")) != "") & (F.coalesce(F.col(b), F.lit("")) != "")
                      & (F.col(a) != F.col(b)))
-    return ok.select(F.explode(F.array(
-        F.struct(F.col(a).alias("node"), F.col(b).alias("neighbour")),
-        F.struct(F.col(b).alias("node"), F.col(a).alias("neighbour")))).alias("e")).select("e.*").distinct()
+    once = ok.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()
+    return once.select(F.explode(F.array(
+        F.struct(F.col("lo").alias("node"), F.col("hi").alias("neighbour")),
+        F.struct(F.col("hi").alias("node"), F.col("lo").alias("neighbour")))).alias("e")).select("e.*")
 
 
 def ppmi(adj: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -230,13 +238,88 @@ def adjacency_slots(pairs: DataFrame) -> DataFrame:
     return slots
 
 
+STRIDE = 512  # nodes whose walks a task steps and hands on at a time
+
+
 def random_walks(pairs: DataFrame, walks_per_node: int = 10, length: int = 80, seed: int = 42, block: int = 10) -> DataFrame:
     """Uniform random walks ``[walk_id, node, round, walk]`` from every node.
 
-    The next edge is ``start + hash(seed, walk, step) mod degree``, so a walk is
-    reproducible whatever the partitioning. A walk on its way is its id, where it
-    stands and the nodes of the current block; a finished block is written and
-    left behind, so a step shuffles the same few bytes at any length, and the
+    The neighbours of a node stand in their order, and the next one is number
+    ``hash(seed, walk, step) mod degree``, so a walk is reproducible whatever the
+    partitioning. The graph is two flat files of numbers that tasks map; walks
+    are stepped where they start, and neither they nor their steps are shuffled
+    or written. Where tasks cannot map the shared folder, a step is a join.
+    """
+    text = isinstance(pairs.schema["node"].dataType, T.StringType)
+    at = mapped.folder(pairs.sparkSession, "graph") if text else None
+    found = _mapped_graph(pairs, at) if at else None
+    if found is None:
+        return _joined_walks(pairs, walks_per_node, length, seed, block)
+    graph, names, index = found
+    schema = T.StructType([T.StructField("walk_id", T.LongType()), T.StructField("node", T.StringType()), T.StructField("round", T.IntegerType()),
+                           T.StructField("walk", T.ArrayType(T.StringType()))])
+
+    def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, other, texts = graph.starts(), graph.others(), names.array()
+        for b in batches:
+            for i in range(0, b.num_rows, STRIDE):
+                some = b.slice(i, STRIDE)
+                walk_id = np.ascontiguousarray(some.column(1).flatten().to_numpy(zero_copy_only=False))
+                path = np.empty((len(walk_id), length), np.int64)
+                path[:, 0] = np.repeat(some.column(0).to_numpy(), walks_per_node)
+                round_ = np.tile(np.arange(walks_per_node, dtype=np.int32), some.num_rows)
+                begun = xxhash64(walk_id, 42)
+                for step in range(1, length):
+                    here = path[:, step - 1]
+                    first = start[here]
+                    degree = start[here + 1] - first
+                    path[:, step] = other[first + xxhash64(_small(seed), xxhash64(np.int32(step), begun)).view(np.int64) % degree]
+                words = texts.take(pa.array(path.ravel())).cast(pa.string())
+                offsets = pa.array(np.arange(len(path) + 1, dtype=np.int32) * np.int32(length))
+                nodes = texts.take(pa.array(path[:, 0])).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(walk_id), nodes, pa.array(round_), pa.ListArray.from_arrays(offsets, words)], names=schema.names)
+
+    spark = pairs.sparkSession
+    tasks = max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
+    ids_of = F.transform(F.sequence(F.lit(0), F.lit(walks_per_node - 1)), lambda i: F.xxhash64("node", i, F.lit(seed)))
+    return index.select("id", ids_of.alias("walks")).repartition(tasks).mapInArrow(walks, schema)
+
+
+def _small(n: int):
+    """A Python number as the literal that Spark makes of it."""
+    return np.int32(n) if -(1 << 31) <= n < 1 << 31 else np.int64(n)
+
+
+def _mapped_graph(pairs: DataFrame, at: str) -> tuple[mapped.Sparse, mapped.Texts, DataFrame] | None:
+    """``[node, neighbour]`` as neighbour lists over the numbers of the nodes, their names, and ``[node, id]``; None if a neighbour has none itself."""
+    spark = pairs.sparkSession
+    pairs = materialize(pairs.select("node", "neighbour"), "pairs")
+    release(spark)  # what made the pairs is shuffled no more
+    degrees = materialize(pairs.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    ends = pairs.select(F.col("neighbour").alias("node")).distinct().join(degrees.withColumn("known", F.lit(True)), "node", "full")
+    if not ends.where("known IS NULL OR node IS NULL").isEmpty():
+        release(spark, pairs)
+        return None
+    index = mapped.numbered(degrees, "node", "id")
+    rows, n = index.count(), pairs.count()
+    at_end = {"node": "from", "neighbour": "to"}
+    placed = pairs
+    for end, other in (("node", "neighbour"), ("neighbour", "from")):
+        here = index.select(F.col("node").alias(end), F.col("id").alias(at_end[end]))
+        placed = lookup(placed, here, [end], "inner", degrees.withColumnRenamed("node", end), "degree", [other]).drop(end)
+    placed = materialize(placed, "placed")
+    release(spark, pairs)
+    graph = mapped.sparse(placed, "from", "to", None, rows, rows, n, os.path.join(at, "edges"))
+    names = mapped.texts(index, "node", "id", rows, os.path.join(at, "names"))
+    release(spark, placed)
+    return graph, names, index
+
+
+def _joined_walks(pairs: DataFrame, walks_per_node: int, length: int, seed: int, block: int) -> DataFrame:
+    """Walks by joins, for a shared folder that tasks cannot map and for nodes that are no texts or have no neighbours.
+
+    A walk on its way is its id, where it stands and the nodes of the current
+    block; a finished block is written and left behind, so a step shuffles the same few bytes at any length, and the
     shuffle files of the block go. The edges are dealt once, not once per block.
     The blocks of a walk meet once, at the end.
     """

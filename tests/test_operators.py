@@ -540,3 +540,39 @@ def test_a_product_reads_any_share_of_the_entries(spark, monkeypatch, tmp_path):
     assert (np.diff(s.starts()) == (a != 0).sum(axis=1)).all() and np.allclose(s.values(), a[a.nonzero()]) and (s.others() == a.nonzero()[1]).all()
     got = linalg._products(np.diff(s.starts()), s.others(), s.values(), np.eye(17), 5, 3)
     assert np.allclose(got, a)
+
+
+def test_numpy_hashes_as_spark_does(spark):
+    from geneloom.functions.num import xxhash64
+
+    x = np.concatenate([np.random.default_rng(9).integers(-2**63, 2**63, 50), [0, -1, 2**63 - 1, -2**63]])
+    df = spark.createDataFrame([(int(v), i) for i, v in enumerate(x)], "x bigint, i int").select("i", F.xxhash64("x", "i", F.lit(7)).alias("h"), F.xxhash64("x", F.lit(1 << 40)).alias("g"))
+    got = df.orderBy("i").collect()
+    h = xxhash64(np.int32(7), xxhash64(np.arange(len(x), dtype=np.int32), xxhash64(x, 42)))
+    assert h.view(np.int64).tolist() == [r["h"] for r in got]
+    assert xxhash64(np.int64(1 << 40), xxhash64(x, 42)).view(np.int64).tolist() == [r["g"] for r in got]
+
+
+def test_walks_are_stepped_where_they_start(spark):
+    """Steps were joins that shuffled all walks, blocks of steps were tables, and all walks were shuffled at the end."""
+    from pathlib import Path
+
+    from geneloom.session import scratch_root
+
+    edges = [("hub", f"n{i:02d}") for i in range(30)] + [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(29)] + [("ä", "hub"), ("x", "ä")]
+    pairs = graph.neighbour_pairs(spark.createDataFrame(edges, "s string, d string"), "s", "d")
+    tables = lambda: {p.name for p in Path(scratch_root(spark)).glob("geneloom-walks-*")}
+    before = tables()
+    walks = graph.random_walks(pairs, 4, 23)
+    plan = walks._jdf.queryExecution().optimizedPlan().toString()
+    assert tables() == before and "Join" not in plan and "Aggregate" not in plan
+    as_rows = lambda df: sorted((r["walk_id"], r["node"], r["round"], tuple(r["walk"])) for r in df.collect())
+    assert as_rows(walks) == as_rows(graph._joined_walks(pairs, 4, 23, 42, 10)) and walks.count() == 33 * 4
+
+
+def test_walks_of_other_keys_and_one_way_edges_are_joined(spark):
+    numbers = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 2)], "node int, neighbour int")
+    assert all(abs(x - y) == 1 for r in graph.random_walks(numbers, 2, 5).collect() for x, y in zip(r["walk"], r["walk"][1:]))
+    one_way = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "end")], "node string, neighbour string")
+    as_rows = lambda df: sorted((r["walk_id"], tuple(r["walk"])) for r in df.collect())
+    assert as_rows(graph.random_walks(one_way, 20, 4)) == as_rows(graph._joined_walks(one_way, 20, 4, 42, 10))
