@@ -78,17 +78,32 @@ def _g6(t):
 WITH {EDGE_SQL} SELECT node, 10 AS walks, 800 AS visits, 0 AS steps_off_edges, true AS starts_here FROM (SELECT a AS node FROM e UNION SELECT b FROM e) q""")
 def _g6b(t):
     pairs = materialize(graph.neighbour_pairs(edges(t), "a", "b"), "pairs")
-    walks = materialize(graph.random_walks(pairs), "walks")
+    return invariants(materialize(graph.random_walks(pairs), "walks"), pairs)
+
+
+def invariants(walks, pairs):
+    """``[node, walks, visits, steps_off_edges, starts_here]`` of walks on ``[node, neighbour]``."""
     n = F.size("walk") - 1
     steps = walks.select("node", F.explode(F.arrays_zip(F.slice("walk", F.lit(1), n).alias("x"), F.slice("walk", F.lit(2), n).alias("y"))).alias("e")).select("node", "e.x", "e.y")
-    # the distinct steps are compared with the edges; only those that are none look for their walks
-    wrong = materialize(steps.select("x", "y").distinct().join(pairs, (F.col("x") == F.col("node")) & (F.col("y") == F.col("neighbour")), "left_anti"), "off")
-    off = steps.join(wrong, ["x", "y"]).groupBy("node").agg(F.count(F.lit(1)).alias("off"))
-    per = walks.groupBy("node").agg(F.count_distinct("walk").alias("walks"), F.sum(F.size("walk")).alias("visits"), F.bool_and(F.col("walk")[0] == F.col("node")).alias("starts_here"))
-    per = per.join(off, "node", "left").withColumn("off", F.coalesce("off", F.lit(0)))
+    # steps are looked up among the edges, each once; only those that are none look for their walks
+    ends = pairs.select(F.col("node").alias("x"), F.col("neighbour").alias("y")).hint("shuffle_hash")
+    wrong = materialize(steps.select("x", "y").join(ends, ["x", "y"], "left_anti").distinct(), "off")
+    off = steps.join(wrong, ["x", "y"]).groupBy("node").agg(F.count(F.lit(1)).alias("off")) if not wrong.isEmpty() else None
+    per = walks.groupBy("node").agg(F.sum(F.size("walk")).alias("visits"), F.bool_and(F.col("walk")[0] == F.col("node")).alias("starts_here"))
+    per = per.join(distinct_walks(walks), "node")
+    per = per.join(off, "node", "left").withColumn("off", F.coalesce("off", F.lit(0))) if off is not None else per.withColumn("off", F.lit(0))
     return per.select("node", F.col("walks").cast("int").alias("walks"), F.col("visits").cast("int").alias("visits"), F.col("off").cast("int").alias("steps_off_edges"), "starts_here")
 
 
+def distinct_walks(walks):
+    """``[node, walks]``: the number of distinct walks. Fingerprints are shuffled; the walks themselves only if they share one."""
+    prints = walks.select("node", F.xxhash64("walk").alias("f"))
+    counted = materialize(prints.groupBy("node", "f").agg(F.count(F.lit(1)).alias("n")), "prints")
+    shared = counted.where("n > 1").select("node", "f")
+    again = walks.withColumn("f", F.xxhash64("walk")).join(shared, ["node", "f"], "left_semi").groupBy("node", "f").agg(F.count_distinct("walk").alias("many"))
+    return counted.join(again, ["node", "f"], "left").groupBy("node").agg(F.sum(F.coalesce("many", F.lit(1))).alias("walks"))
+
+
 HIER_SQL = """par AS (SELECT concat('N', n_nationkey) AS child, concat('R', n_regionkey) AS parent FROM nation
  UNION SELECT concat('C', c_custkey), concat('N', c_nationkey) FROM customer UNION SELECT concat('O', o_orderkey), concat('C', o_custkey) FROM orders
  UNION SELECT concat('R', r_regionkey), 'ROOT' FROM region)"""

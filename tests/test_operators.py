@@ -576,3 +576,17 @@ def test_walks_of_other_keys_and_one_way_edges_are_joined(spark):
     one_way = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "end")], "node string, neighbour string")
     as_rows = lambda df: sorted((r["walk_id"], tuple(r["walk"])) for r in df.collect())
     assert as_rows(graph.random_walks(one_way, 20, 4)) == as_rows(graph._joined_walks(one_way, 20, 4, 42, 10))
+
+
+def test_walk_invariants_count_wrong_steps_and_equal_walks(spark):
+    """All walks were shuffled to count the distinct ones, and all steps sorted to be looked up."""
+    from geneloom.queries.matrices import invariants
+
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")], "node string, neighbour string")
+    walks = [("a", ["a", "b", "c"]), ("a", ["a", "b", "c"]), ("a", ["a", "b", "a"]), ("b", ["c", "b", "a"]), ("c", ["c", "a", "c"]), ("c", ["c", "a", "b"])]
+    df = invariants(spark.createDataFrame(walks, "node string, walk array<string>"), pairs)
+    got = sorted(map(tuple, df.collect()))
+    assert got == [("a", 2, 9, 0, True), ("b", 1, 3, 0, False), ("c", 2, 6, 3, True)]
+    good = invariants(spark.createDataFrame(walks[:3], "node string, walk array<string>"), pairs)
+    assert [tuple(r) for r in good.collect()] == [("a", 2, 9, 0, True)]
+    assert "LeftSemi" in good._jdf.queryExecution().optimizedPlan().toString()  # only walks with a common fingerprint are compared
