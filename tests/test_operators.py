@@ -590,3 +590,25 @@ def test_walk_invariants_count_wrong_steps_and_equal_walks(spark):
     good = invariants(spark.createDataFrame(walks[:3], "node string, walk array<string>"), pairs)
     assert [tuple(r) for r in good.collect()] == [("a", 2, 9, 0, True)]
     assert "LeftSemi" in good._jdf.queryExecution().optimizedPlan().toString()  # only walks with a common fingerprint are compared
+
+
+@pytest.mark.parametrize("space", ["files", "joins", "dense"])
+def test_a_restart_keeps_half_of_the_basis_and_the_next_block(spark, monkeypatch, space):
+    """A restart used to keep one block and to multiply it again."""
+    from geneloom.operators import mapped
+
+    monkeypatch.setattr(linalg, "BASIS_WIDTH", 12)
+    if space == "joins":
+        monkeypatch.setattr(mapped, "folder", lambda *a: None)
+    kind = {"files": linalg._SparseSpace, "joins": linalg._JoinedSpace, "dense": linalg._DenseSpace}[space]
+    spans, extend = [], kind.extend
+    monkeypatch.setattr(kind, "extend", lambda self, basis, size, lo, hi: spans.append((lo, hi)) or extend(self, basis, size, lo, hi))
+    a = np.random.default_rng(3).random((60, 40)) * (np.random.default_rng(4).random((60, 40)) < 0.3)
+    if space == "dense":
+        df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(a)], "i int, v array<double>")
+        f = linalg.dense_factorisation(df, "i", "v", 1, centre=False, tolerance=1e-3, oversample=1)
+    else:
+        f = linalg.truncated_svd(coordinates(spark, a), "r", "c", "v", 2, tolerance=1e-3, oversample=0)
+    assert space == "dense" or len(spans) > 6
+    assert spans[:7] == [(0, 2), (2, 4), (4, 6), (6, 8), (8, 10), (10, 12), (6, 8)][:len(spans)]  # a restart after 12 vectors
+    assert np.allclose(f.singular_values, np.linalg.svd(a, compute_uv=False)[:len(f.singular_values)], rtol=1e-5)
